@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import lines, tokens
+from lodestone.llm import decontaminate, lines, mixing, spans, tokens, warc
 
 QUERIES = {
+    "op1_warc_dictionary": warc.query,
+    "op2_source_mix": mixing.query,
     "op3_line_dedup": lines.query,
+    "op8_sentence_spans": spans.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_token_parquet": tokens.query,
 }
-SQL = {"op3_line_dedup": lines.SQL}
+SQL = {"op3_line_dedup": lines.SQL, "op9_decontaminate": decontaminate.SQL}
