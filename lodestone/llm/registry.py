@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, lines, mixing, spans, tokens, warc
+from lodestone.llm import decontaminate, flac, lines, mixing, neardup, spans, tokens, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
     "op2_source_mix": mixing.query,
     "op3_line_dedup": lines.query,
+    "op4_minhash_neardup": neardup.query,
+    "op5_flac_media": flac.query,
     "op8_sentence_spans": spans.query,
     "op9_decontaminate": decontaminate.query,
     "op10_token_parquet": tokens.query,
