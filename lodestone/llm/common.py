@@ -65,6 +65,12 @@ def fold(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("0")).cast("binary")), F.lit(5))
 
 
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with batches of some megabytes, so that neither the executor's nor the worker's memory grows with the length of the rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df.mapInArrow(function, schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the given text column holds about most_bytes at most in each piece (a longer single row stays whole)."""
     for batch in batches:
@@ -123,7 +129,7 @@ def running_totals(df: DataFrame, order: list[str], values: list[str], label: st
             row += n
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*names, "part", "idx", *[f"{v}_before" for v in values]])
 
-    parts = cut(ranged.mapInArrow(add, out.rstrip(", ")), label)
+    parts = cut(map_arrow(ranged, add, out.rstrip(", ")), label)
     totals = parts.groupBy("part").agg(F.count("*").alias("n"), *[F.max(F.col(f"{v}_before") + F.col(v)).alias(v) for v in values]).orderBy("part").collect()
     rows, carried = [], [0] + [0] * len(values)
     for t in totals:

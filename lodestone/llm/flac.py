@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import joined_bytes, slices, table
+from lodestone.llm.common import joined_bytes, map_arrow, slices, table
 
 BLOCK = 4096
 PAD = 64
@@ -491,7 +491,7 @@ def encode_documents(docs: DataFrame) -> DataFrame:
             texts = [raw[s:e] for s, e in zip(at.tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(encode_all([padded(t) for t in texts]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_bytes bigint, media binary")
+    return map_arrow(docs.select("doc_id", "text"), encode, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -507,7 +507,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
                 which, first, n, pcm = zip(*rows)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(pcm, pa.binary())], names=["doc_id", "first_sample", "n_samples", "pcm"])
 
-    return media.select("doc_id", "media").mapInArrow(decode, f"doc_id {kind}, first_sample bigint, n_samples bigint, pcm binary")
+    return map_arrow(media.select("doc_id", "media"), decode, f"doc_id {kind}, first_sample bigint, n_samples bigint, pcm binary")
 
 
 def media_digests(media: DataFrame) -> DataFrame:
@@ -536,7 +536,7 @@ def media_digests(media: DataFrame) -> DataFrame:
                 pa.array([f"n={n};peak={p};square={s};cross={c}" for n, p, s, c in zip(size, peak, square, cross)]),
             ], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(digest, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), digest, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, slices, table
+from lodestone.llm.common import cut, map_arrow, slices, table
 
 MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 20, 25
 PIECE = re.compile(r"\S+\s*")
@@ -73,10 +73,10 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
                 at = pa.array(which)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=["doc_id", "row_key", "first", "n", "h1", "h2"])
 
-    found = counted.mapInArrow(hashed, f"doc_id {kind}, row_key bigint, first int, n int, h1 bigint, h2 bigint")
+    found = map_arrow(counted, hashed, f"doc_id {kind}, row_key bigint, first int, n int, h1 bigint, h2 bigint")
     # only 64 bits of each run are shuffled to find those that repeat at all; the rest of a row follows for these alone
     repeated = cut(found.groupBy("h1").agg(F.count("*").alias("c")).where("c > 1").select("h1"), "span-repeats")
-    again = cut(found.join(repeated, "h1", "left_semi").distinct(), "span-rows")
+    again = cut(found.join(repeated, "h1", "left_semi"), "span-rows")
     firsts = cut(again.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row_key", "first")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f"), "span-firsts")
     later = again.join(firsts, ["h1", "h2"]).where(F.struct("doc_id", "row_key", "first") > F.col("f"))
     gone = cut(later.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("gone")), "span-gone")
@@ -100,7 +100,7 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
                 chars.append(len(text) - len(kept[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(chars, pa.int64())], names=["doc_id", "kept_text", "n_sentences", "n_removed", "n_chars_removed"])
 
-    return joined.mapInArrow(removed, f"doc_id {kind}, kept_text string, n_sentences bigint, n_removed bigint, n_chars_removed bigint")
+    return map_arrow(joined, removed, f"doc_id {kind}, kept_text string, n_sentences bigint, n_removed bigint, n_chars_removed bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

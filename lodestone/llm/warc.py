@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, scratch, table
+from lodestone.llm.common import cut, map_arrow, scratch, table
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, date: st
             store.move(attempt, name)
             yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
-    return cut(marked.mapInArrow(write, "file string, records bigint, bytes bigint"), "warc-files")
+    return cut(map_arrow(marked, write, "file string, records bigint, bytes bigint"), "warc-files")
 
 
 def read_archives(files: DataFrame, folder: str, page_type: str = "bigint") -> DataFrame:
@@ -176,7 +176,7 @@ def read_archives(files: DataFrame, folder: str, page_type: str = "bigint") -> D
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held), kinds)], names=names)
 
     n = max(1, files.count())
-    return files.select("file").repartition(n, "file").mapInArrow(read, "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return map_arrow(files.select("file").repartition(n, "file"), read, "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
