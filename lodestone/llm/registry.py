@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, flac, lines, mixing, neardup, spans, tokens, warc
+from lodestone.llm import decontaminate, flac, langid, lines, mixing, neardup, spans, tokens, toxicity, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_line_dedup": lines.query,
     "op4_minhash_neardup": neardup.query,
     "op5_flac_media": flac.query,
+    "op6_language_id": langid.query,
+    "op7_toxicity": toxicity.query,
     "op8_sentence_spans": spans.query,
     "op9_decontaminate": decontaminate.query,
     "op10_token_parquet": tokens.query,
