@@ -71,8 +71,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: floa
     cell = lambda x: F.floor(x / F.lit(float(GRID)) * F.lit(float(max(n, 1)))).cast("long")
     spans = sources.where("slots > 0").withColumn("lo", edge(F.col("slots_before"))).withColumn("hi", edge(F.col("slots_before") + F.col("slots")))
     spans = spans.select("skey", "blocks", "slots", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
+    # the exploded side is larger than its source lets the planner think, so it must not be broadcast
     points = spark.range(n).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("u")).withColumn("cell", cell(F.col("u")))
-    slots = points.join(spans, "cell").where("u >= lo and u < hi").select("skey", "slot", "blocks", "slots")
+    slots = points.join(spans.hint("merge"), "cell").where("u >= lo and u < hi").select("skey", "slot", "blocks", "slots")
     order = running_totals(slots, ["skey", "slot"], [], "mix-order")
     first = order.groupBy("skey").agg(F.min("idx").alias("first"))
     ranked = order.join(cut(first, "mix-first"), "skey").withColumn("rank", F.col("idx") - F.col("first"))
@@ -89,6 +90,30 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: floa
     return out, schedule
 
 
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with the columns they came with.
+
+    A row taken t words of size s comes t // s times whole, and once more as its first t % s words where those are any. Rows of
+    size 0 come once. Equal rows (in id and text) are told apart by their place in the shuffled source only, so each of them
+    gets the mean of what they are taken together.
+    """
+    mixed, _ = mix_sources(docs, **options)
+    taken = cut(mixed.groupBy("doc_id", "key").agg(F.max("size").alias("size"), F.floor(F.avg("taken")).cast("long").alias("taken")), "mix-taken")
+    seed = options.get("seed", 7)
+    rows = docs.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    joined = rows.join(taken.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "size", "taken"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
+    whole = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr("taken div size"))
+    rest = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.expr("taken % size"))
+    lengths = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    out = joined.withColumn("_n", F.explode(lengths))
+    # the first n words with the white space before each
+    start = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){', _n, '}'), 0)")
+    columns = [F.when(F.col("_n") < 0, F.col("text")).otherwise(start).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    if "n_chars" in docs.columns:
+        columns[docs.columns.index("n_chars")] = F.when(F.col("_n") < 0, F.col("n_chars")).otherwise(F.length(start)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, _ = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
