@@ -9,34 +9,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import joined_bytes, scratch, slices, table
+from lodestone.llm import words
+from lodestone.llm.common import joined_bytes, map_arrow, scratch, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 300_000
+#: Words that a worker remembers; it forgets all of them beyond this.
+CACHE_WORDS = 1_500_000
+_workers: dict[str, WordIds] = {}
 
 
-class WordCache:
-    """Ids of white-space-free pieces of text, as little-endian bytes.
+class WordIds:
+    """Ids of whole texts from the ids of their pieces, which a worker remembers by hash.
 
-    The tokenizer's normaliser and pre-tokenizer never join across ASCII white space and drop it, so a text's ids are those of
-    its pieces end to end. The cache is emptied when it holds CACHE_WORDS pieces; that changes speed, never ids.
+    The tokenizer's normaliser and pre-tokenizer never join across ASCII white space and drop it, and never join a letter with
+    the full stop or comma after it, so a text's ids are those of its pieces end to end. Forgetting changes speed, never ids.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
-        pieces = [t.split() for t in texts]  # bytes.split() parts at ASCII white space only
-        seen = set().union(*pieces) if pieces else set()
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = [w for w in seen if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get, end = self.known.__getitem__, int(end_id).to_bytes(4, "little")
-        return [b"".join([*map(get, p), end]) for p in pieces]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.reset()
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        if path not in _workers:
+            _workers[path] = cls(path)
+        return _workers[path]
+
+    def reset(self) -> None:
+        self.table, self.pool = words.Table(), np.zeros(1 << 20, np.int32)
+        self.first, self.size, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, ids of each text) of texts that lie end to end in data."""
+        if len(data) == 0:
+            return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
+        if not ((data[:-1] == 60) & (data[1:] == 124)).any():  # "<|" may start a special token, which keeps its case
+            data = words.lower_ascii(data)
+        letter = np.zeros(len(data) + 2, bool)
+        letter[1:-1] = (data >= 97) & (data <= 122)
+        open_after = np.ones(len(data) + 1, bool)
+        open_after[: len(data)] = words._SPACE[data]
+        open_after[at[1:]] = True
+        apart = np.flatnonzero(((data == 44) | (data == 46)) & letter[: len(data)] & open_after[1:])
+        apart = apart[~np.isin(apart, at, assume_unique=False)] if len(apart) else apart
+        starts, ends, per_text = words.bounds(data, at, apart)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
+        h = words.hashes(data, starts, ends)
+        if self.table.count > CACHE_WORDS:
+            self.reset()
+        entry = self.table.find(h)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            new, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            picked = missing[one]
+            self.learn(new, [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[picked].tolist(), ends[picked].tolist())])
+            entry[missing] = self.table.find(new)[back]
+        size = self.size[entry].astype(np.int64)
+        done = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(self.first[entry] - done[:-1], size) + np.arange(done[-1])]
+        return ids, np.diff(done[per_text])
+
+    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        alpha = np.array([t.isalpha() for t in texts])
+        plain = [t for t, a in zip(texts, alpha) if a]
+        sizes = np.zeros(len(texts), np.int64)
+        joined = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int32)
+        stops = np.flatnonzero(self.closing[joined]) + 1
+        if len(stops) == len(plain):  # each of them is one piece, whose last id closes a word
+            sizes[alpha] = np.diff(stops, prepend=0)
+        else:
+            alpha[:] = False
+            joined = joined[:0]
+        odd = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, a in zip(texts, alpha) if not a], add_special_tokens=False)]
+        sizes[~alpha] = [len(x) for x in odd]
+        flat = np.concatenate([joined, np.array([i for x in odd for i in x], np.int32)])
+        first = np.zeros(len(texts), np.int64)
+        for group, base in ((alpha, 0), (~alpha, len(joined))):
+            first[group] = base + np.cumsum(sizes[group]) - sizes[group]
+        values = self.table.add(keys)
+        if self.table.count > len(self.first):
+            grow = max(2 * len(self.first), self.table.count)
+            self.first, self.size = (np.concatenate([x, np.zeros(grow - len(x), x.dtype)]) for x in (self.first, self.size))
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.int32)])
+        self.first[values], self.size[values] = first + self.used, sizes
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 1, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:
@@ -56,20 +121,19 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 1
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache, part, start = WordCache(tokenizer_path), TaskContext.get().partitionId(), 0
-        for b in slices(batches, 1):
+        known, part, start = WordIds.of(tokenizer_path), TaskContext.get().partitionId(), 0
+        for b in slices(batches, 1, 1 << 20):
             data, at = joined_bytes(b.column(1))
-            raw = data.tobytes()
-            ids = cache.encode([raw[s:e] for s, e in zip(at, at[1:])], end_id)
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+            ids, n = known.encode(data, at)
+            ids = np.insert(ids, np.cumsum(n), np.int32(end_id))
+            n = n + 1
             starts = start + np.cumsum(n) - n
             start += int(n.sum())
-            values = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(ids))])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), b.column(0), pa.array(starts), pa.array(n), lists], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
 
     delta = encoding == "delta"
-    writer = rows.mapInArrow(encode, f"part int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, local_start bigint, n_tokens bigint, ids array<int>").write
+    writer = map_arrow(rows, encode, f"part int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, local_start bigint, n_tokens bigint, ids array<int>").write
     writer.options(**{"parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.enable.dictionary": str(not delta).lower(), "parquet.writer.version": "PARQUET_2_0" if delta else "PARQUET_1_0", "compression": "zstd"}).parquet(out)
 
 
@@ -98,7 +162,7 @@ def token_digests(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(digest, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_arrow(tokens.select("doc_id", "start", "n_tokens", "ids"), digest, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def tokenizer_path() -> str:
