@@ -1 +1 @@
-"""functions of the engine."""
+"""Scalar functions, and parsers that need Python."""
