@@ -13,7 +13,7 @@ from lodestone.llm import words
 from lodestone.llm.common import fold, joined_bytes, map_arrow, slices, table
 
 #: n-grams of 1 to 4 bytes, each length hashed to so many columns.
-LENGTHS, BITS = (1, 2, 3, 4), 15
+LENGTHS, BITS = (1, 2, 3, 4), 13
 COLUMNS = 256 + len(LENGTHS[1:]) * (1 << BITS)
 PER_LANGUAGE, MOST_SAMPLES, LANDMARKS, RIDGE = 300, 3000, 384, 1e-3
 _LETTER = regex.compile(r"\p{L}")
@@ -46,8 +46,13 @@ def presence(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Shared n-grams, normalised so that equal sets give 1."""
-    x, y = x.astype(np.float32), y.astype(np.float32)
-    return (x @ y.T) / np.sqrt(np.maximum(1, x.sum(1))[:, None] * np.maximum(1, y.sum(1))[None, :])
+    other = y.astype(np.float32)
+    size = np.maximum(1, other.sum(1))
+    out = np.zeros((len(x), len(y)), np.float32)
+    for i in range(0, len(x), 128):  # a block of rows as floats at a time
+        rows = x[i : i + 128].astype(np.float32)
+        out[i : i + 128] = (rows @ other.T) / np.sqrt(np.maximum(1, rows.sum(1))[:, None] * size[None, :])
+    return out
 
 
 def train(samples: np.ndarray, labels: list[str], seed: int = 5) -> tuple[list[str], np.ndarray]:
@@ -61,12 +66,13 @@ def train(samples: np.ndarray, labels: list[str], seed: int = 5) -> tuple[list[s
         return [], np.zeros((COLUMNS, 0), np.float32)
     y = np.where(np.array(labels)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     order = np.random.default_rng(seed).permutation(len(labels))
-    marks = samples[order[:LANDMARKS]].astype(np.float32)
+    marks = samples[order[:LANDMARKS]]
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
     features = kernel(samples, marks).astype(np.float64) @ root
     solved = np.linalg.solve(features.T @ features + RIDGE * len(labels) * np.eye(features.shape[1]), features.T @ y)
+    marks = marks.astype(np.float32)
     weights = (marks / np.sqrt(np.maximum(1, marks.sum(1)))[:, None]).T @ (root @ solved).astype(np.float32)
     return names, weights
 
