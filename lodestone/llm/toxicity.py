@@ -18,7 +18,7 @@ GAPS = [(i, j, k) for i, j, k in itertools.combinations(range(1, SPAN), 3)]
 WORDS_IN_PIECE = 1
 PER_LABEL, LANDMARKS, ROUNDS = 1500, 800, 3
 #: Sentence pieces of clean texts for each toxic one: the highest rated, and others at random.
-HARD, EASY = 4, 4
+HARD, EASY = 4, 3
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _KIND = np.ones(256, np.uint8)  # 0 blank, 1 letter (bytes of other scripts too), 2 end of a sentence, 3 other ASCII
 _KIND[:128] = 3
@@ -84,18 +84,23 @@ def columns(data: np.ndarray):
         yield (h >> np.uint32(32 - BITS)).astype(np.int64), DECAY ** (k - 3)
 
 
-def piece_scores(data: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The weighted sum over each piece's subsequences, divided by the root of its length."""
-    if not len(starts):
-        return np.zeros(0)
-    wide = np.concatenate([data, np.full(SPAN, 32, np.uint8)])
-    total = np.zeros(len(data) + 1, np.float32)
-    for column, decay in columns(wide[: len(data) + SPAN - 1]):
-        total[: len(data)] += np.float32(decay) * weights[column]
+def piece_scores(data: np.ndarray, starts: np.ndarray, weights: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """The weighted sum over each piece's subsequences, divided by the root of its length; `block` bytes or so at a time."""
+    out = np.zeros(len(starts))
     ends = np.append(starts[1:], len(data))
-    inside = np.arange(len(data)) < np.repeat(ends - 3, ends - starts)  # a subsequence begins at least 3 bytes before the end
-    sums = np.add.reduceat(np.where(inside, total[:-1], 0).astype(np.float64), starts)
-    return sums / np.sqrt(np.maximum(1, ends - starts))
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + block)))
+        s, e = int(starts[i]), int(ends[j - 1])
+        wide = np.concatenate([data[s : e + SPAN - 1], np.full(max(0, e + SPAN - 1 - len(data)), 32, np.uint8)])
+        total = np.zeros(e - s, np.float32)
+        for column, decay in columns(wide):
+            total += np.float32(decay) * weights[column]
+        size = ends[i:j] - starts[i:j]
+        total[np.arange(e - s) >= np.repeat(ends[i:j] - s - 3, size)] = 0  # a subsequence begins at least 3 bytes before the end
+        out[i:j] = np.add.reduceat(total.astype(np.float64), starts[i:j] - s) / np.sqrt(np.maximum(1, size))
+        i = j
+    return out
 
 
 def vectors(data: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -120,7 +125,7 @@ def gram(x: list, y: list) -> np.ndarray:
     dense = np.zeros((len(used), len(y)), np.float32)
     for j, (c, v) in enumerate(y):
         dense[np.searchsorted(used, c), j] = v
-    out = np.zeros((len(x), len(y)), np.float64)
+    out = np.zeros((len(x), len(y)), np.float32)
     for i, (c, v) in enumerate(x):
         p = np.minimum(np.searchsorted(used, c), len(used) - 1)
         hit = used[p] == c
@@ -130,11 +135,11 @@ def gram(x: list, y: list) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 60) -> np.ndarray:
     """Weights (the last one the offset) of a squared-hinge linear machine, by Newton steps on the margin's violators."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1])
     penalty = np.eye(x.shape[1])
     penalty[-1, -1] = 1e-6
-    balance = np.where(y > 0, 1.0, max(1e-9, (y > 0).sum() / max(1, (y < 0).sum())))
+    balance = np.where(y > 0, 1.0, max(1e-9, (y > 0).sum() / max(1, (y < 0).sum()))).astype(x.dtype)
     active = None
     for _ in range(steps):
         now = y * (x @ w) < 1
@@ -155,23 +160,26 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> tuple[np.ndarr
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return np.zeros(1 << BITS, np.float32), 0.0, -10.0 if not len(y) or y.max() == 0 else 10.0
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    data, starts, owner = pieces(np.frombuffer(b"".join(raw), np.uint8), at)
+    parts, done = [], 0
+    for i in range(0, len(texts), 64):
+        raw = [t.encode("utf-8", "replace") for t in texts[i : i + 64]]
+        d, s, o = pieces(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+        parts.append((d, s + done, (o + i).astype(np.int32)))
+        done += len(d)
+    data, starts, owner = (np.concatenate(p) for p in zip(*parts))
+    if not len(starts):
+        return np.zeros(1 << BITS, np.float32), 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     ends = np.append(starts[1:], len(data))
-    at_text = np.repeat(owner, ends - starts)
-    counts = np.zeros((2, 1 << BITS))
-    wide = np.concatenate([data, np.full(SPAN, 32, np.uint8)])
-    for column, _ in columns(wide[: len(data) + SPAN - 1]):
-        pairs = np.unique(at_text[: len(column)] * (1 << BITS) + column)
-        text, c = pairs >> BITS, pairs & ((1 << BITS) - 1)
-        for side in (0, 1):
-            counts[side] += np.bincount(c[y[text] == side], minlength=1 << BITS)
-    odds = np.log((counts[1] + 1) / ((y == 1).sum() * len(GAPS) + 2)) - np.log((counts[0] + 1) / ((y == 0).sum() * len(GAPS) + 2))
+    counts = np.zeros((2, 1 << BITS), np.float32)
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    for k, f in enumerate(first):  # texts that hold a subsequence
+        s, e = int(starts[f]), len(data) if k + 1 == len(first) else int(starts[first[k + 1]])
+        wide = np.concatenate([data[s:e], np.full(SPAN - 1, 32, np.uint8)])
+        counts[y[owner[f]], np.unique(np.concatenate([c for c, _ in columns(wide)]))] += 1
+    odds = np.log((counts[1] + 1) / ((y == 1).sum() + 2)) - np.log((counts[0] + 1) / ((y == 0).sum() + 2))
     odds[counts.sum(0) < 4] = 0
     weights = odds.astype(np.float32)
     rng = np.random.default_rng(seed)
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
 
     def cut_out(which):
         size = ends[which] - starts[which]
@@ -189,10 +197,10 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> tuple[np.ndarr
         x_all, label = cut_out(np.concatenate([toxic, good])), np.concatenate([np.ones(len(toxic)), -np.ones(len(good))])
         marks = np.concatenate([rng.permutation(len(toxic))[: LANDMARKS // 2], len(toxic) + rng.permutation(len(good))[: LANDMARKS // 2]])
         chosen = [x_all[i] for i in marks]
-        values, basis = np.linalg.eigh(gram(chosen, chosen))
+        values, basis = np.linalg.eigh(gram(chosen, chosen).astype(np.float64))
         use = values > 1e-6
         root = basis[:, use] / np.sqrt(values[use])
-        w = svm(gram(x_all, chosen) @ root, label)
+        w = svm((gram(x_all, chosen) @ root).astype(np.float32), label)
         beta = root @ w[:-1]
         weights = np.zeros(1 << BITS, np.float32)
         for b, (c, v) in zip(beta, chosen):
