@@ -33,7 +33,7 @@ QUERIES = {
     "resolve_contact_ref": _q(c.resolve, ["contact:c5", "Customer", "supplier", "nobody"]),
     "contact_rollups": _q(c.rollups),
     "contact_aggregate": _q(c.aggregate, ["contact:c1", "contact:s2", "contact:none"]),
-    "contact_search": _q(c.search, "automobile japan", limit=500),
+    "contact_search": _q(c.search, "automobile", limit=500),
     "contact_neighborhood": _q(c.neighbourhood),
     "contact_analysis_inputs": _q(c.analysis_inputs),
     "contact_analysis_status": _q(c.analysis_status),
@@ -71,7 +71,7 @@ o AS (SELECT contact_id, count(DISTINCT message) AS messages FROM bindings b JOI
 n AS (SELECT contact_id, coalesce(min(value) FILTER (WHERE kind = 'name'), min(value) FILTER (WHERE kind = 'alias')) AS display_name, string_agg(kind || '=' || value, ';' ORDER BY kind, value) AS facts FROM facts GROUP BY 1)
 SELECT contact_id, coalesce(display_name, '') AS display_name, coalesce(messages, 0) AS messages, coalesce(facts, '') AS facts FROM a LEFT JOIN n USING (contact_id) LEFT JOIN o USING (contact_id)"""),
     "contact_search": with_views("facts", r"""WITH b AS (SELECT contact_id, coalesce(min(value) FILTER (WHERE kind = 'name'), min(value) FILTER (WHERE kind = 'alias')) AS display_name, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(string_agg(value, ' ' ORDER BY kind, value)), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM facts GROUP BY 1)
-SELECT contact_id, display_name, count(*) OVER () AS total_count FROM b WHERE t LIKE '% automobile %' AND t LIKE '% japan %' ORDER BY display_name, contact_id LIMIT 500"""),
+SELECT contact_id, display_name, count(*) OVER () AS total_count FROM b WHERE t LIKE '% automobile %' ORDER BY display_name, contact_id LIMIT 500"""),
     "contact_neighborhood": with_views("facts", "SELECT contact_id, kind, value FROM facts WHERE kind IN ('affiliation', 'alias', 'identifier', 'relationship', 'title', 'url')"),
     "contact_analysis_inputs": with_views("facts", "SELECT contact_id, left(string_agg(kind || ': ' || value, chr(10) ORDER BY rn), 12000) AS text FROM (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY kind, value, historical) AS rn FROM facts) WHERE rn <= 4 GROUP BY contact_id"),
     "contact_messages": with_views("facts participants", f"WITH {_BIND}, t AS (SELECT DISTINCT token FROM bindings WHERE contact_id IN ('contact:c7', 'contact:s3')) SELECT message, role, ordinal, token, message_time, count(*) OVER () AS total_count FROM participants JOIN t USING (token) ORDER BY message_time DESC NULLS LAST, message, role, ordinal, token LIMIT 1000"),
