@@ -8,7 +8,7 @@ from lodestone.functions import text as t
 from lodestone.functions.categories import RULES, categories, dictionary_family
 from lodestone.plans.views import Views, with_views
 
-_docs = lambda *cols: lambda s, d: Views(s, d).table("documents").select("doc_id", *cols)
+_docs = lambda cols: lambda s, d: Views(s, d).table("documents").select("doc_id", *cols())  # noqa: E731  columns need a session
 
 
 def _phones(s, d):
@@ -77,7 +77,7 @@ def _compound_text(s, d):
 
 QUERIES = {
     "message_fingerprint": _message,
-    "body_line_fingerprint": _docs(t.body_fingerprint("text").alias("fingerprint")),
+    "body_line_fingerprint": _docs(lambda: [t.body_fingerprint("text").alias("fingerprint")]),
     "normalize_message_id": lambda s, d: _message(s, d).select("conv_id", "turn", "message_id"),
     "normalize_phone": _phones,
     "normalize_url": lambda s, d: Views(s, d).table("pages").select("page_id", t.url("url").alias("url")),
@@ -85,9 +85,9 @@ QUERIES = {
     "alias_slug": lambda s, d: Views(s, d).table("part").select("p_partkey", t.alias_slug("p_name").alias("slug")),
     "name_tokens": _names,
     "stable_uid": lambda s, d: Views(s, d).table("customer").select("c_custkey", t.stable_uid("c_name").alias("uid")),
-    "usable_text": _docs(t.usable("text").alias("usable")),
-    "collapse_text": _docs(F.sha2(t.collapse("text").cast("binary"), 256).alias("collapsed")),
-    "token_counts": _docs(F.size(t.tokens("text")).alias("tokens"), F.size(F.array_distinct(t.tokens("text"))).alias("distinct_tokens")),
+    "usable_text": _docs(lambda: [t.usable("text").alias("usable")]),
+    "collapse_text": _docs(lambda: [F.sha2(t.collapse("text").cast("binary"), 256).alias("collapsed")]),
+    "token_counts": _docs(lambda: [F.size(t.tokens("text")).alias("tokens"), F.size(F.array_distinct(t.tokens("text"))).alias("distinct_tokens")]),
     "top_terms": _terms,
     "categories": _categories,
     "dictionary_family": _families,

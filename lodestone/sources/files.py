@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ SKIPPED = r"/(tmp|\.git)/|/(\.overview|\.marks|active|\.mh_sequences)$"
 def files(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """path, media_type, modified, length, content of all files below a folder, in path order where a limit is given."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    df = df.where(~F.col("path").rlike(SKIPPED))
+    below = F.substr(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), F.lit(len(re.sub("^[a-z0-9]+:/+", "/", path.rstrip("/"))) + 1))
+    df = df.where(~below.rlike(SKIPPED))
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in MEDIA.items() for x in kv])[extension], F.when(F.substring(F.col("content").cast("string"), 1, 5).isin("From ", "Retur"), "message/rfc822"), F.lit("application/octet-stream"))
     out = df.select("path", kind.alias("media_type"), F.col("modificationTime").alias("modified"), "length", "content")
