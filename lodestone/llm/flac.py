@@ -223,6 +223,8 @@ def split_stream(raw: bytes) -> tuple[dict, list[tuple[int, int]]]:
         raise Corrupt("no STREAMINFO")
     if len(points) * info["block"] >= info["samples"] > (len(points) - 1) * info["block"]:
         edges = [at + p for p in points] + [len(raw)]
+        if any(b - a < 8 for a, b in zip(edges, edges[1:])):
+            raise Corrupt("bad seek table")
         return info, list(zip(edges, edges[1:]))
     data = np.frombuffer(raw, np.uint8)
     found, begin = [], at
