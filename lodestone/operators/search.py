@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import body_fingerprint
 from lodestone.operators.common import best_per_key, exists, paged, sorted_set, web_search
+from lodestone.plans.fixpoint import written
 from lodestone.plans.views import Views
 
 ASC = lambda *cs: [F.col(c).asc_nulls_last() for c in cs]
@@ -36,7 +37,8 @@ def search(v: Views, text: str | None = None, facets: Sequence[str] = (), media_
         found = exists(found, v.parts().where(F.col("role") == part_role), "digest")
     if analyzer:
         found = exists(found, v.analysis().where(F.col("analyzer") == analyzer), "digest")
-    page = paged(found.select("digest", "object_id", "media_type"), [F.col("object_id"), F.col("digest")], limit, offset)
+    found = written(found.select("digest", "object_id", "media_type"), "hits")  # the page, the total and the facets read it
+    page = paged(found, [F.col("object_id"), F.col("digest")], limit, offset)
     kinds = exists(v.facets(), F.broadcast(page.select("digest")), "digest").groupBy("digest").agg(F.array_join(sorted_set("kind"), ",").alias("facets"))  # a page: 1000 rows at most
     return page.join(kinds, "digest", "left").withColumn("score", F.lit(1.0))
 
