@@ -202,3 +202,41 @@ def test_fixpoints_end_on_cycles(spark):
 
 def test_sha_of_nul_joined_parts(spark):
     assert values(spark, ["b"], text.joined_hash(F.lit("a"), "x")) == [hashlib.sha256(b"a\0b").hexdigest()]
+
+
+def test_cosine_pairs_and_clusters(spark):
+    from lodestone.operators.discovery import cosine_pairs, discover, tfidf
+
+    texts = ["apple pie recipe sugar", "apple pie recipe butter", "engine oil change motor", "motor engine oil filter", "lonely words here only", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    v = tfidf(docs)
+    vectors = {}
+    for r in v.collect():
+        vectors.setdefault(r.id, {})[r.term] = r.w
+    want = {(a, b) for a in vectors for b in vectors if a < b and sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items()) >= 0.3}
+    assert {(r.a, r.b) for r in cosine_pairs(v, 0.3).collect()} == want and (0, 1) in want
+    got = discover(docs, eps=0.7).collect()
+    assert sorted(r["size"] for r in got) == [2, 2] and any("apple" in r.terms for r in got)
+
+
+def test_messages(spark):
+    from lodestone.functions import messages as m
+
+    rows = ["@ann commented on it\nsee https://x.example/a/b/pull/12#c and https://y.example", "none"]
+    assert values(spark, rows, m.review_link(F.col("x"))) == ["https://x.example/a/b/pull/12", ""]
+    assert values(spark, rows, m.actor(F.col("x"))) == ["ann", ""]
+    assert values(spark, ["joe\\40Home.xmpp@im.local", "a@b"], m.account_of(F.col("x"), "@im.local")) == ["joe@home.xmpp", ""]
+    assert m.valid_summary("Short and new.", "Other source text") == (True, "")
+    assert [m.valid_summary(*a)[1] for a in [("", ""), ("x" * 501, ""), ("- a\n- b\n- c\n- d", ""), ("the very same words " * 10, "the very same words " * 12)]] == ["empty", "too long", "too many bullets", "echoes its source"]
+    assert m.guard_graph_query("MATCH (n) RETURN n", ["n agtype"]).endswith("LIMIT 100")
+    for bad in ("CREATE (n) RETURN n", "MATCH (n) DELETE n", "MATCH (n) RETURN n; DROP x"):
+        with pytest.raises(ValueError):
+            m.guard_graph_query(bad, ["n"])
+    with pytest.raises(ValueError):
+        m.guard_graph_query("MATCH (n) RETURN n", ["n; drop"])
+
+
+def test_search_text_is_cut_between_characters(spark):
+    from lodestone.plans.projection import byte_prefix
+
+    assert values(spark, ["abcé", "ab", "aéé"], byte_prefix(F.col("x"), 4)) == ["abc", "ab", "aé"]
