@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, map_arrow, slices, table
 
-MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 20, 25
+MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 25, 25
 PIECE = re.compile(r"\S+\s*")
 
 

@@ -183,7 +183,7 @@ def test_spans_match_brute_force(spark):
         parts = [t[s:e].lower().split() for s, e in spans.sentences(t)]
         for s in range(len(parts)):
             for e in range(s + 2, len(parts) + 1):
-                if sum(map(len, parts[s:e])) >= 20:
+                if sum(map(len, parts[s:e])) >= spans.MIN_WORDS:
                     key = tuple(map(tuple, parts[s:e]))
                     if key in seen:
                         gone[i] |= set(range(s, e))
