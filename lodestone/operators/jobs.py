@@ -66,7 +66,7 @@ def backpressure(v: Views, high: int = 40, low: int = 20) -> DataFrame:
 
     The state is the last hour's mark that was at or beyond a water line, so a window with nulls ignored gives it.
     """
-    hourly = v.table("events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.sum(F.when(F.col("value") > 50, 1).otherwise(-1)).alias("delta"))
+    hourly = v.table("events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.sum(F.when(F.col("value") > 50, 1).otherwise(-1)).alias("delta"))
     w = W.partitionBy("event_type").orderBy("hour")
     d = hourly.withColumn("depth", F.sum("delta").over(w))
     mark = F.when(F.col("depth") >= high, True).when(F.col("depth") <= low, False)
@@ -129,7 +129,7 @@ def changed_since(v: Views, since: str) -> DataFrame:
     """user_id, last change of every user that changed after a time, once each; an empty time is all of them."""
     e = v.table("events")
     if since:
-        e = e.where(F.col("ts") > F.lit(since).cast("timestamp"))
+        e = e.where(F.col("ts") > F.lit(since).cast("timestamp_ntz"))
     return e.groupBy("user_id").agg(F.max("ts").alias("changed_at"), F.count("*").alias("changes"))
 
 

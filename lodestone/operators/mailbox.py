@@ -51,15 +51,15 @@ def email_query(v: Views, text: str | None = None, mailbox: str | None = None, h
     if lacks:
         e = e.where(~F.array_contains("keywords", lacks))
     if after:
-        e = e.where(F.col("received_at") >= F.lit(after).cast("timestamp"))
+        e = e.where(F.col("received_at") >= F.lit(after).cast("timestamp_ntz"))
     if before:
-        e = e.where(F.col("received_at") < F.lit(before).cast("timestamp"))
+        e = e.where(F.col("received_at") < F.lit(before).cast("timestamp_ntz"))
     return paged(e.select("email_id", "thread_id", "received_at"), [F.col("received_at").desc_nulls_last(), F.col("email_id")], limit)
 
 
 def threads(v: Views) -> DataFrame:
     """thread_id, emails in the order received, those without a time last."""
-    one = F.struct(F.coalesce("received_at", F.lit("9999-12-31").cast("timestamp")).alias("t"), "email_id")
+    one = F.struct(F.coalesce("received_at", F.lit("9999-12-31").cast("timestamp_ntz")).alias("t"), "email_id")
     return v.emails().groupBy("thread_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["email_id"]), ",").alias("emails"), F.count("*").alias("n"))
 
 

@@ -19,7 +19,7 @@ def _rebuild(s, d):
 
 QUERIES = {f"project_{name}": _table(name) for name in p.TABLES} | {
     "project_rebuild": _rebuild,
-    "project_changed": lambda s, d: p.objects(p.manifests(Views(s, d)).where("updated > timestamp'2024-01-01 05:00:00'")),
+    "project_changed": lambda s, d: p.objects(p.manifests(Views(s, d)).where("updated > timestamp_ntz'2024-01-01 05:00:00'")),
     "merge_manifest_records": lambda s, d: p.merge(p.manifests(Views(s, d))),
     "search_text_truncated": lambda s, d: p.search_text(p.manifests(Views(s, d)), most=57),
 }

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.views import Views
 
-SCHEMA = """digest string, object_id string, media_type string, roles array<string>, created timestamp, updated timestamp,
+SCHEMA = """digest string, object_id string, media_type string, roles array<string>, created timestamp_ntz, updated timestamp_ntz,
 facets array<struct<kind:string,name:string,version:string,metadata:map<string,string>>>, titles array<struct<value:string,source:string,confidence:double>>,
 provenance array<struct<source_kind:string,source_name:string,external_id:string,version:string>>, relationships array<struct<type:string,from:string,to:string,role:string,ord:int>>,
 parts array<struct<digest:string,role:string,ord:int>>, graph_facts array<struct<subject:string,predicate:string,object:string>>, keywords array<string>,
-embeddings array<struct<model:string,id:string,vector:array<float>>>, annotations array<struct<kind:string,analyzer:string,version:string,generated:timestamp,data:map<string,string>>>,
+embeddings array<struct<model:string,id:string,vector:array<float>>>, annotations array<struct<kind:string,analyzer:string,version:string,generated:timestamp_ntz,data:map<string,string>>>,
 overlays map<string,string>, findings array<string>"""
 #: Fixed value: bytes of search text that are kept.
 SEARCH_BYTES = 500_000
@@ -26,7 +26,7 @@ SEARCH_BYTES = 500_000
 def manifests(v: Views) -> DataFrame:
     """The documents as manifests, one a record."""
     d = v.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars")
-    day = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60)
+    day = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int), 0)")
     lab = v.table("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     d = d.join(lab, "doc_id", "left")
     s = F.col("doc_id").cast("string")
@@ -150,7 +150,7 @@ TABLES: dict[str, Callable[[DataFrame], DataFrame]] = {
 def rebuild(m: DataFrame, folder: str, changed_since: str | None = None) -> DataFrame:
     """Write every table below the folder and report (table, rows). With changed_since only manifests updated after it, as an own version beside the last."""
     if changed_since:
-        m = m.where(F.col("updated") > F.lit(changed_since).cast("timestamp"))
+        m = m.where(F.col("updated") > F.lit(changed_since).cast("timestamp_ntz"))
     counts = []
     for name, project in TABLES.items():
         path = f"{folder}/{name}"

@@ -108,7 +108,7 @@ class Views:
     def emails(self) -> DataFrame:
         """digest, thread_id, received_at, mailbox, keywords: the mail state of each turn."""
         ev = self.table("conversations")
-        received = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id % 500 as int), cast(turn as int), 0)")
+        received = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id % 500 as int), cast(turn as int), 0)")
         box = F.when(F.col("role") == "system", "trash").when(F.col("role") == "assistant", "sent").otherwise("inbox")
         words = F.array_compact(F.array(F.when(F.col("turn") % 2 == 0, "$seen"), F.when(F.col("conv_id") % 5 == 0, "$flagged")))
         return ev.select(F.concat(F.lit("turn:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("email_id"), F.col("conv_id").alias("thread_id"), F.when(F.col("turn") < 7, received).alias("received_at"), box.alias("mailbox"), words.alias("keywords"), "text")
