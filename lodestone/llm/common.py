@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -11,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space of the words and line keys of this subpackage: space and 0x09-0x0D.
@@ -65,10 +68,34 @@ def fold(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("0")).cast("binary")), F.lit(5))
 
 
+def first_by_hash(df: DataFrame, label: str, key: str, most: int, salts: int = 64) -> DataFrame:
+    """The `most` rows of each label that come first by the hash of their key, with their `rank`.
+
+    Ranks are taken within salted parts of a label and then among what those kept, so that no task sees more of a label than
+    a part of it or salts * most rows.
+    """
+    h = df.withColumn("_h", F.xxhash64(key))
+    part = W.partitionBy(label, F.pmod(F.col("_h"), F.lit(salts))).orderBy("_h", key)
+    kept = h.withColumn("_p", F.row_number().over(part)).where(F.col("_p") <= most).drop("_p")
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy(label).orderBy("_h", key))).where(F.col("rank") <= most).drop("_h")
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow with batches of some megabytes, so that neither the executor's nor the worker's memory grows with the length of the rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the machine: workers live on between tasks, and an executor's memory is theirs and its JVM's together."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another libc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

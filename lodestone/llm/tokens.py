@@ -14,7 +14,7 @@ from lodestone.llm.common import joined_bytes, map_arrow, scratch, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker remembers; it forgets all of them beyond this.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS, TABLE_BITS = 700_000, 21
 _workers: dict[str, WordIds] = {}
 
 
@@ -41,7 +41,7 @@ class WordIds:
         return _workers[path]
 
     def reset(self) -> None:
-        self.table, self.pool = words.Table(), np.zeros(1 << 20, np.int32)
+        self.table, self.pool = words.Table(TABLE_BITS), np.zeros(1 << 20, np.int32)
         self.first, self.size, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
