@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, cut, running_totals, table
+from lodestone.llm.common import WORD, cut, map_arrow, running_totals, slices, table
 
 #: Points live in [0, 2^48); the step is 2^48 divided by the golden ratio, made odd.
 GRID = 1 << 48
 STEP = 173961102589771
 WEIGHTS = (5, 2, 1)
+_WORD = re.compile(WORD)
 
 
 def golden_point(i):
@@ -101,17 +107,36 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     taken = cut(mixed.groupBy("doc_id", "key").agg(F.max("size").alias("size"), F.floor(F.avg("taken")).cast("long").alias("taken")), "mix-taken")
     seed = options.get("seed", 7)
     rows = docs.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    joined = rows.join(taken.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "size", "taken"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
-    whole = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr("taken div size"))
-    rest = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.expr("taken % size"))
-    lengths = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    out = joined.withColumn("_n", F.explode(lengths))
-    # the first n words with the white space before each
-    start = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){', _n, '}'), 0)")
-    columns = [F.when(F.col("_n") < 0, F.col("text")).otherwise(start).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    if "n_chars" in docs.columns:
-        columns[docs.columns.index("n_chars")] = F.when(F.col("_n") < 0, F.col("n_chars")).otherwise(F.length(start)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*columns)
+    joined = rows.join(taken.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("size").alias("_size"), F.col("taken").alias("_taken")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
+    whole = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.expr("_taken div _size")).cast("int").alias("_whole")
+    rest = F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.expr("_taken % _size")).cast("long").alias("_rest")
+    names = docs.columns
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def deal(batches):
+        for b in slices(batches, text, 2 << 20):
+            times, left = b.column(len(names)).to_numpy(), b.column(len(names) + 1).to_numpy()
+            full = b.select(names).take(pa.array(np.repeat(np.arange(b.num_rows), times)))
+            yield full
+            some = np.flatnonzero(left > 0)
+            if len(some):
+                part = b.select(names).take(pa.array(some))
+                cut = [first_words(t, n) for t, n in zip(part.column(text).to_pylist(), left[some].tolist())]
+                columns = part.columns
+                columns[text] = pa.array(cut, part.schema.field(text).type)
+                if chars is not None:
+                    columns[chars] = pa.array([len(t) for t in cut], part.schema.field(chars).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return map_arrow(joined.select(*names, whole, rest).where("_whole > 0 or _rest > 0"), deal, docs.schema)
+
+
+def first_words(text: str, n: int) -> str:
+    """The first n words, with the white space before each."""
+    end = 0
+    for m in itertools.islice(_WORD.finditer(text), n):
+        end = m.end()
+    return text[:end]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
