@@ -6,11 +6,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm import words
-from lodestone.llm.common import fold, joined_bytes, map_arrow, slices, table
+from lodestone.llm.common import first_by_hash, fold, give_back, joined_bytes, map_arrow, slices, table
 
 #: n-grams of 1 to 4 bytes, each length hashed to so many columns.
 LENGTHS, BITS = (1, 2, 3, 4), 13
@@ -79,9 +78,8 @@ def train(samples: np.ndarray, labels: list[str], seed: int = 5) -> tuple[list[s
 
 def sample_ids(docs: DataFrame, per_label: int = PER_LANGUAGE, most: int = MOST_SAMPLES) -> DataFrame:
     """Ids and languages to learn from: by hash, per_label of each language at most and `most` in all, never from the held-out fold."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    first = known.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= per_label)
-    return first.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("rank").alias("rank")).orderBy("rank", "lang", "doc_id").limit(most).select("doc_id", "lang")
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "lang")
+    return first_by_hash(known, "lang", "doc_id", per_label).groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("rank").alias("rank")).orderBy("rank", "lang", "doc_id").limit(most).select("doc_id", "lang")
 
 
 def fit(docs: DataFrame, per_label: int = PER_LANGUAGE, most: int = MOST_SAMPLES) -> tuple[list[str], np.ndarray]:
@@ -102,7 +100,9 @@ def fit(docs: DataFrame, per_label: int = PER_LANGUAGE, most: int = MOST_SAMPLES
     rows = map_arrow(rows, features, "doc_id bigint, label string, bits binary").limit(2 * most).collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.bits)))  # the same rows give the same model
     packed = np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1)
-    return train(np.unpackbits(packed, axis=1, count=COLUMNS), [r.label for r in rows])
+    model = train(np.unpackbits(packed, axis=1, count=COLUMNS), [r.label for r in rows])
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:

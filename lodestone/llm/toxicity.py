@@ -7,18 +7,17 @@ import itertools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fold, joined_bytes, map_arrow, slices, table
+from lodestone.llm.common import first_by_hash, fold, give_back, joined_bytes, map_arrow, slices, table
 
 #: Subsequences of 4 bytes within 6, weighted by DECAY for each skipped byte, hashed to 2^BITS columns.
 SPAN, DECAY, BITS = 6, 0.6, 20
 GAPS = [(i, j, k) for i, j, k in itertools.combinations(range(1, SPAN), 3)]
 WORDS_IN_PIECE = 1
 PER_LABEL, LANDMARKS, ROUNDS = 1500, 800, 3
-#: Sentence pieces of clean texts for each toxic one: the highest rated, and others at random.
-HARD, EASY = 4, 3
+#: Sentence pieces of clean texts for each toxic one, and in all at most: the highest rated, and others at random.
+HARD, EASY, MOST_HARD, MOST_EASY = 16, 8, 7000, 4000
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _KIND = np.ones(256, np.uint8)  # 0 blank, 1 letter (bytes of other scripts too), 2 end of a sentence, 3 other ASCII
 _KIND[:128] = 3
@@ -119,35 +118,44 @@ def vectors(data: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def gram(x: list, y: list) -> np.ndarray:
-    """The kernel between two lists of vectors."""
-    used = np.unique(np.concatenate([c for c, _ in y]))
-    dense = np.zeros((len(used), len(y)), np.float32)
-    for j, (c, v) in enumerate(y):
-        dense[np.searchsorted(used, c), j] = v
+def gram(x: list, y: list, block: int = 128) -> np.ndarray:
+    """The kernel between two lists of vectors, a block of the second list as a dense matrix at a time."""
     out = np.zeros((len(x), len(y)), np.float32)
-    for i, (c, v) in enumerate(x):
-        p = np.minimum(np.searchsorted(used, c), len(used) - 1)
-        hit = used[p] == c
-        out[i] = v[hit] @ dense[p[hit]]
+    for k in range(0, len(y), block):
+        part = y[k : k + block]
+        used = np.unique(np.concatenate([c for c, _ in part]))
+        dense = np.zeros((len(used), len(part)), np.float32)
+        for j, (c, v) in enumerate(part):
+            dense[np.searchsorted(used, c), j] = v
+        for i, (c, v) in enumerate(x):
+            p = np.minimum(np.searchsorted(used, c), len(used) - 1)
+            hit = used[p] == c
+            out[i, k : k + block] = v[hit] @ dense[p[hit]]
     return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 60) -> np.ndarray:
-    """Weights (the last one the offset) of a squared-hinge linear machine, by Newton steps on the margin's violators."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 60, block: int = 1024) -> np.ndarray:
+    """Weights of a squared-hinge linear machine, by Newton steps on the margin's violators; the last column of x is all ones, for
+    the offset. x may be of half precision: it is read in blocks."""
     w = np.zeros(x.shape[1])
     penalty = np.eye(x.shape[1])
     penalty[-1, -1] = 1e-6
-    balance = np.where(y > 0, 1.0, max(1e-9, (y > 0).sum() / max(1, (y < 0).sum()))).astype(x.dtype)
+    balance = np.where(y > 0, 1.0, max(1e-9, (y > 0).sum() / max(1, (y < 0).sum())))
     active = None
     for _ in range(steps):
-        now = y * (x @ w) < 1
+        now, square, right = np.zeros(len(y), bool), np.zeros_like(penalty), np.zeros_like(w)
+        for i in range(0, len(y), block):
+            rows, side = x[i : i + block].astype(np.float32), y[i : i + block]
+            hit = side * (rows @ w) < 1
+            now[i : i + block] = hit
+            root = np.sqrt(balance[i : i + block][hit]).astype(np.float32)
+            rows = rows[hit] * root[:, None]
+            square += rows.T @ rows
+            right += rows.T @ (root * side[hit])
         if active is not None and (now == active).all():
             break
         active = now
-        a = x[active] * balance[active, None]
-        w = np.linalg.solve(penalty + cost * a.T @ x[active], cost * a.T @ y[active])
+        w = np.linalg.solve(penalty + cost * square, cost * right)
     return w
 
 
@@ -191,17 +199,24 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> tuple[np.ndarr
         top = np.repeat(np.maximum.reduceat(score, first), np.diff(np.append(first, len(owner))))
         toxic = np.flatnonzero((score == top) & (y[owner] == 1))
         clean = np.flatnonzero(y[owner] == 0)
-        hard = clean[np.argsort(-score[clean], kind="stable")[: HARD * len(toxic)]]
-        easy = rng.choice(clean, min(len(clean), EASY * len(toxic)), replace=False)
+        hard = clean[np.argsort(-score[clean], kind="stable")[: min(MOST_HARD, HARD * len(toxic))]]
+        easy = rng.choice(clean, min(len(clean), MOST_EASY, EASY * len(toxic)), replace=False)
         good = np.unique(np.concatenate([hard, easy]))
         x_all, label = cut_out(np.concatenate([toxic, good])), np.concatenate([np.ones(len(toxic)), -np.ones(len(good))])
         marks = np.concatenate([rng.permutation(len(toxic))[: LANDMARKS // 2], len(toxic) + rng.permutation(len(good))[: LANDMARKS // 2]])
         chosen = [x_all[i] for i in marks]
         values, basis = np.linalg.eigh(gram(chosen, chosen).astype(np.float64))
         use = values > 1e-6
-        root = basis[:, use] / np.sqrt(values[use])
-        w = svm((gram(x_all, chosen) @ root).astype(np.float32), label)
-        beta = root @ w[:-1]
+        root = (basis[:, use] / np.sqrt(values[use])).astype(np.float32)
+        # the offset's column comes with the product
+        root = np.hstack([root, np.zeros((len(root), 1), np.float32)])
+        features = np.empty((len(x_all), root.shape[1]), np.float16)
+        for i in range(0, len(x_all), 1024):
+            features[i : i + 1024] = gram(x_all[i : i + 1024], chosen) @ root
+        features[:, -1] = 1
+        w = svm(features, label)
+        del features
+        beta = root[:, :-1] @ w[:-1]
         weights = np.zeros(1 << BITS, np.float32)
         for b, (c, v) in zip(beta, chosen):
             weights[c] += np.float32(b) * v.astype(np.float32)
@@ -228,14 +243,16 @@ def platt(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, float, float]:
     """Learn from the texts of a bounded sample: per_label documents of each label, by hash, never from the held-out fold."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id")) != 0)
-    ranked = known.withColumn("rank", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rank") <= per_label)
-    ids = ranked.select("doc_id", "toxic").collect()
+    ids = first_by_hash(known, "toxic", "doc_id", per_label).select("doc_id", "toxic").collect()
     if not ids:
         return train([], [])
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id bigint, toxic int"))  # 2 * per_label rows
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id").limit(4 * per_label).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    model = train([r.text for r in rows], [r.toxic for r in rows])
+    del rows
+    give_back()
+    return model
 
 
 def scores(texts: pa.Array, model: tuple[np.ndarray, float, float]) -> np.ndarray:
