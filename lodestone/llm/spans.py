@@ -14,35 +14,46 @@ from lodestone.llm.common import cut, map_arrow, slices, table
 
 MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 25, 25
 PIECE = re.compile(r"\S+\s*")
+SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+$")
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Character ranges of the sentences of a text: up to . ! ? or the line's end; longer ones are cut every LONG_SENTENCE words."""
+def _parts(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of the sentences of a text."""
     found = []
-    for m in re.finditer(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+$", text):
+    for m in SENTENCE.finditer(text):
         s, e = m.span()
-        words = [w.span() for w in PIECE.finditer(text, s, e)]
+        segment = m[0]
+        words = segment.split()
         if not words:
             continue
-        for k in range(0, len(words), LONG_SENTENCE):
-            part = words[k : k + LONG_SENTENCE]
-            found.append((part[0][0], part[-1][1]))
+        if len(words) <= LONG_SENTENCE:
+            found.append((s + len(segment) - len(segment.lstrip()), e, words))
+            continue
+        spans = [w.span() for w in PIECE.finditer(text, s, e)]
+        for k in range(0, len(spans), LONG_SENTENCE):
+            part = spans[k : k + LONG_SENTENCE]
+            found.append((part[0][0], part[-1][1], words[k : k + LONG_SENTENCE]))
     return found
 
 
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Character ranges of the sentences of a text: up to . ! ? or the line's end; longer ones are cut every LONG_SENTENCE words."""
+    return [(s, e) for s, e, _ in _parts(text)]
+
+
 def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentences, digest) of the shortest run from each sentence that has min_sentences and min_words."""
-    parts = [text[s:e].lower().split() for s, e in sentences(text)]
-    found, end, words = [], 0, 0
+    parts = [words for _, _, words in _parts(text)]
+    lines = [" ".join(words).lower() for words in parts]
+    found, end, count = [], 0, 0
     for i in range(len(parts)):
-        while end < len(parts) and (words < min_words or end - i < min_sentences):
-            words += len(parts[end])
+        while end < len(parts) and (count < min_words or end - i < min_sentences):
+            count += len(parts[end])
             end += 1
-        if words < min_words or end - i < min_sentences:
+        if count < min_words or end - i < min_sentences:
             break
-        key = "\n".join(" ".join(p) for p in parts[i:end])
-        found.append((i, end - i, hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=16).digest()))
-        words -= len(parts[i])
+        found.append((i, end - i, hashlib.blake2b("\n".join(lines[i:end]).encode("utf-8", "replace"), digest_size=16).digest()))
+        count -= len(parts[i])
     return found
 
 
