@@ -2,7 +2,8 @@
 
 Documents walk down independent trees: a node picks one or two coordinates of the MinHash signature, and documents that agree
 there share a child. Nodes of a few documents are compared exhaustively, larger ones branch on. Candidate pairs are confirmed
-on the full shingle sets, those first that can join most, so that a group of many near copies costs about one check a document.
+on the full shingle sets, those first that can join most, so that a group of many near copies costs about one check a document;
+nodes are then compared again for every pair that is still in two components.
 """
 
 from __future__ import annotations
@@ -142,9 +143,13 @@ def likeliest(left: np.ndarray, right: np.ndarray, est: np.ndarray, most: int) -
     return np.unique(which[order][rank < most])
 
 
-def candidates(reps: DataFrame, percent: int, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
-    """(a, b, est) with a < b: pairs of reps (rep, n, sig) that meet in some node and whose sizes and signatures allow the similarity."""
-    least = math.floor(ESTIMATES * percent / 100 - 4 * math.sqrt(ESTIMATES * percent / 100 * (1 - percent / 100)))
+def _least(percent: int) -> int:
+    """The fewest equal estimates that allow the similarity."""
+    return math.floor(ESTIMATES * percent / 100 - 4 * math.sqrt(ESTIMATES * percent / 100 * (1 - percent / 100)))
+
+
+def meetings(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+    """(node, rep, c) of the nodes of 2 to `small` members, and of those still larger after all levels (None where there are none)."""
 
     def roots(batches):
         for b in batches:
@@ -162,15 +167,41 @@ def candidates(reps: DataFrame, percent: int, trees: int = TREES, depth: int = D
 
         return go
 
+    active = map_arrow(reps.select("rep", "sig"), roots, "node bigint, rep bigint")
+    leaves = []
+    for level in range(1, depth + 1):
+        active = cut(active, "paths")
+        sizes = active.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
+        marked = cut(active.join(sizes, "node"), "nodes")
+        leaves.append(marked.where(F.col("c") <= small).select("node", "rep", "c"))
+        large = marked.where(F.col("c") > small).select("node", "rep", "c")
+        if not large.limit(1).count():
+            large = None
+            break
+        if level < depth:
+            active = map_arrow(large.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig"), branch(level), "node bigint, rep bigint")
+    met = leaves[0]
+    for more in leaves[1:]:
+        met = met.unionByName(more)
+    return met, large
+
+
+def compared(met: DataFrame, reps: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """(a, b, est): the pairs within nodes (node, rep) whose sizes and signatures allow the similarity, of reps (rep, n, sig, label).
+
+    Pairs with equal labels are left out; with `most` a pair must be among the `most` likeliest of one of its ends in the node.
+    """
+    least = _least(percent)
+
     def pairs(batches):
         held = None
         for b in itertools.chain(batches, [None]):
             if b is not None:
-                now = [b.column(i).to_numpy() for i in range(3)] + [_estimates(b.column(3))]
+                now = [b.column(i).to_numpy() for i in range(4)] + [_estimates(b.column(4))]
                 held = now if held is None else [np.concatenate([x, y]) for x, y in zip(held, now)]
             if held is None or not len(held[0]):
                 continue
-            node, rep, n, sig = held
+            node, rep, n, label, sig = held
             edge = np.flatnonzero(node[1:] != node[:-1]) + 1
             edge = np.concatenate([[0], edge, [len(node)]])
             if b is not None:  # the last node may go on in the next batch
@@ -184,53 +215,60 @@ def candidates(reps: DataFrame, percent: int, trees: int = TREES, depth: int = D
                     parts = []
                     for c in range(0, len(i), CHUNK):
                         x, y = ((first[s : s + step, None] + k[c : c + CHUNK]).ravel() for k in (i, j))
-                        ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+                        ok = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
                         x, y = x[ok], y[ok]
                         est = (sig[x] == sig[y]).sum(1, dtype=np.int32)
                         ok = est >= least
                         parts.append((x[ok], y[ok], est[ok]))
                     x, y, est = (np.concatenate(p) for p in zip(*parts))
-                    ok = likeliest(x, y, est, PARTNERS)
-                    x, y, est = rep[x[ok]], rep[y[ok]], est[ok]
+                    if most is not None:
+                        ok = likeliest(x, y, est, most)
+                        x, y, est = x[ok], y[ok], est[ok]
+                    x, y = rep[x], rep[y]
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(est.astype(np.int32))], names=["a", "b", "est"])
             held = [x[edge[-1] :] for x in held] if b is not None else None
 
-    active = map_arrow(reps.select("rep", "sig"), roots, "node bigint, rep bigint")
-    leaves = []
-    for level in range(1, depth + 1):
-        active = cut(active, "paths")
-        sizes = active.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-        marked = cut(active.join(sizes, "node"), "nodes")
-        leaves.append(marked.where(F.col("c") <= small).select("node", "rep"))
-        large = marked.where(F.col("c") > small).select("node", "rep")
-        if not large.limit(1).count():
-            large = None
-            break
-        if level < depth:
-            active = map_arrow(large.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig"), branch(level), "node bigint, rep bigint")
-    met = leaves[0]
-    for more in leaves[1:]:
-        met = met.unionByName(more)
-    full = met.join(reps, "rep").select("node", "rep", "n", "sig").repartition("node").sortWithinPartitions("node")
-    found = map_arrow(full, pairs, "a bigint, b bigint, est int")
-    if large is not None:
-        # what is still together after all levels is alike throughout: a few members of each node, found by minima, meet all others
-        picks = large.groupBy("node").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep"), "rep"))["rep"].alias(f"p{i}") for i in range(PIVOTS)])
-        picks = cut(picks.select("node", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("pivot")), "pivots")
-        star = large.join(picks, "node").where("rep != pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        left, right = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
-        star = star.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
-
-        def agree(batches):
-            for b in batches:
-                est = (_estimates(b.column(2)) == _estimates(b.column(3))).sum(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(est.astype(np.int32))], names=["a", "b", "est"]).filter(pa.array(est >= least))
+    full = met.join(reps, "rep").select("node", "rep", "n", "label", "sig").repartition("node").sortWithinPartitions("node")
+    return map_arrow(full, pairs, "a bigint, b bigint, est int")
+
+
+def _stars(large: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, est) of a few members of each node, found by minima, with all others."""
+    least = _least(percent)
+    picks = large.groupBy("node").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep"), "rep"))["rep"].alias(f"p{i}") for i in range(PIVOTS)])
+    picks = cut(picks.select("node", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("pivot")), "pivots")
+    star = large.join(picks, "node").where("rep != pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    left, right = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
+    star = star.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+
+    def agree(batches):
+        for b in batches:
+            est = (_estimates(b.column(2)) == _estimates(b.column(3))).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(est.astype(np.int32))], names=["a", "b", "est"]).filter(pa.array(est >= least))
+
+    return map_arrow(star, agree, "a bigint, b bigint, est int")
+
 
-        found = found.unionByName(map_arrow(star, agree, "a bigint, b bigint, est int"))
+def _first_round(met: DataFrame, large: DataFrame | None, reps: DataFrame, percent: int) -> DataFrame:
+    found = compared(met.select("node", "rep"), reps.withColumn("label", F.col("rep")), percent, PARTNERS)
+    if large is not None:
+        found = found.unionByName(_stars(large.select("node", "rep"), reps, percent))
     return cut(found.groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
 
 
+def candidates(reps: DataFrame, percent: int, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
+    """(a, b, est) with a < b: the first round's pairs of reps (rep, n, sig), the likeliest of those that meet in some node and whose sizes and signatures allow the similarity."""
+    return _first_round(*meetings(reps, trees, depth, small), reps, percent)
+
+
+def missed(met: DataFrame, reps: DataFrame, percent: int, labels: DataFrame) -> DataFrame:
+    """(a, b, est): all pairs of two components, by labels (id, component), that meet in nodes (node, rep, c) where the first round may have left pairs out."""
+    named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("label"))
+    found = compared(met.where(F.col("c") > PARTNERS + 1).select("node", "rep"), named, percent, None)
+    return cut(found.groupBy("a", "b").agg(F.max("est").alias("est")), "missed")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets (rep, set: sorted 64-bit hashes) reach the similarity."""
 
@@ -255,6 +293,14 @@ def _relabelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("ca != cb")
 
 
+def _joined(pairs: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links with those that pairs (a, b, est) add between components: the likeliest of each two first, then all that is left."""
+    between = _relabelled(pairs, labels).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("est", "a", "b")).alias("e")).select("e.a", "e.b")
+    links = cut(links.unionByName(confirm(between, sets, percent)), "links")
+    rest = _relabelled(pairs, components(links, rounds=2)).select("a", "b")
+    return cut(links.unionByName(confirm(rest, sets, percent)), "links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -269,7 +315,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> D
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(linkable.groupBy("d1", "d2").agg(F.min("doc_id").cast("bigint").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig")), "classes")
     reps = classes.select("rep", "n", "sig")
-    pairs = candidates(reps, percent, trees)
+    met, large = meetings(reps, trees)
+    met = cut(met, "met")
+    pairs = _first_round(met, large, reps, percent)
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
 
     def full(batches):
@@ -284,11 +332,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> D
     ends = pairs.select(F.explode(F.array(F.struct("a", "b", "est", F.col("a").alias("v")), F.struct("a", "b", "est", F.col("b").alias("v")))).alias("e")).select("e.*")
     best = ends.groupBy("v").agg(F.max(F.struct("est", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
     links = cut(confirm(best, sets, percent), "links")
-    labels = components(links, rounds=2)  # rough labels do: they only save checks inside a component
-    between = _relabelled(pairs, labels).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("est", "a", "b")).alias("e")).select("e.a", "e.b")
-    links = cut(links.unionByName(confirm(between, sets, percent)), "links")
-    rest = _relabelled(pairs, components(links, rounds=2)).select("a", "b")
-    labels = components(links.unionByName(confirm(rest, sets, percent)))
+    links = _joined(pairs, links, components(links, rounds=2), sets, percent)  # rough labels do: they only save checks inside a component
+    # the first round kept the likeliest partners alone: what it left out between components is met again, and all of it is checked
+    labels = components(links)
+    more = missed(met, reps, percent, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    labels = components(_joined(cut(more, "more"), links, labels, sets, percent))
     named = cut(classes.join(labels, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")), "named")
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -110,6 +110,21 @@ def test_large_nodes_end_in_pivots(spark):
     assert found.count() < 80 * 40 and r
 
 
+def test_two_tight_groups_linked_only_across(spark):
+    groups = []
+    for side in "xy":  # 0.97 alike inside, 0.86 to 0.88 across
+        base = [f"v{i}" for i in range(300)]
+        for at in (50, 120, 190):
+            base[at] = side
+        groups += [" ".join([*base, f"{side}{k}"]) for k in range(10)]
+    sets, label = brute_components(groups, 85)
+    assert set(label) == {0}
+    signed = neardup.signatures(frame(spark, groups)).selectExpr("doc_id rep", "n_shingles n", "sig")
+    assert components(neardup.candidates(signed, 85).select("a", "b")).select("component").distinct().count() == 2  # the first round alone
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, groups), 85).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (60, 100), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
