@@ -1,7 +1,8 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 Documents walk down independent trees: a node picks one or two coordinates of the MinHash signature, and documents that agree
-there share a child. Nodes of a few documents are compared exhaustively, larger ones branch on. Candidate pairs are confirmed
+there share a child. Nodes of a few documents are compared exhaustively, larger ones branch on, and what is still large after
+all levels is compared in blocks. Candidate pairs are confirmed
 on the full shingle sets, those first that can join most, so that a group of many near copies costs about one check a document;
 nodes are then compared again for every pair that is still in two components.
 """
@@ -26,10 +27,12 @@ SHINGLE = 5
 COORDINATES, ESTIMATES = 64, 256
 SIGNATURE = 4 * COORDINATES + ESTIMATES
 #: Trees and their depth; depths at which a node may have two coordinates; the largest node compared exhaustively, and how many
-#: of the likeliest partners a member keeps from one node; members that meet all others of a node that never gets small.
-TREES, DEPTH, BRANCHING, SMALL, PARTNERS, PIVOTS = 8, 8, 2, 2048, 6, 8
+#: of the likeliest partners a member keeps from one node in the first round.
+TREES, DEPTH, BRANCHING, SMALL, PARTNERS = 8, 8, 2, 2048, 6
 #: Pairs whose signatures are compared at once.
 CHUNK = 1 << 15
+#: Pairs of a node that wait in memory to be ranked or written.
+HELD = 1 << 20
 #: Fixed seeds of the coordinates' permutations.
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _A = _RNG.integers(1, 1 << 63, ESTIMATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,8 +151,12 @@ def _least(percent: int) -> int:
     return math.floor(ESTIMATES * percent / 100 - 4 * math.sqrt(ESTIMATES * percent / 100 * (1 - percent / 100)))
 
 
-def meetings(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
-    """(node, rep, c) of the nodes of 2 to `small` members, and of those still larger after all levels (None where there are none)."""
+def meetings(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
+    """(node, rep, c, side): the nodes of 2 to `small` members (side 0), and in cells those still larger after all levels.
+
+    A large node is cut into blocks by hash, about 2 * small members each, and each two of its blocks share a cell, with sides 1
+    and 2 that meet each other alone; a block's own cell has side 0. So every two members meet in one cell, over many tasks.
+    """
 
     def roots(batches):
         for b in batches:
@@ -173,7 +180,7 @@ def meetings(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int
         active = cut(active, "paths")
         sizes = active.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
         marked = cut(active.join(sizes, "node"), "nodes")
-        leaves.append(marked.where(F.col("c") <= small).select("node", "rep", "c"))
+        leaves.append(marked.where(F.col("c") <= small).select("node", "rep", "c", F.lit(0).alias("side")))
         large = marked.where(F.col("c") > small).select("node", "rep", "c")
         if not large.limit(1).count():
             large = None
@@ -183,25 +190,46 @@ def meetings(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int
     met = leaves[0]
     for more in leaves[1:]:
         met = met.unionByName(more)
-    return met, large
+    if large is not None:
+        blocks = F.ceil(F.col("c") / F.lit(2 * small))
+        cells = large.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        met = met.unionByName(cells.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "c", side.alias("side")))
+    return met
+
+
+def index_pairs(size: int):
+    """All i < j below size, about CHUNK pairs at a time."""
+    rows = max(1, CHUNK // size)
+    for s in range(0, size - 1, rows):
+        i, j = np.triu_indices(min(rows, size - s), s + 1, size)
+        yield i + s, j
 
 
 def compared(met: DataFrame, reps: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(a, b, est): the pairs within nodes (node, rep) whose sizes and signatures allow the similarity, of reps (rep, n, sig, label).
+    """(a, b, est): the pairs within nodes (node, rep, side) whose sizes and signatures allow the similarity, of reps (rep, n, sig, label).
 
-    Pairs with equal labels are left out; with `most` a pair must be among the `most` likeliest of one of its ends in the node.
+    Pairs with equal labels, or on the same side 1 or 2, are left out; with `most` a pair must be among the `most` likeliest of one of its ends in the node.
     """
     least = _least(percent)
 
+    def best(parts):
+        x, y, est = (np.concatenate(p) for p in zip(*parts))
+        ok = slice(None) if most is None else likeliest(x, y, est, most)
+        return x[ok], y[ok], est[ok]
+
+    def batch(rep, x, y, est):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(est.astype(np.int32))], names=["a", "b", "est"])
+
     def pairs(batches):
         held = None
         for b in itertools.chain(batches, [None]):
             if b is not None:
-                now = [b.column(i).to_numpy() for i in range(4)] + [_estimates(b.column(4))]
+                now = [b.column(i).to_numpy() for i in range(5)] + [_estimates(b.column(5))]
                 held = now if held is None else [np.concatenate([x, y]) for x, y in zip(held, now)]
             if held is None or not len(held[0]):
                 continue
-            node, rep, n, label, sig = held
+            node, rep, side, n, label, sig = held
             edge = np.flatnonzero(node[1:] != node[:-1]) + 1
             edge = np.concatenate([[0], edge, [len(node)]])
             if b is not None:  # the last node may go on in the next batch
@@ -209,63 +237,45 @@ def compared(met: DataFrame, reps: DataFrame, percent: int, most: int | None) ->
             size = np.diff(edge)
             for g in np.unique(size[size > 1]):
                 first = edge[:-1][size == g]
-                i, j = np.triu_indices(int(g), 1)
-                step = max(1, CHUNK // len(i))
+                step = max(1, 2 * CHUNK // int(g * (g - 1)))
                 for s in range(0, len(first), step):
-                    parts = []
-                    for c in range(0, len(i), CHUNK):
-                        x, y = ((first[s : s + step, None] + k[c : c + CHUNK]).ravel() for k in (i, j))
-                        ok = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                    parts, waiting = [], 0
+                    for i, j in index_pairs(int(g)):
+                        x, y = ((first[s : s + step, None] + k).ravel() for k in (i, j))
+                        ok = (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] == 0)) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
                         x, y = x[ok], y[ok]
                         est = (sig[x] == sig[y]).sum(1, dtype=np.int32)
                         ok = est >= least
                         parts.append((x[ok], y[ok], est[ok]))
-                    x, y, est = (np.concatenate(p) for p in zip(*parts))
-                    if most is not None:
-                        ok = likeliest(x, y, est, most)
-                        x, y, est = x[ok], y[ok], est[ok]
-                    x, y = rep[x], rep[y]
+                        waiting += len(parts[-1][0])
+                        if waiting > HELD:  # what is not among the likeliest of some pairs is not among those of more
+                            parts = [best(parts)]
+                            if most is None:
+                                yield batch(rep, *parts.pop())
+                            waiting = 0
+                    x, y, est = best(parts) if parts else (first[:0],) * 3
                     if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(est.astype(np.int32))], names=["a", "b", "est"])
+                        yield batch(rep, x, y, est)
             held = [x[edge[-1] :] for x in held] if b is not None else None
 
-    full = met.join(reps, "rep").select("node", "rep", "n", "label", "sig").repartition("node").sortWithinPartitions("node")
+    full = met.join(reps, "rep").select("node", "rep", "side", "n", "label", "sig").repartition("node").sortWithinPartitions("node")
     return map_arrow(full, pairs, "a bigint, b bigint, est int")
 
 
-def _stars(large: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b, est) of a few members of each node, found by minima, with all others."""
-    least = _least(percent)
-    picks = large.groupBy("node").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep"), "rep"))["rep"].alias(f"p{i}") for i in range(PIVOTS)])
-    picks = cut(picks.select("node", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("pivot")), "pivots")
-    star = large.join(picks, "node").where("rep != pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    left, right = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
-    star = star.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
-
-    def agree(batches):
-        for b in batches:
-            est = (_estimates(b.column(2)) == _estimates(b.column(3))).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(est.astype(np.int32))], names=["a", "b", "est"]).filter(pa.array(est >= least))
-
-    return map_arrow(star, agree, "a bigint, b bigint, est int")
-
-
-def _first_round(met: DataFrame, large: DataFrame | None, reps: DataFrame, percent: int) -> DataFrame:
-    found = compared(met.select("node", "rep"), reps.withColumn("label", F.col("rep")), percent, PARTNERS)
-    if large is not None:
-        found = found.unionByName(_stars(large.select("node", "rep"), reps, percent))
+def _first_round(met: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    found = compared(met.select("node", "rep", "side"), reps.withColumn("label", F.col("rep")), percent, PARTNERS)
     return cut(found.groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
 
 
 def candidates(reps: DataFrame, percent: int, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
     """(a, b, est) with a < b: the first round's pairs of reps (rep, n, sig), the likeliest of those that meet in some node and whose sizes and signatures allow the similarity."""
-    return _first_round(*meetings(reps, trees, depth, small), reps, percent)
+    return _first_round(meetings(reps, trees, depth, small), reps, percent)
 
 
 def missed(met: DataFrame, reps: DataFrame, percent: int, labels: DataFrame) -> DataFrame:
-    """(a, b, est): all pairs of two components, by labels (id, component), that meet in nodes (node, rep, c) where the first round may have left pairs out."""
+    """(a, b, est): all pairs of two components, by labels (id, component), that meet in nodes (node, rep, c, side) where the first round may have left pairs out."""
     named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("label"))
-    found = compared(met.where(F.col("c") > PARTNERS + 1).select("node", "rep"), named, percent, None)
+    found = compared(met.where(F.col("c") > PARTNERS + 1).select("node", "rep", "side"), named, percent, None)
     return cut(found.groupBy("a", "b").agg(F.max("est").alias("est")), "missed")
 
 
@@ -315,9 +325,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> D
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(linkable.groupBy("d1", "d2").agg(F.min("doc_id").cast("bigint").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig")), "classes")
     reps = classes.select("rep", "n", "sig")
-    met, large = meetings(reps, trees)
-    met = cut(met, "met")
-    pairs = _first_round(met, large, reps, percent)
+    met = cut(meetings(reps, trees), "met")
+    pairs = _first_round(met, reps, percent)
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
 
     def full(batches):

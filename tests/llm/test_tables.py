@@ -110,6 +110,32 @@ def test_large_nodes_end_in_pivots(spark):
     assert found.count() < 80 * 40 and r
 
 
+def test_large_nodes_are_compared_whole(spark):
+    r = random.Random(12)
+    crowd = []
+    for k in range(60):  # about 0.7 alike, and to each a partner 0.9 alike
+        own = [f"v{i}" for i in range(300)]
+        for at in range(12, 300, 36):
+            own[at] = f"o{k}-{at}"
+        crowd += [" ".join(own), " ".join([*own[:-4], *(f"p{r.randint(0, 10**6)}" for _ in range(4))])]
+    crowd = frame(spark, crowd)
+    signed = neardup.signatures(crowd).selectExpr("doc_id rep", "n_shingles n", "sig")
+    met = neardup.meetings(signed, trees=1, depth=1, small=4)
+    whole = neardup.meetings(signed, trees=1, depth=1, small=10**6)
+    pair = lambda m: {(a.rep, b.rep) for rows in nodes(m).values() for a in rows for b in rows if a.rep < b.rep and (a.side != b.side or a.side == 0)}
+    assert pair(met) == pair(whole)
+    together = {p for p in pair(whole) if p[0] % 2 == 0 and p[1] == p[0] + 1}
+    found = {(x.a, x.b) for x in neardup.candidates(signed, 85, trees=1, depth=1, small=4).collect()}
+    assert len(together) > 30 and together <= found
+
+
+def nodes(met):
+    held = collections.defaultdict(list)
+    for x in met.collect():
+        held[x.node].append(x)
+    return held
+
+
 def test_two_tight_groups_linked_only_across(spark):
     groups = []
     for side in "xy":  # 0.97 alike inside, 0.86 to 0.88 across
