@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -13,31 +14,53 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, map_arrow, slices, table
 
 MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 25, 25
-PIECE = re.compile(r"\S+\s*")
-SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+$")
+#: Words to either side that a cut inside a long sentence must be least among, by a hash of the word and the two before.
+REACH = 8
+#: Letters of scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han), each a word of its own.
+UNSPACED = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+LETTER = re.compile(f"[{UNSPACED}]")
+PIECE = re.compile(rf"[{UNSPACED}]\s*|[^\s{UNSPACED}]+\s*")
+STOPS = ".!?\n\u0589\u061f\u06d4\u0964\u0965\u1362\u3002\uff01\uff0e\uff1f\uff61"
+SENTENCE = re.compile(f"[^{STOPS}]*[{STOPS}]+|[^{STOPS}]+$")
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Where the pieces of a long sentence end: at words where the hash of the last words is least in reach, the first of equal ones,
+    and every LONG_SENTENCE words from the last such place. What documents share is cut alike, wherever it stands."""
+    c = [0, 0, *map(zlib.crc32, " ".join(words).lower().encode("utf-8", "replace").split(b" "))]
+    h = [(x * 0x9E3779B1 ^ y * 0x85EBCA6B ^ z * 0xC2B2AE35) >> 8 & 0xFFFFFFFF for x, y, z in zip(c, c[1:], c[2:])]
+    ends, last, n = [], 0, len(h)
+    for i, v in enumerate(h):
+        if (not i or v < h[i - 1]) and (i + 1 == n or v <= h[i + 1]) and v == min(h[max(0, i - REACH) : i + REACH + 1]) and v not in h[max(0, i - REACH) : i]:
+            last = i + 1
+            ends.append(last)
+        elif i + 1 - last == LONG_SENTENCE:
+            last = i + 1
+            ends.append(last)
+    return ends if ends and ends[-1] == len(words) else [*ends, len(words)]
 
 
 def _parts(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the sentences of a text."""
-    found = []
+    found, spaced = [], text.isascii() or not LETTER.search(text)
     for m in SENTENCE.finditer(text):
         s, e = m.span()
         segment = m[0]
-        words = segment.split()
+        words = segment.split() if spaced else [w.rstrip() for w in PIECE.findall(segment)]
         if not words:
             continue
         if len(words) <= LONG_SENTENCE:
             found.append((s + len(segment) - len(segment.lstrip()), e, words))
             continue
-        spans = [w.span() for w in PIECE.finditer(text, s, e)]
-        for k in range(0, len(spans), LONG_SENTENCE):
-            part = spans[k : k + LONG_SENTENCE]
-            found.append((part[0][0], part[-1][1], words[k : k + LONG_SENTENCE]))
+        spans, k = [w.span() for w in PIECE.finditer(text, s, e)], 0
+        for end in _cuts(words):
+            found.append((spans[k][0], spans[end - 1][1], words[k:end]))
+            k = end
     return found
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Character ranges of the sentences of a text: up to . ! ? or the line's end; longer ones are cut every LONG_SENTENCE words."""
+    """Character ranges of the sentences of a text: up to . ! ? (and other scripts' stops) or the line's end; those of more than LONG_SENTENCE words are cut where their words say so."""
     return [(s, e) for s, e, _ in _parts(text)]
 
 

@@ -235,6 +235,24 @@ def test_spans_match_brute_force(spark):
     assert got == {i: len(gone[i]) for i in range(len(texts))}
 
 
+def test_spans_in_text_without_stops(spark):
+    r = random.Random(15)
+    own = lambda n: " ".join(f"q{r.randint(0, 10**6)}" for _ in range(n))
+    passage = own(200)
+    texts = [f"{own(7)} {passage} {own(40)}", f"{own(11)} {passage.upper()} {own(33)}", own(30), own(30), "word " * 400, "word " * 400]
+    texts[3] = texts[2]
+    han = lambda n: "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    shared = "".join(han(12) + "。" for _ in range(6))
+    texts += [han(9) + "。" + shared + han(9) + "。", han(14) + "！" + shared + han(7) + "？", han(40) + shared[:0]]
+    run = han(150)
+    texts += [han(7) + run + han(20), han(12) + run + han(31)]
+    got = {x.doc_id: x for x in spans.dedup_spans(frame(spark, texts)).collect()}
+    assert all(got[i].n_removed == 0 for i in (0, 2, 6, 8, 9))
+    assert got[1].n_chars_removed > 0.7 * len(passage) and texts[1].split()[0] in got[1].kept_text
+    assert got[3].kept_text == got[5].kept_text == ""
+    assert got[7].n_chars_removed >= len(shared) and got[10].n_chars_removed > 0.6 * len(run)
+
+
 def test_mixing(spark):
     texts = sample_texts(6, 200)
     sources = [["big", "mid", None, "Zed"][min(3, i % 7)] for i in range(len(texts))]
