@@ -2,141 +2,167 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import words
 from lodestone.llm.common import cut, map_arrow, slices, table
 
-MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 25, 25
+MIN_SENTENCES, LONG_SENTENCE = 2, 25
+#: Words that a run must have for the query to count it; in the operator itself every run counts unless told otherwise.
+QUERY_WORDS = 16
 #: Words to either side that a cut inside a long sentence must be least among, by a hash of the word and the two before.
 REACH = 8
-#: Letters of scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han), each a word of its own.
-UNSPACED = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-LETTER = re.compile(f"[{UNSPACED}]")
-PIECE = re.compile(rf"[{UNSPACED}]\s*|[^\s{UNSPACED}]+\s*")
-STOPS = ".!?\n\u0589\u061f\u06d4\u0964\u0965\u1362\u3002\uff01\uff0e\uff1f\uff61"
-SENTENCE = re.compile(f"[^{STOPS}]*[{STOPS}]+|[^{STOPS}]+$")
-
-
-def _cuts(words: list[str]) -> list[int]:
-    """Where the pieces of a long sentence end: at words where the hash of the last words is least in reach, the first of equal ones,
-    and every LONG_SENTENCE words from the last such place. What documents share is cut alike, wherever it stands."""
-    c = [0, 0, *map(zlib.crc32, " ".join(words).lower().encode("utf-8", "replace").split(b" "))]
-    h = [(x * 0x9E3779B1 ^ y * 0x85EBCA6B ^ z * 0xC2B2AE35) >> 8 & 0xFFFFFFFF for x, y, z in zip(c, c[1:], c[2:])]
-    ends, last, n = [], 0, len(h)
-    for i, v in enumerate(h):
-        if (not i or v < h[i - 1]) and (i + 1 == n or v <= h[i + 1]) and v == min(h[max(0, i - REACH) : i + REACH + 1]) and v not in h[max(0, i - REACH) : i]:
-            last = i + 1
-            ends.append(last)
-        elif i + 1 - last == LONG_SENTENCE:
-            last = i + 1
-            ends.append(last)
-    return ends if ends and ends[-1] == len(words) else [*ends, len(words)]
-
-
-def _parts(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the sentences of a text."""
-    found, spaced = [], text.isascii() or not LETTER.search(text)
-    for m in SENTENCE.finditer(text):
-        s, e = m.span()
-        segment = m[0]
-        words = segment.split() if spaced else [w.rstrip() for w in PIECE.findall(segment)]
-        if not words:
-            continue
-        if len(words) <= LONG_SENTENCE:
-            found.append((s + len(segment) - len(segment.lstrip()), e, words))
-            continue
-        spans, k = [w.span() for w in PIECE.finditer(text, s, e)], 0
-        for end in _cuts(words):
-            found.append((spans[k][0], spans[end - 1][1], words[k:end]))
-            k = end
-    return found
-
-
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Character ranges of the sentences of a text: up to . ! ? (and other scripts' stops) or the line's end; those of more than LONG_SENTENCE words are cut where their words say so."""
-    return [(s, e) for s, e, _ in _parts(text)]
-
-
-def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences, digest) of the shortest run from each sentence that has min_sentences and min_words."""
-    parts = [words for _, _, words in _parts(text)]
-    lines = [" ".join(words).lower() for words in parts]
-    found, end, count = [], 0, 0
-    for i in range(len(parts)):
-        while end < len(parts) and (count < min_words or end - i < min_sentences):
-            count += len(parts[end])
-            end += 1
-        if count < min_words or end - i < min_sentences:
-            break
-        found.append((i, end - i, hashlib.blake2b("\n".join(lines[i:end]).encode("utf-8", "replace"), digest_size=16).digest()))
-        count -= len(parts[i])
-    return found
-
-
-def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+#: Ranges of letters of scripts written without spaces (Thai to Lao, Myanmar, Khmer, kana, Han), each a word of its own.
+UNSPACED = ((0x0E01, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+STOPS = ".!?\n։؟۔।॥።。！．？｡"
+_PLANE = 1 << 16
+_SPACE = np.array([chr(i).isspace() for i in range(_PLANE)])
+_LOWER = np.array([ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(_PLANE)], np.uint32)
+_STOP = np.isin(np.arange(_PLANE), [ord(c) for c in STOPS])
+
+
+class Sentences:
+    """The sentences of a batch of texts: of sentence i the text, the first word, and the characters [start, end) in its text.
+
+    Sentences go up to . ! ? (and other scripts' stops) or the line's end; those without words are none. Words are parted by white
+    space; letters of scripts without spaces are words each. A sentence of more than LONG_SENTENCE words is cut after words where
+    the hash of the last three is least in REACH words to both sides, the first of equal ones, and every LONG_SENTENCE words from
+    such a place or the sentence's start. So what texts share is cut alike, wherever it stands.
+    """
+
+    def __init__(self, texts: list[str]):
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        plane = np.minimum(codes, _PLANE - 1)
+        space, stop = _SPACE[plane], _STOP[plane]
+        codes = np.where(codes < _PLANE, _LOWER[plane], codes)
+        alone = np.zeros(len(codes), bool)
+        if len(codes) and codes.max() >= UNSPACED[0][0]:
+            for low, high in UNSPACED:
+                alone |= (codes >= low) & (codes <= high)
+        fresh = np.zeros(len(codes), bool)  # a text's or a sentence's first character
+        fresh[1:] = stop[:-1] & ~stop[1:]
+        fresh[at[:-1][at[:-1] < len(codes)]] = True
+        start = ~space
+        start[1:] &= space[:-1] | fresh[1:] | ((alone[1:] | alone[:-1]) & ~stop[1:])
+        end = ~space
+        end[:-1] &= space[1:] | start[1:] | fresh[1:]
+        word_start, word_end = np.flatnonzero(start), np.flatnonzero(end) + 1
+        self.hash = words.hashes(codes, word_start, word_end)
+        new = self._cut(np.cumsum(fresh)[word_start])
+        self.first = np.append(np.flatnonzero(new), len(word_start))  # the first word of each sentence, and the count of words
+        begin = word_start[self.first[:-1]]
+        self.text = np.searchsorted(at, begin, "right") - 1
+        self.start, self.end = begin - at[self.text], word_end[self.first[1:] - 1] - at[self.text]
+        self.of_text = np.searchsorted(self.text, np.arange(len(texts) + 1))  # the first sentence of each text, and the count
+
+    def _cut(self, sentence: np.ndarray) -> np.ndarray:
+        """Which words begin a sentence or a piece of a long one."""
+        n = len(sentence)
+        new = np.ones(n, bool)
+        new[1:] = sentence[1:] != sentence[:-1]
+        begins = np.flatnonzero(new)
+        size = np.diff(np.append(begins, n))
+        long = np.flatnonzero(np.repeat(size > LONG_SENTENCE, size))
+        if not len(long):
+            return new
+        h, own = self.hash[long], sentence[long]
+        mark = h * np.uint64(words.FACTOR)
+        for back, factor in ((1, words.BASE), (2, 0x2545F4914F6CDD1D)):
+            same = own[back:] == own[:-back]
+            mark[back:] += np.where(same, h[:-back], np.uint64(0)) * np.uint64(factor)
+        mark = words.mixed(mark)
+        least = np.ones(len(long), bool)
+        for r in range(1, REACH + 1):
+            same = own[r:] == own[:-r]
+            least[r:] &= ~same | (mark[r:] < mark[:-r])
+            least[:-r] &= ~same | (mark[:-r] <= mark[r:])
+        after = long[least] + 1
+        new[after[after < n]] = True
+        i = np.arange(n)
+        return new | ((i - np.maximum.accumulate(np.where(new, i, 0))) % LONG_SENTENCE == 0)
+
+    def runs(self, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first, end) of the shortest run from each sentence on, and of the shortest up to each, with so many sentences and words.
+
+        A sentence of a repeated run of any length is covered by one of these that lies inside it, so these find what all runs find.
+        """
+        n = len(self.text)
+        low, high = self.of_text[self.text], self.of_text[self.text + 1]
+        i = np.arange(n)
+        end = np.maximum(i + min_sentences, np.searchsorted(self.first, self.first[:-1] + min_words))
+        ok = end <= high
+        begin = np.minimum(i + 1 - min_sentences, np.searchsorted(self.first, self.first[1:] - min_words, "right") - 1)
+        back = begin >= low
+        back[back] = end[begin[back]] != i[back] + 1  # those that are not among the others
+        return np.concatenate([i[ok], begin[back]]), np.concatenate([end[ok], i[back] + 1])
+
+    def digests(self, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of the words of each run."""
+        s, e = self.first[first], self.first[end]
+        return tuple(words.hashes(h, s, e).view(np.int64) for h in (self.hash, words.mixed(self.hash + np.uint64(words.FACTOR))))
+
+
+def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = 0, across: bool = True) -> DataFrame:
     """doc_id, kept_text, n_sentences, n_removed, n_chars_removed for every row of docs.
 
-    Every run of consecutive sentences (the shortest with min_sentences sentences and min_words words from each start;
-    lower-cased, white space collapsed) is hashed to 128 bits. Of equal runs over all documents the one at the smallest
-    (doc_id, text hash, position) is first; sentences covered by any other are removed. A null or empty text has no sentences
-    and keeps its (empty) text. Repeated rows, equal in id and text, count as one and lose the same sentences. Rows with a null
-    doc_id keep their text and don't count. Other columns are ignored.
+    Every run of consecutive sentences with min_sentences sentences and min_words words at least counts (lower-cased, white space
+    collapsed, hashed to 128 bits). Of equal runs that two documents at least hold (across=False: also one alone, twice) the one at
+    the smallest (doc_id, text hash, position) is first; sentences covered by any other are removed. The shortest runs from and up to each sentence are hashed: they cover what
+    longer ones would. A null or empty text has no sentences and keeps its (empty) text. Repeated rows, equal in id and text,
+    count as one and lose the same sentences. Rows with a null doc_id keep their text and don't count. An empty table gives an
+    empty one. Other columns are ignored. doc_id may be of any type with an order.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
     counted = rows.where("doc_id is not null").select("doc_id", "row_key", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hashed(batches):
-        for b in slices(batches, 2, 4 << 20):
-            which, start, size, digests = [], [], [], []
-            for r, text in enumerate(b.column(2).to_pylist()):
-                for i, n, d in spans(text, min_sentences, min_words):
-                    which.append(r)
-                    start.append(i)
-                    size.append(n)
-                    digests.append(d)
-            if which:
-                h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                at = pa.array(which)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=["doc_id", "row_key", "first", "n", "h1", "h2"])
+        for b in slices(batches, 2, 1 << 20):
+            found = Sentences(b.column(2).to_pylist())
+            first, end = found.runs(min_sentences, min_words)
+            h1, h2 = found.digests(first, end)
+            which = found.text[first]
+            place = pa.array(which)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(place), b.column(1).take(place), pa.array((first - found.of_text[which]).astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(h1), pa.array(h2)], names=["doc_id", "row_key", "first", "n", "h1", "h2"])
 
     found = map_arrow(counted, hashed, f"doc_id {kind}, row_key bigint, first int, n int, h1 bigint, h2 bigint")
     # only 64 bits of each run are shuffled to find those that repeat at all; the rest of a row follows for these alone
     repeated = cut(found.groupBy("h1").agg(F.count("*").alias("c")).where("c > 1").select("h1"), "span-repeats")
     again = cut(found.join(repeated, "h1", "left_semi"), "span-rows")
-    firsts = cut(again.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row_key", "first")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f"), "span-firsts")
+    firsts = again.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row_key", "first")).alias("f"), F.max("doc_id").alias("last"), F.count("*").alias("c"))
+    firsts = cut(firsts.where(F.col("f.doc_id") < F.col("last") if across else F.col("c") > 1).select("h1", "h2", "f"), "span-firsts")
     later = again.join(firsts, ["h1", "h2"]).where(F.struct("doc_id", "row_key", "first") > F.col("f"))
     gone = cut(later.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("gone")), "span-gone")
     joined = rows.join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", F.col("gone.first").alias("at"), F.col("gone.n").alias("n"))
 
     def removed(batches):
-        for b in slices(batches, 1):
-            kept, total, lost, chars = [], [], [], []
-            for text, at, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                parts = sentences(text)
-                drop = set()
-                for s, k in zip(at or [], n or []):
-                    drop.update(range(s, s + k))
-                out, last = [], 0
-                for i in sorted(drop):
-                    out.append(text[last : parts[i][0]])
-                    last = parts[i][1]
-                kept.append("".join([*out, text[last:]]) if drop else text)
-                total.append(len(parts))
-                lost.append(len(drop))
-                chars.append(len(text) - len(kept[-1]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(chars, pa.int64())], names=["doc_id", "kept_text", "n_sentences", "n_removed", "n_chars_removed"])
+        for b in slices(batches, 1, 1 << 20):
+            texts = b.column(1).to_pylist()
+            found = Sentences(texts)
+            kept, lost, chars = list(texts), [0] * len(texts), [0] * len(texts)
+            for r in np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                low, high = int(found.of_text[r]), int(found.of_text[r + 1])
+                edge = np.zeros(high - low + 1, np.int64)
+                at, size = (np.array(b.column(i)[r].as_py(), np.int64) for i in (2, 3))
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + size, -1)
+                drop = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+                text, out, last = texts[r], [], 0
+                for before, i in zip([-2, *drop.tolist()], drop.tolist()):
+                    if i != before + 1:  # what parts two removed sentences goes with them
+                        out.append(text[last : found.start[low + i]])
+                    last = found.end[low + i]
+                kept[r] = "".join([*out, text[last:]])
+                lost[r], chars[r] = len(drop), len(text) - len(kept[r])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(np.diff(found.of_text)), pa.array(lost, pa.int64()), pa.array(chars, pa.int64())], names=["doc_id", "kept_text", "n_sentences", "n_removed", "n_chars_removed"])
 
     return map_arrow(joined, removed, f"doc_id {kind}, kept_text string, n_sentences bigint, n_removed bigint, n_chars_removed bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_spans(table(spark, sf_dir, "documents"))
+    out = dedup_spans(table(spark, sf_dir, "documents"), min_words=QUERY_WORDS)
     return out.select("doc_id", "n_sentences", "n_removed", "n_chars_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))

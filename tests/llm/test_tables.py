@@ -215,24 +215,31 @@ def test_spans(spark):
     assert spans.dedup_spans(frame(spark, [])).count() == 0
 
 
-def test_spans_match_brute_force(spark):
+def split_sentences(text):
+    """Sentences as lists of words, without the code under test; of at most 25 words here."""
+    parts = [x.split() for x in re.split(r"(?<=[.!?\n])(?![.!?\n])", text.lower())]
+    return [p for p in parts if p]
+
+
+@pytest.mark.parametrize(("min_sentences", "min_words", "across"), [(2, 0, True), (2, 16, True), (3, 25, True), (2, 16, False)])
+def test_spans_match_brute_force(spark, min_sentences, min_words, across):
     r = random.Random(11)
-    pool = [" ".join(f"p{r.randint(0, 40)}" for _ in range(r.randint(3, 14))) + r.choice([".", "!", "?"]) for _ in range(40)]
-    texts = [" ".join(r.choice(pool) for _ in range(r.randint(1, 25))) for _ in range(60)]
-    seen, gone = {}, collections.defaultdict(set)
+    pool = [" ".join(f"p{r.randint(0, 40)}" for _ in range(r.randint(1, 14))) + r.choice([".", "!", "?!"]) for _ in range(60)]
+    texts = [r.choice([" ", "\n"]).join(r.choice(pool) for _ in range(r.randint(1, 25))) for _ in range(60)]
+    texts += [texts[3], texts[4].upper(), "One two three. Four five six seven eight nine ten.", "One two three. Four five six seven eight nine ten.", ". ! ?", "a.\n\n b"]
+    held, gone = collections.defaultdict(list), collections.defaultdict(set)
     for i, t in enumerate(texts):
-        parts = [t[s:e].lower().split() for s, e in spans.sentences(t)]
+        parts = split_sentences(t)
         for s in range(len(parts)):
-            for e in range(s + 2, len(parts) + 1):
-                if sum(map(len, parts[s:e])) >= spans.MIN_WORDS:
-                    key = tuple(map(tuple, parts[s:e]))
-                    if key in seen:
-                        gone[i] |= set(range(s, e))
-                    else:
-                        seen[key] = i
-                    break
-    got = {x.doc_id: x.n_removed for x in spans.dedup_spans(frame(spark, texts)).collect()}
-    assert got == {i: len(gone[i]) for i in range(len(texts))}
+            for e in range(s + min_sentences, len(parts) + 1):
+                if sum(map(len, parts[s:e])) >= min_words:
+                    held[tuple(w for p in parts[s:e] for w in p)].append((i, s, e))
+    for places in held.values():
+        if not across or len({i for i, _, _ in places}) > 1:
+            for i, s, e in places[1:]:
+                gone[i] |= set(range(s, e))
+    got = {x.doc_id: (x.n_sentences, x.n_removed) for x in spans.dedup_spans(frame(spark, texts), min_sentences, min_words, across).collect()}
+    assert got == {i: (len(split_sentences(t)), len(gone[i])) for i, t in enumerate(texts)}
 
 
 def test_spans_in_text_without_stops(spark):
@@ -249,7 +256,7 @@ def test_spans_in_text_without_stops(spark):
     got = {x.doc_id: x for x in spans.dedup_spans(frame(spark, texts)).collect()}
     assert all(got[i].n_removed == 0 for i in (0, 2, 6, 8, 9))
     assert got[1].n_chars_removed > 0.7 * len(passage) and texts[1].split()[0] in got[1].kept_text
-    assert got[3].kept_text == got[5].kept_text == ""
+    assert got[3].kept_text == got[5].kept_text.strip() == ""
     assert got[7].n_chars_removed >= len(shared) and got[10].n_chars_removed > 0.6 * len(run)
 
 
