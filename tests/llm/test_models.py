@@ -1,8 +1,13 @@
 """Classifiers on held-out texts, the fold rule, and the pipeline."""
 
+import collections
+import itertools
+import math
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,9 +69,61 @@ def test_toxicity(spark):
     assert all(got[i] < 0.5 for i in (5000, 5001, 5002, 5003))
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(s < 0.5 for s in got.values())
-    odd = spark.createDataFrame([(1, "the river g.r.u.m.b.l.e.k stone"), (2, "the snotxfast walk"), (3, "green VILDERPOX table"), (4, "green garden letter")], "doc_id bigint, text string")
-    seen = {r.doc_id: r.score for r in toxicity.toxicity(odd, model).collect()}
-    assert seen[1] > 0.5 and seen[3] > 0.5 and seen[2] > seen[4] and seen[4] < 0.5
+    odd = [(1, "the river g.r.u.m.b.l.e.k stone"), (2, "the snotxfast walk"), (3, "green VILDERPOX table"), (4, "green garden letter"), (5, "the g r u m b l e k walk"), (6, "the g - r - u - m - b - l - e - k walk"), (7, "paper grum blek cloud"), (8, "music v*i*l*d*e*r*p*o*x")]
+    seen = {r.doc_id: r.score for r in toxicity.toxicity(spark.createDataFrame(odd, "doc_id bigint, text string"), model).collect()}
+    assert seen[4] < 0.5 and all(seen[i] >= 0.5 for i in seen if i != 4), seen
+    # a text's score comes from its own bytes: alone, in any batch, in any order, however often
+    texts = [t for _, t in odd] + [t for _, t, _ in rows[:60]] + ["", None, "!!!", "the gruxmbxlek"]
+    alone = [model.scores(pa.array([t], pa.string()))[0] for t in texts]
+    assert alone == model.scores(pa.array(texts, pa.string())).tolist()
+    assert alone[::-1] == model.scores(pa.array(texts[::-1], pa.string())).tolist()
+    twice = spark.createDataFrame([("a", t) for t in [*texts, *texts]], "doc_id string, text string")
+    assert sorted(r.score for r in toxicity.toxicity(twice, model).collect()) == sorted([*alone, *alone])
+    assert toxicity.toxicity(docs.where("false"), model).count() == 0 and toxicity.keep_clean(docs.where("false"), model).count() == 0
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3))
+    assert (again.weights == model.weights).all() and (again.slope, again.offset, again.least) == (model.slope, model.offset, model.least)
+
+
+def slow_features(window):
+    """All subsequences of four bytes within six, each with DECAY to the number of bytes skipped, by plain loops."""
+    out = collections.defaultdict(float)
+    for s in range(len(window)):
+        for rest in itertools.combinations(range(s + 1, min(s + toxicity.SPAN, len(window))), 3):
+            out[bytes(window[i] for i in (s, *rest))] += toxicity.DECAY ** (rest[-1] - s - 3)
+    return out
+
+
+def test_subsequence_kernel_matches_a_slow_one():
+    texts = [" the river ", " stone walk green ", " grumblek ", " gruxmblek ", " ab ", " aaaaaaaaaaaa ", " the river the river "]
+    flat = "".join(texts).encode()
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    found = toxicity.vectors(np.frombuffer(flat, np.uint8), starts, ends)
+    slow = [slow_features(t.encode()) for t in texts]
+    dot = lambda x, y: sum(v * y[k] for k, v in x.items() if k in y)
+    want = np.array([[dot(x, y) / max(1e-9, math.sqrt(dot(x, x) * dot(y, y))) for y in slow] for x in slow])
+    assert np.abs(toxicity.gram(found, found, block=3) - want).max() < 1e-4
+    # the machine's rate of a window is the sum over the same subsequences
+    weights = np.random.default_rng(1).integers(-1000, 1000, 1 << toxicity.BITS).astype(np.int32)
+    rated = toxicity.rate(toxicity.running(np.frombuffer(flat, np.uint8), weights), starts, ends)
+    for r, t in zip(rated, texts):
+        total = 0.0
+        for s in range(len(t)):
+            for rest in itertools.combinations(range(s + 1, min(s + toxicity.SPAN, len(t))), 3):
+                x = [t.encode()[i] for i in (s, *rest)]
+                h = sum(b * int(f) for b, f in zip(x, toxicity._FACTORS)) & 0xFFFFFFFF
+                h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                total += weights[h >> 32 - toxicity.BITS] * toxicity.DECAY ** (rest[-1] - s - 3)
+        assert r == pytest.approx(total / math.sqrt(len(t)))
+
+
+def test_windows_lie_in_sentences():
+    texts = ["One two three four five. Six, seven!", "a b c d", "", "x", "no-one i - d - i ok\ni d"]
+    raw = [t.encode() for t in texts]
+    found = toxicity.words_of(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    said = lambda width: [(int(t), bytes(found.data[s:e]).decode()) for s, e, t in zip(*found.windows(width))]
+    assert said(1) == [(0, f" {w} ") for w in "one two three four five six seven".split()] + [(1, " abcd "), (3, " x "), (4, " noone "), (4, " idi "), (4, " ok "), (4, " i "), (4, " d ")]
+    assert said(4) == [(0, " one two three four "), (0, " two three four five "), (0, " six seven "), (1, " abcd "), (3, " x "), (4, " noone idi ok "), (4, " i d ")]
 
 
 def test_toxicity_without_two_labels(spark):
