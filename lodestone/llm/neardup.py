@@ -23,20 +23,21 @@ from lodestone.llm.common import cut, joined_bytes, map_arrow, slices, table
 from lodestone.llm.components import components
 
 SHINGLE = 5
-#: Coordinates that paths choose from (32 bits each), and those that similarities are estimated with (their low byte).
-COORDINATES, ESTIMATES = 64, 256
-SIGNATURE = 4 * COORDINATES + ESTIMATES
-#: Trees and their depth; depths at which a node may have two coordinates; the largest node compared exhaustively, and how many
-#: of the likeliest partners a member keeps from one node in the first round.
-TREES, DEPTH, BRANCHING, SMALL, PARTNERS = 8, 8, 2, 2048, 6
+#: Coordinates that paths choose from (32 bits each), and the bins that similarities are estimated with (two bits each).
+COORDINATES, BINS = 64, 1024
+SIGNATURE = 4 * COORDINATES + BINS // 4
+#: Trees and their depth; how many nodes of 16 have two coordinates, so that at similarity 0.8 as many paths are shared on a deeper
+#: level as above; the largest node compared exhaustively, and how many of the likeliest partners a member keeps from one node in
+#: the first round.
+TREES, DEPTH, BRANCHING, SMALL, PARTNERS = 8, 8, 4, 2048, 6
 #: Pairs whose signatures are compared at once.
 CHUNK = 1 << 15
 #: Pairs of a node that wait in memory to be ranked or written.
 HELD = 1 << 20
 #: Fixed seeds of the coordinates' permutations.
 _RNG = np.random.Generator(np.random.PCG64(20240501))
-_A = _RNG.integers(1, 1 << 63, ESTIMATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, ESTIMATES, dtype=np.uint64)
+_A = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -64,26 +65,73 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> list[
     return out
 
 
-def minhash(sets: list[np.ndarray]) -> np.ndarray:
-    """A (sets, ESTIMATES) matrix of 32-bit values; the sets must not be empty."""
-    out = np.zeros((len(sets), ESTIMATES), np.uint32)
+def _chunks(sets: list[np.ndarray], most: int, rows: int):
+    """(first, end) of stretches of sets with about `most` shingles and `rows` sets at most."""
     i = 0
     while i < len(sets):
         j, total = i, 0
-        while j < len(sets) and (total == 0 or total + len(sets[j]) <= 1 << 15):  # what the processor's cache holds
+        while j < len(sets) and j - i < rows and (total == 0 or total + len(sets[j]) <= most):
             total += len(sets[j])
             j += 1
+        yield i, j
+        i = j
+
+
+def minhash(sets: list[np.ndarray]) -> np.ndarray:
+    """A (sets, COORDINATES) matrix of 32-bit values; the sets must not be empty."""
+    out = np.zeros((len(sets), COORDINATES), np.uint32)
+    for i, j in _chunks(sets, 1 << 15, 1 << 15):  # what the processor's cache holds
         flat = np.concatenate(sets[i:j])
         first = np.concatenate([[0], np.cumsum([len(s) for s in sets[i : j - 1]])]).astype(np.int64)
         work = np.empty_like(flat)
-        for c in range(ESTIMATES):
+        for c in range(COORDINATES):
             np.bitwise_xor(flat, _B[c], out=work)
             np.multiply(work, _A[c], out=work)
             out[i:j, c] = (words.mixed(np.minimum.reduceat(work, first)) >> np.uint64(32)).astype(np.uint32)
-        i = j
     return out
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, BINS / 4) bytes: which of BINS bins hold a shingle, then one bit of the least shingle in each. One pass over the set;
+    of sets with fewer shingles than bins nearly every shingle is seen."""
+    out = np.zeros((len(sets), BINS // 4), np.uint8)
+    for i, j in _chunks(sets, 1 << 18, 1 << 12):
+        flat = words.mixed(np.concatenate(sets[i:j]) ^ np.uint64(words.FACTOR))
+        row = np.repeat(np.arange(j - i, dtype=np.uint64), [len(s) for s in sets[i:j]])
+        flat = np.sort((row << np.uint64(52)) | (flat >> np.uint64(12)))  # row, 10 bits of bin, the rest
+        where = (flat >> np.uint64(42)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+        held, bit = np.zeros((2, (j - i) * BINS), bool)
+        held[where[first]] = True
+        bit[where[first]] = (flat[first] & np.uint64(1)).astype(bool)
+        out[i:j] = np.hstack([np.packbits(x.reshape(j - i, BINS), axis=1) for x in (held, bit)])
+    return out
+
+
+def estimated(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity in thousandths, whether it can be percent or more) of pairs of sketches (as rows of 64-bit words) of sets of so many shingles.
+
+    Bins with equal bits less those with different ones estimate the bins whose least shingle both hold. The bound is four standard
+    deviations: those of the bits, and those of a sample of so many of the union's shingles, without putting back.
+    """
+    half = left.shape[1] // 2
+    count = lambda x: np.bitwise_count(x).sum(1, dtype=np.int64)
+    both = left[:, :half] & right[:, :half]
+    seen = count(left[:, :half] | right[:, :half])
+    differ = count(both & (left[:, half:] ^ right[:, half:]))
+    equal = count(both) - 2 * differ
+    s = percent / 100
+    union = (n_left + n_right) / (1 + s)
+    spread = np.sqrt(seen * s * (1 - s) * np.clip(1 - seen / union, 0, 1) + 2 * differ + 1)
+    return 1000 * equal // np.maximum(1, seen), equal >= seen * s - 4 * spread - 2
+
+
+def digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two 64-bit halves of a digest of each set."""
+    found = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest (d1, d2) of the set, and the signature (null for an empty set)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -92,29 +140,29 @@ def signatures(docs: DataFrame) -> DataFrame:
         for b in slices(batches, 1, 1 << 20):
             sets = shingle_sets(*joined_bytes(b.column(1)))
             full = [i for i, s in enumerate(sets) if len(s)]
-            sig = minhash([sets[i] for i in full]) if full else None
             packed = [None] * len(sets)
-            for row, i in enumerate(full):
-                packed[i] = sig[row, :COORDINATES].tobytes() + (sig[row] & 0xFF).astype(np.uint8).tobytes()
-            digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1])), pa.array(packed, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
+            if full:
+                paths, bins = minhash([sets[i] for i in full]), sketches([sets[i] for i in full])
+                for row, i in enumerate(full):
+                    packed[i] = paths[row].tobytes() + bins[row].tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *digests(sets), pa.array(packed, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
 
     return map_arrow(docs.select("doc_id", "text"), sign, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, sig binary")
 
 
-def chosen(node: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two coordinates for each node key, the second -1 for three nodes of four and from depth BRANCHING on (so that rows don't grow)."""
+def chosen(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two coordinates for each node key, the second -1 for all but BRANCHING nodes of 16."""
     a = words.mixed(node + np.uint64(words.FACTOR))
     b = words.mixed(a)
     first = (a % np.uint64(COORDINATES)).astype(np.int64)
     second = (first + 1 + (b % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
-    return first, np.where((b >> np.uint64(60) < 4) & (depth < BRANCHING), second, -1)
+    return first, np.where(b >> np.uint64(60) < BRANCHING, second, -1)
 
 
-def children(node: np.ndarray, sig: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(child keys, row numbers) of rows at the given nodes with their signatures."""
     keys, rows = [], []
-    for c in chosen(node, depth):
+    for c in chosen(node):
         use = np.flatnonzero(c >= 0)
         value = sig[use, c[use]].astype(np.uint64)
         with np.errstate(over="ignore"):
@@ -131,8 +179,8 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return joined_bytes(column)[0].reshape(-1, SIGNATURE) if len(column) else np.zeros((0, SIGNATURE), np.uint8)
 
 
-def _estimates(column: pa.Array) -> np.ndarray:
-    return np.ascontiguousarray(_signatures(column)[:, 4 * COORDINATES :])
+def _bins(column: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(_signatures(column)[:, 4 * COORDINATES :]).view(np.uint64)
 
 
 def likeliest(left: np.ndarray, right: np.ndarray, est: np.ndarray, most: int) -> np.ndarray:
@@ -146,11 +194,6 @@ def likeliest(left: np.ndarray, right: np.ndarray, est: np.ndarray, most: int) -
     return np.unique(which[order][rank < most])
 
 
-def _least(percent: int) -> int:
-    """The fewest equal estimates that allow the similarity."""
-    return math.floor(ESTIMATES * percent / 100 - 4 * math.sqrt(ESTIMATES * percent / 100 * (1 - percent / 100)))
-
-
 def meetings(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
     """(node, rep, c, side): the nodes of 2 to `small` members (side 0), and in cells those still larger after all levels.
 
@@ -163,16 +206,13 @@ def meetings(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int
             sig, rep = _paths(b.column(1)), b.column(0)
             for t in range(trees):
                 root = np.full(len(sig), words.mixed(np.array([t + 1], np.uint64))[0])
-                keys, rows = children(root, sig, 0)
+                keys, rows = children(root, sig)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), rep.take(pa.array(rows))], names=["node", "rep"])
 
-    def branch(level):
-        def go(batches):
-            for b in batches:
-                keys, rows = children(b.column(0).to_numpy().view(np.uint64), _paths(b.column(2)), level)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1).take(pa.array(rows))], names=["node", "rep"])
-
-        return go
+    def branch(batches):
+        for b in batches:
+            keys, rows = children(b.column(0).to_numpy().view(np.uint64), _paths(b.column(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1).take(pa.array(rows))], names=["node", "rep"])
 
     active = map_arrow(reps.select("rep", "sig"), roots, "node bigint, rep bigint")
     leaves = []
@@ -186,7 +226,7 @@ def meetings(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int
             large = None
             break
         if level < depth:
-            active = map_arrow(large.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig"), branch(level), "node bigint, rep bigint")
+            active = map_arrow(large.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig"), branch, "node bigint, rep bigint")
     met = leaves[0]
     for more in leaves[1:]:
         met = met.unionByName(more)
@@ -211,7 +251,6 @@ def compared(met: DataFrame, reps: DataFrame, percent: int, most: int | None) ->
 
     Pairs with equal labels, or on the same side 1 or 2, are left out; with `most` a pair must be among the `most` likeliest of one of its ends in the node.
     """
-    least = _least(percent)
 
     def best(parts):
         x, y, est = (np.concatenate(p) for p in zip(*parts))
@@ -225,7 +264,7 @@ def compared(met: DataFrame, reps: DataFrame, percent: int, most: int | None) ->
         held = None
         for b in itertools.chain(batches, [None]):
             if b is not None:
-                now = [b.column(i).to_numpy() for i in range(5)] + [_estimates(b.column(5))]
+                now = [b.column(i).to_numpy() for i in range(5)] + [_bins(b.column(5))]
                 held = now if held is None else [np.concatenate([x, y]) for x, y in zip(held, now)]
             if held is None or not len(held[0]):
                 continue
@@ -244,8 +283,7 @@ def compared(met: DataFrame, reps: DataFrame, percent: int, most: int | None) ->
                         x, y = ((first[s : s + step, None] + k).ravel() for k in (i, j))
                         ok = (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] == 0)) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
                         x, y = x[ok], y[ok]
-                        est = (sig[x] == sig[y]).sum(1, dtype=np.int32)
-                        ok = est >= least
+                        est, ok = estimated(sig[x], sig[y], n[x], n[y], percent)
                         parts.append((x[ok], y[ok], est[ok]))
                         waiting += len(parts[-1][0])
                         if waiting > HELD:  # what is not among the likeliest of some pairs is not among those of more
@@ -317,25 +355,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> D
     A-Z are lower-cased; a document's set holds its distinct 5-word shingles (fewer words: the whole sequence as one; none, or
     a null text: empty). Documents with 100 * intersection >= percent * union of non-empty sets are linked; component_id is
     the smallest doc_id reachable, and that document is kept. Equal sets are one node of the join, so copies cost nothing more.
-    Recall of a link whose documents meet in small nodes is 1 - (1 - s)^trees or better at similarity s; every reported link is exact.
-    Rows with equal ids should hold equal texts; else each is judged by its own. A null doc_id is linked with nothing, has no
-    component and is kept. Other columns are ignored.
+    Recall of a link whose documents meet in small nodes is 1 - (1 - s)^trees or better at similarity s; tests measure it where
+    every node is large. Every reported link is exact. doc_id may be of any type with an order. Rows with equal ids and other
+    texts are judged each by its own text. A null doc_id is linked with nothing, has no component and is kept. An empty table
+    gives an empty one. Other columns are ignored.
     """
     signed = cut(signatures(docs), "signatures")
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(linkable.groupBy("d1", "d2").agg(F.min("doc_id").cast("bigint").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig")), "classes")
+    classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbered once, as it is written
     reps = classes.select("rep", "n", "sig")
     met = cut(meetings(reps, trees), "met")
     pairs = _first_round(met, reps, percent)
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = cut(classes.join(wanted, "rep", "left_semi").select("rep", F.col("first").alias("doc_id"), "d1", "d2"), "wanted")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def full(batches):
         for b in slices(batches, 1, 1 << 20):
             sets = shingle_sets(*joined_bytes(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "d1", "d2", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(map_arrow(texts, full, "rep bigint, set binary"), "sets")
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = map_arrow(texts, full, f"doc_id {kind}, d1 bigint, d2 bigint, set binary").join(wanted, ["doc_id", "d1", "d2"]).select("rep", "set")
+    sets = cut(sets.dropDuplicates(["rep"]), "sets")  # rows of one class have equal sets
 
     # first each document's likeliest pair, then the likeliest between each two components, then all that is left between components
     ends = pairs.select(F.explode(F.array(F.struct("a", "b", "est", F.col("a").alias("v")), F.struct("a", "b", "est", F.col("b").alias("v")))).alias("e")).select("e.*")
@@ -346,9 +389,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> D
     labels = components(links)
     more = missed(met, reps, percent, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     labels = components(_joined(cut(more, "more"), links, labels, sets, percent))
-    named = cut(classes.join(labels, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")), "named")
+    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "first", F.coalesce("component", "rep").alias("component"))
+    named = cut(named, "named")
+    smallest = cut(named.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
+    named = named.join(smallest, "component").select("d1", "d2", "component_id")
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,49 @@ def test_large_nodes_end_in_pivots(spark):
     assert found.count() < 80 * 40 and r
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_recall_where_every_node_is_large(percent):
+    """Pairs that agree on so many coordinates, followed down all levels as if no node on the way were small: do they still meet?"""
+    r = np.random.default_rng(3)
+    pairs = 2000
+    left = r.integers(0, 1 << 32, (pairs, neardup.COORDINATES), dtype=np.uint32)
+    right = np.where(r.random(left.shape) < percent / 100, left, r.integers(0, 1 << 32, left.shape, dtype=np.uint32))
+    met = np.zeros(pairs, bool)
+    for tree in range(neardup.TREES):
+        sides = []
+        for sig in (left, right):
+            node, row = np.full(pairs, neardup.words.mixed(np.array([tree + 1], np.uint64))[0]), np.arange(pairs)
+            for _ in range(neardup.DEPTH):
+                node, which = neardup.children(node, sig[row])
+                row = row[which]
+            sides.append(set(zip(row.tolist(), node.tolist())))
+        met[[i for i, _ in sides[0] & sides[1]]] = True
+    assert met.mean() >= 0.9
+
+
+@pytest.mark.parametrize("size", [20, 200, 3000])
+def test_estimates_leave_no_similar_pair_out(size):
+    r = np.random.default_rng(size)
+    sets, true = [], []
+    for _ in range(400):
+        both = r.integers(0, 1 << 63, size, dtype=np.uint64)
+        own = int(size * r.uniform(0, 0.3))
+        sets += [np.unique(np.concatenate([both[own:], r.integers(0, 1 << 63, own, dtype=np.uint64)])) for _ in range(2)]
+        true.append(len(np.intersect1d(*sets[-2:])) / len(np.union1d(*sets[-2:])))
+    n, bins = np.array([len(s) for s in sets]), neardup.sketches(sets).view(np.uint64)
+    est, can = neardup.estimated(bins[::2], bins[1::2], n[::2], n[1::2], 85)
+    true = np.array(true)
+    assert can[true >= 0.85].all() and not can[true < {20: 0.6, 200: 0.75, 3000: 0.75}[size]].any()
+    assert np.abs(est / 1000 - true).max() < 0.1
+
+
+def test_ids_that_are_text_or_repeat(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [("x", a), ("y", a + " more"), ("x", b), ("z", b), ("w", "alone here")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [("w", 1, "w", True), ("x", 56, "x", True), ("x", 56, "x", True), ("y", 57, "x", False), ("z", 56, "x", False)]
+
+
 def test_large_nodes_are_compared_whole(spark):
     r = random.Random(12)
     crowd = []
