@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; a local one only where the session names none and all runs in one process."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -50,11 +52,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors, and gives the planner true sizes."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

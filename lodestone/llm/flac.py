@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import joined_bytes, map_arrow, slices, table
+from lodestone.llm.common import cut, joined_bytes, map_arrow, slices, table
 
 BLOCK = 4096
 PAD = 64
@@ -419,7 +419,7 @@ def decode_frames(frames: list[bytes], infos: list[dict]) -> list[tuple[dict, np
         each = np.array([x[7] for x in todo], np.int64)
         counts = np.array([heads[x[0]]["size"] for x in todo], np.int64) - orders
         residual, ends = _rice_lanes(words, np.array([x[5] for x in todo]), counts, each - orders, each, np.array([x[6] == 1 for x in todo]))
-        linear: dict[tuple[int, int], list[int]] = {}
+        linear: dict[int, list[int]] = {}
         for lane, (i, order, coefficients, shift, wasted, _, _, _) in enumerate(todo):
             row, e = result[i][channel], residual[: counts[lane], lane]
             pos[i] = int(ends[lane])
@@ -430,15 +430,20 @@ def decode_frames(frames: list[bytes], infos: list[dict]) -> list[tuple[dict, np
                 row <<= wasted
             else:
                 row[order:] = e
-                linear.setdefault((order, len(row)), []).append(lane)
-        for (order, size), lanes in linear.items():
-            rows = np.stack([result[todo[x][0]][channel] for x in lanes])
+                linear.setdefault(order, []).append(lane)
+        for order, lanes in linear.items():
+            lanes.sort(key=lambda x: -len(result[todo[x][0]][channel]))  # those still going on at a step come first
+            sizes = np.array([len(result[todo[x][0]][channel]) for x in lanes])
+            rows = np.zeros((len(lanes), int(sizes[0])), np.int64)
+            for row, x, size in zip(rows, lanes, sizes):
+                row[:size] = result[todo[x][0]][channel]
             weights = np.stack([todo[x][2][::-1] for x in lanes])
             shifts = np.array([todo[x][3] for x in lanes])
-            for t in range(order, size):
-                rows[:, t] += (rows[:, t - order : t] * weights).sum(1) >> shifts
-            for x, row in zip(lanes, rows):
-                result[todo[x][0]][channel] = row << todo[x][4]
+            going = np.searchsorted(-sizes, -np.arange(int(sizes[0])) - 1, "right")
+            for t, m in enumerate(going[order:].tolist(), order):
+                rows[:m, t] += (rows[:m, t - order : t] * weights[:m]).sum(1) >> shifts[:m]
+            for x, row, size in zip(lanes, rows, sizes):
+                result[todo[x][0]][channel] = row[:size] << todo[x][4]
     for h, r in zip(heads, result):
         if h["channels"] == 8:
             r[1] = r[0] - r[1]
@@ -483,7 +488,11 @@ def padded(text: bytes) -> bytes:
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: every whole text (null: empty) as UTF-8, padded with zero bytes to a positive multiple of 64, as a FLAC stream."""
+    """doc_id, n_bytes, media: every whole text (null: empty) as UTF-8, padded with zero bytes to a positive multiple of 64, as a FLAC stream.
+
+    Equal texts give equal streams; repeated rows are coded each. doc_id may be of any type. An empty table gives an empty one.
+    Other columns are ignored.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterable[pa.RecordBatch]):
@@ -496,50 +505,80 @@ def encode_documents(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), encode, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, first_sample, n_samples, pcm (little-endian, channels interleaved) of every block of a table with doc_id and media. A null media has no blocks."""
-    kind = media.schema["doc_id"].dataType.simpleString()
+BLOCKS = "array<struct<first_sample: bigint, n_samples: int, pcm: binary>>"
+
+
+def stored_blocks(media: DataFrame) -> DataFrame:
+    """The media column decoded and written to the shared folder: every column of media but `media` itself, and flac_bytes,
+    flac_sha256, md5 (of the samples, as the stream says) and blocks: first_sample, n_samples and pcm (little-endian, channels
+    interleaved, 8 bits a sample where all of a block fit) of each frame.
+
+    Both checksums of every frame and the MD5 of every stream are verified before a block is written. A null media has no blocks.
+    """
+    kept = [c for c in media.columns if c != "media"]
+    at = len(kept)
+    block = pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())])
 
     def decode(batches):
-        for b in slices(batches, 1, 2 << 20):
-            ids = b.column(0)
-            streams = [(i, x.as_py()) for i, x in enumerate(b.column(1)) if x.is_valid]
-            rows = [(streams[o][0], first, s.shape[1], s.T.astype("<i4").tobytes() if s.max(initial=0) > 127 or s.min(initial=0) < -128 else s.T.astype(np.int8).tobytes()) for o, first, s in decode_all([m for _, m in streams])]
-            if rows:
-                which, first, n, pcm = zip(*rows)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(pcm, pa.binary())], names=["doc_id", "first_sample", "n_samples", "pcm"])
+        for b in slices(batches, at, 2 << 20):
+            given = [x.as_py() for x in b.column(at)]
+            which = [i for i, x in enumerate(given) if x is not None]
+            blocks = [None if x is None else [] for x in given]
+            for o, first, s in decode_all([given[i] for i in which]):
+                kind = np.int8 if s.max(initial=0) <= 127 and s.min(initial=0) >= -128 else "<i4"
+                blocks[which[o]].append({"first_sample": first, "n_samples": s.shape[1], "pcm": s.T.astype(kind).tobytes()})
+            digests = [None if x is None else hashlib.sha256(x).hexdigest() for x in given]
+            sums = [None if x is None else split_stream(x)[0]["md5"] for x in given]
+            yield pa.RecordBatch.from_arrays([
+                *b.columns[:at], pa.array([None if x is None else len(x) for x in given], pa.int64()), pa.array(digests, pa.string()), pa.array(sums, pa.binary()), pa.array(blocks, pa.list_(block)),
+            ], names=[*kept, "flac_bytes", "flac_sha256", "md5", "blocks"])
 
-    return map_arrow(media.select("doc_id", "media"), decode, f"doc_id {kind}, first_sample bigint, n_samples bigint, pcm binary")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in media.select(*kept).schema)
+    decoded = map_arrow(media.select(*kept, "media"), decode, f"{schema}flac_bytes bigint, flac_sha256 string, md5 binary, blocks {BLOCKS}")
+    return cut(decoded, "pcm-blocks", compression="zstd")
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """The digests of what decode_all reads from the media column, per row of encode_documents. feature: samples, peak, sum of squares and zero crossings."""
-    kind = media.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def pcm_blocks(stored: DataFrame) -> DataFrame:
+    """doc_id, first_sample, n_samples, pcm of every stored block."""
+    return stored.select("doc_id", F.inline("blocks"))
 
-    def digest(batches):
-        for b in slices(batches, 2, 2 << 20):
-            streams = [x.as_py() for x in b.column(2)]
-            payload, tails = [hashlib.sha256() for _ in streams], [b""] * len(streams)
-            size, peak, square, cross, last = (np.zeros(len(streams), np.int64) for _ in range(5))
-            for o, _, s in decode_all(streams):
-                x = s[0]
-                part = (x + 128).astype(np.uint8).tobytes()
-                payload[o].update(part)
-                tails[o] = (tails[o] + part)[-PAD:]
-                size[o] += len(x)
-                peak[o] = max(peak[o], int(np.abs(x).max()))
-                square[o] += int((x * x).sum())
-                cross[o] += int(((x[1:] < 0) != (x[:-1] < 0)).sum()) + (size[o] > len(x) and (last[o] < 0) != (x[0] < 0))
-                last[o] = x[-1]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array(size), pa.array([p.hexdigest() for p in payload]), pa.array([zlib.crc32(t) for t in tails], pa.int64()),
-                pa.array([len(m) for m in streams], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in streams]),
-                pa.array([f"n={n};peak={p};square={s};cross={c}" for n, p, s, c in zip(size, peak, square, cross)]),
-            ], names=names)
 
-    return map_arrow(media.select("doc_id", "n_bytes", "media"), digest, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+def samples_at(stored: DataFrame, first: int, n: int, width: int = 1) -> DataFrame:
+    """doc_id, first_sample, pcm: samples first to first + n of every document, from the blocks that hold them alone; width bytes a sample."""
+    low, high = F.greatest(F.col("first_sample"), F.lit(first)), F.least(F.col("first_sample") + F.col("n_samples"), F.lit(first + n))
+    blocks = pcm_blocks(stored).where((F.col("first_sample") < first + n) & (F.col("first_sample") + F.col("n_samples") > first))
+    part = F.substring("pcm", ((low - F.col("first_sample")) * width + 1).cast("int"), ((high - low) * width).cast("int"))
+    return blocks.select("doc_id", low.alias("first_sample"), part.alias("pcm"))
+
+
+def block_digests(stored: DataFrame) -> DataFrame:
+    """The digests of what the stored blocks of encode_documents' media hold, per row. feature: samples, peak, sum of squares and
+    zero crossings. Raises Corrupt where blocks miss an offset or their samples the stream's MD5."""
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "flac_bytes", "flac_sha256"]
+
+    def digest(batches):
+        for b in batches:
+            rows = []
+            lists = b.column(5)
+            first, pcm = (lists.values.field(k) for k in ("first_sample", "pcm"))
+            first = first.to_numpy()
+            data, edges = joined_bytes(pcm)
+            for r, (s, e) in enumerate(zip(lists.offsets.to_pylist(), lists.offsets.to_pylist()[1:])):
+                raw = data[edges[s] : edges[e]]
+                if (first[s:e] != edges[s:e] - edges[s]).any() or hashlib.md5(raw).digest() != b.column(4)[r].as_py():
+                    raise Corrupt("stored blocks miss the stream's checksum")
+                x = raw.view(np.int8).astype(np.int64)
+                payload = (raw ^ 0x80).tobytes()
+                feature = f"n={len(x)};peak={int(np.abs(x).max())};square={int((x * x).sum())};cross={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
+            out = list(zip(*rows)) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, k) for x, k in zip(out, kinds)], b.column(2), b.column(3)], names=names)
+
+    columns = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, flac_bytes bigint, flac_sha256 string"
+    return map_arrow(stored.select("doc_id", "n_bytes", "flac_bytes", "flac_sha256", "md5", "blocks"), digest, f"doc_id {kind}, {columns}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(encode_documents(table(spark, sf_dir, "documents")))
+    return block_digests(stored_blocks(encode_documents(table(spark, sf_dir, "documents"))))

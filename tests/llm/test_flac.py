@@ -1,5 +1,9 @@
+import hashlib
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import flac
 
@@ -101,12 +105,42 @@ def test_long_unary_runs():
     assert got[0].tolist() == samples[:128]
 
 
+def test_linear_prediction_in_lanes_of_several_sizes():
+    t = np.arange(1024)
+    waves = [(a * np.sin(t[:n] / 9) + 500 * np.sin(t[:n] * 1.7)).astype(int).tolist() for a, n in ((8000, 1024), (300, 512), (9000, 64), (20, 1024))]
+    got = {o: s[0].tolist() for o, _, s in flac.decode_all([lpc_stream(w, [15000, -7500], 13, partitions=0) for w in waves])}
+    assert got == dict(enumerate(waves))
+
+
 def test_table(spark):
-    docs = spark.createDataFrame([(1, "abc", 1), (2, None, 2), (3, "", 3), (4, "abc", 4), (5, "é" * 70_000, 5)], "doc_id bigint, text string, media int")
+    docs = spark.createDataFrame([(1, "abc", 1), (2, None, 2), (3, "", 3), (4, "abc", 4), (5, "é" * 70_000, 5), (1, "abc", 1), (None, "x", 6)], "doc_id bigint, text string, media int")
     media = flac.encode_documents(docs)
-    rows = {r.doc_id: r for r in flac.media_digests(media).collect()}
-    assert rows[1].feature == rows[4].feature and rows[1].media_sha256 == rows[4].media_sha256
+    stored = flac.stored_blocks(media)
+    assert any("pcm-blocks" in f for f in stored.inputFiles())
+    rows = {r.doc_id: r for r in flac.block_digests(stored).collect()}
+    assert len(rows) == 6 and flac.block_digests(stored).count() == 7
+    assert rows[1].feature == rows[4].feature and rows[1].media_sha256 == rows[4].media_sha256 and rows[1].flac_sha256 == rows[4].flac_sha256
     assert (rows[2].n_bytes, rows[2].payload_bytes, rows[5].payload_bytes) == (0, 64, 140_032)
-    blocks = flac.pcm_blocks(media).where("doc_id = 5").orderBy("first_sample").collect()
+    for i, text in ((1, "abc"), (2, ""), (5, "é" * 70_000)):
+        payload = flac.padded(text.encode())
+        signed = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()
+        assert (rows[i].payload_sha256, rows[i].tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (rows[i].media_bytes, rows[i].media_sha256) == (len(payload), hashlib.sha256(signed).hexdigest())
+    blocks = flac.pcm_blocks(stored).where("doc_id = 5").orderBy("first_sample").collect()
     assert [b.first_sample for b in blocks] == list(range(0, 140_032, 4096)) and sum(b.n_samples for b in blocks) == 140_032
-    assert flac.media_digests(flac.encode_documents(docs.where("false"))).count() == 0
+    whole = (np.frombuffer(flac.padded(("é" * 70_000).encode()), np.uint8) ^ 0x80).tobytes()
+    parts = sorted((r.first_sample, bytes(r.pcm)) for r in flac.samples_at(stored.where("doc_id = 5"), 5000, 9000).collect())
+    assert [p[0] for p in parts] == [5000, 8192, 12288] and b"".join(p[1] for p in parts) == whole[5000:14_000]
+    assert flac.block_digests(flac.stored_blocks(flac.encode_documents(docs.where("false")))).count() == 0
+
+
+def test_stored_damage_is_found(spark):
+    stored = flac.stored_blocks(flac.encode_documents(spark.createDataFrame([(1, "abc " * 3000)], "doc_id bigint, text string")))
+    moved = stored.withColumn("blocks", F.reverse("blocks"))
+    with pytest.raises(Exception, match="stored blocks miss"):
+        flac.block_digests(moved).collect()
+
+
+def test_null_media_and_other_columns(spark):
+    media = spark.createDataFrame([(1, None, "t")], "doc_id bigint, media binary, pcm string")
+    assert flac.pcm_blocks(flac.stored_blocks(media)).count() == 0
