@@ -338,20 +338,48 @@ def test_mixing(spark):
 
 
 def test_mixing_edges(spark):
-    assert mixing.mix_sources(frame(spark, []))[0].count() == 0
+    assert mixing.mix_sources(frame(spark, []))[0].count() == 0 and mixing.apply_mix(frame(spark, [])).count() == 0
     one = mixing.mix_sources(frame(spark, ["", None]))[0].collect()
     assert [(r.size, r.taken, r.target) for r in one] == [(0, 0, 0.0)] * 2
+    assert mixing.apply_mix(frame(spark, ["", None, "a b"], ["s"] * 3)).select("doc_id").distinct().count() == 1
     dup = mixing.apply_mix(frame(spark, ["a b c d", "a b c d"], ["s", "s"], [1, 1])).collect()
     assert all(r.text in ("a b c d", "a b", "a b c", "a") for r in dup) and sum(len(r.text.split()) for r in dup) == 12
-    assert mixing.first_words(" a  b\tc ", 2) == " a  b"
 
 
-def test_apply_mix_keeps_columns(spark):
-    docs = frame(spark, sample_texts(7), ["a"] * 200)
-    out = mixing.apply_mix(docs)
-    assert out.schema == docs.schema
-    sizes, got = mixing.mix_sources(docs)[0].agg(F.sum("taken")).first()[0], sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in out.collect())
-    assert got == sizes
+def test_apply_mix_gives_the_scheduled_blocks(spark):
+    texts = sample_texts(7, 120)
+    docs = frame(spark, [*texts, texts[0]], [["big", "mid", None][min(2, i % 5)] for i in range(len(texts))] + ["big"], [*range(len(texts)), 0])
+    mix = mixing.plan(docs, block_words=16, min_blocks=8)
+    line = collections.defaultdict(list)  # each source's words, end to end
+    whole = dict(enumerate(texts))
+    length = {}
+    for r in mix.placed.orderBy("skey", "start").collect():
+        length[r.skey] = r.L
+        line[r.skey] += [(r.doc_id, w) for w in re.findall(r"[^\x20\x09-\x0D]+", whole[r.doc_id] or "")]
+    want = collections.Counter()
+    slots = mix.schedule.collect()
+    for x in slots:
+        want.update(line[x.skey][x.block * length[x.skey] : (x.block + 1) * length[x.skey]])
+    rows = mixing.apply_mix(docs, in_order=True, block_words=16, min_blocks=8)
+    assert rows.schema == docs.schema
+    rows = rows.collect()
+    got = collections.Counter((r.doc_id, w) for r in rows for w in re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert got == want and all(r.text in whole[r.doc_id] for r in rows) and all(len(r.text) == r.n_chars for r in rows)
+    # each source's blocks go round from the first one on, and early slots' words come early
+    for skey in line:
+        own = sorted((x.slot, x.rank) for x in slots if x.skey == skey)
+        assert [k for _, k in own] == list(range(len(own)))
+    first = {r.doc_id: i for i, r in reversed(list(enumerate(rows)))}
+    early = min(slots, key=lambda x: x.slot)
+    assert first[line[early.skey][early.block * length[early.skey]][0]] <= 2
+
+
+def test_a_source_of_many_cells_is_cut_by_many_tasks(spark):
+    one = spark.sql("select 'a' skey, 5L blocks, 1e5D slots, 0L lo, 100000L hi union all select 'b', 5L, 1D, 100000L, 100000L")
+    found = mixing.cells(one, lambda x: x, 100_000, chunk=64)
+    tasks = found.where("skey = 'a'").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert found.count() == 100_002 and found.agg(F.sum("cell")).first()[0] == 100_001 * 50_000 + 100_000
+    assert len(tasks) == 4 and max(t["count"] for t in tasks) < 40_000
 
 
 def test_running_totals(spark):
