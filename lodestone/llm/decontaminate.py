@@ -9,8 +9,8 @@ from lodestone.llm.common import cut, lowered, table
 
 BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Stands for a null doc_id in the joins.
-NO_ID = -(1 << 63)
+#: Stand for a null doc_id in the joins: of a number, and of text.
+NO_ID, NO_TEXT_ID = -(1 << 63), "\x00"
 
 
 def words_of(column):
@@ -29,9 +29,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     words (a lone word for one-word items). Each window is looked up by its rarest shingle over all documents only (the prefix
     that containment makes necessary); what meets is bounded by position and length and then compared word by word.
     Null texts have no words; null ids are judged like others. Rows of docs with equal ids are judged each by its own text; item rows with equal ids count as
-    one item. Without benchmark rows nothing is hit. Other columns are ignored.
+    one item. Without benchmark rows nothing is hit. An empty table
+    gives an empty one. doc_id may be a number or text. Other columns are ignored.
     """
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("row_key"))
+    none = F.lit(NO_TEXT_ID if docs.schema["doc_id"].dataType.simpleString() == "string" else NO_ID)
+    rows = docs.select(F.coalesce("doc_id", none).alias("doc_id"), "text", F.xxhash64("text").alias("row_key"))
     # explode(array(x)) keeps x as one computed column: a lambda below reads it instead of splitting the text for each element
     items = benchmark.select("item_id", F.explode(F.array(words_of(F.col("text")))).alias("iw")).where(F.size("iw") > 0)
     items = cut(items.select("item_id", F.xxhash64("iw").alias("item_key"), "iw", F.size("iw").alias("len")).dropDuplicates(["item_id", "item_key"]), "bench-items")
@@ -80,7 +82,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     merged = F.aggregate("runs", start, lambda a, r: F.struct(F.greatest(a["end"], r["e"]).alias("end"), (a["n"] + F.greatest(F.lit(0), r["e"] - F.greatest(a["end"], r["s"]))).alias("n")), lambda a: a["n"])
     hits = hits.select("doc_id", "row_key", merged.cast("long").alias("n_hit"), "items")
-    return judged.select("doc_id", "row_key", "n_words").join(hits, ["doc_id", "row_key"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "row_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return judged.select("doc_id", "row_key", "n_words").join(hits, ["doc_id", "row_key"], "left").select(F.nullif("doc_id", none).alias("doc_id"), "row_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

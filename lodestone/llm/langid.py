@@ -84,10 +84,10 @@ def sample_ids(docs: DataFrame, per_label: int = PER_LANGUAGE, most: int = MOST_
 
 def fit(docs: DataFrame, per_label: int = PER_LANGUAGE, most: int = MOST_SAMPLES) -> tuple[list[str], np.ndarray]:
     """Learn from the text and lang of a bounded sample of the training folds."""
-    ids = sample_ids(docs, per_label, most).collect()
+    ids, kind = sample_ids(docs, per_label, most).collect(), docs.schema["doc_id"].dataType.simpleString()
     if not ids:
         return train(np.zeros((0, COLUMNS), np.uint8), [])
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.lang) for r in ids], "doc_id bigint, label string"))  # `most` rows
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.lang) for r in ids], f"doc_id {kind}, label string"))  # `most` rows
 
     def features(batches):
         for b in slices(batches, 1, 1 << 20):
@@ -96,8 +96,9 @@ def fit(docs: DataFrame, per_label: int = PER_LANGUAGE, most: int = MOST_SAMPLES
                 bits = np.packbits(presence(*joined_bytes(part.column(1))), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc_id", "label", "bits"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id").select("doc_id", "text", "label")
-    rows = map_arrow(rows, features, "doc_id bigint, label string, bits binary").limit(2 * most).collect()
+    # rows with equal ids: the first text by hash counts, so that the sample is the same for any order of rows
+    rows = docs.where("text is not null").join(wanted, "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = map_arrow(rows.select("doc_id", "text", "label"), features, f"doc_id {kind}, label string, bits binary").collect()  # `most` rows of COLUMNS bits
     rows.sort(key=lambda r: (r.doc_id, bytes(r.bits)))  # the same rows give the same model
     packed = np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1)
     model = train(np.unpackbits(packed, axis=1, count=COLUMNS), [r.label for r in rows])
@@ -109,7 +110,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score for every row, from the whole text alone.
 
     A null text, or one without a letter, is `und` with score 0; so is every text when nothing could be learned. Other columns
-    are ignored. Ties go to the first language in code point order.
+    are ignored. Ties go to the first language in code point order. Repeated rows are each predicted, alike. An empty table gives
+    an empty one. doc_id may be of any type.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)

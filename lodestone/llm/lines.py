@@ -14,7 +14,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     A line's key is the line without white space at both ends and with A-Z lower-cased. Keys of at least min_chars code points
     that at least min_docs documents hold lose their lines everywhere but in the smallest doc_id that holds them. A null or
     empty text is one empty line. Rows with equal ids count as one document. Rows with a null id can't be ordered: they keep
-    all lines and don't count. Columns other than doc_id and text are ignored.
+    all lines and don't count. An empty table gives an empty one. doc_id may be of any type with an order. Columns other than doc_id
+    and text are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", F.xxhash64("t").alias("row_key"), F.split("t", "\n", -1).alias("lines"))
     found = rows.where("doc_id is not null").select("doc_id", "row_key", F.posexplode("lines").alias("pos", "line"))

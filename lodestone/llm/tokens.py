@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -18,17 +19,27 @@ CACHE_WORDS, TABLE_BITS = 700_000, 21
 _workers: dict[str, WordIds] = {}
 
 
+#: The normaliser and pre-tokenizer that a text's pieces may be encoded apart under.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class WordIds:
-    """Ids of whole texts from the ids of their pieces, which a worker remembers by hash.
+    """Ids of whole texts from the ids of their pieces, which a worker remembers by hash and bytes.
 
-    The tokenizer's normaliser and pre-tokenizer never join across ASCII white space and drop it, and never join a letter with
-    the full stop or comma after it, so a text's ids are those of its pieces end to end. Forgetting changes speed, never ids.
+    A tokenizer with the normaliser and pre-tokenizer above never joins across ASCII white space and drops it, and never joins a
+    letter with the full stop or comma after it, so a text's ids are those of its pieces end to end. Under any other whole texts
+    are encoded. Forgetting changes speed, never ids; nor do two pieces of one hash, as their bytes are compared.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        config = json.loads(self.tokenizer.to_str())
+        added = all(x["content"].startswith("<|") and x["special"] and not x["normalized"] for x in config["added_tokens"])
+        self.by_piece = added and config["normalizer"] == NORMALIZER and config["pre_tokenizer"] == PRE_TOKENIZER and config["model"].get("end_of_word_suffix") == "</w>"
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -43,11 +54,33 @@ class WordIds:
     def reset(self) -> None:
         self.table, self.pool = words.Table(TABLE_BITS), np.zeros(1 << 20, np.int32)
         self.first, self.size, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.letters, self.letters_first, self.letters_size, self.letters_used = np.zeros(1 << 22, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, ids of each text), by the tokenizer alone."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
+
+    def other(self, entry: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which pieces of data are not, byte for byte, those of their entries."""
+        size = ends - starts
+        wrong = self.letters_size[entry] != size
+        same = np.flatnonzero(~wrong)
+        size = size[same]
+        ahead = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        unlike = data[step + np.repeat(starts[same] - ahead, size)] != self.letters[step + np.repeat(self.letters_first[entry[same]] - ahead, size)]
+        if unlike.any():
+            wrong[same[np.unique(np.searchsorted(ahead, np.flatnonzero(unlike), "right") - 1)]] = True
+        return np.flatnonzero(wrong)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, ids of each text) of texts that lie end to end in data."""
         if len(data) == 0:
             return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
+        if not self.by_piece:
+            raw = data.tobytes()
+            return self.whole([raw[s:e].decode("utf-8", "replace") for s, e in zip(at.tolist(), at[1:].tolist())])
         if not ((data[:-1] == 60) & (data[1:] == 124)).any():  # "<|" may start a special token, which keeps its case
             data = words.lower_ascii(data)
         letter = np.zeros(len(data) + 2, bool)
@@ -69,14 +102,19 @@ class WordIds:
             new, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
             raw = data.tobytes()
             picked = missing[one]
-            self.learn(new, [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[picked].tolist(), ends[picked].tolist())])
+            places = list(zip(starts[picked].tolist(), ends[picked].tolist()))
+            self.learn(new, [raw[s:e].decode("utf-8", "replace") for s, e in places], [data[s:e] for s, e in places])
             entry[missing] = self.table.find(new)[back]
+        wrong = self.other(entry, data, starts, ends)
+        if len(wrong):  # pieces of one hash and other bytes: each such text is encoded whole
+            raw = data.tobytes()
+            return self.whole([raw[s:e].decode("utf-8", "replace") for s, e in zip(at.tolist(), at[1:].tolist())])
         size = self.size[entry].astype(np.int64)
         done = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.first[entry] - done[:-1], size) + np.arange(done[-1])]
         return ids, np.diff(done[per_text])
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def learn(self, keys: np.ndarray, texts: list[str], pieces: list[np.ndarray]) -> None:
         alpha = np.array([t.isalpha() for t in texts])
         plain = [t for t, a in zip(texts, alpha) if a]
         sizes = np.zeros(len(texts), np.int64)
@@ -96,7 +134,14 @@ class WordIds:
         values = self.table.add(keys)
         if self.table.count > len(self.first):
             grow = max(2 * len(self.first), self.table.count)
-            self.first, self.size = (np.concatenate([x, np.zeros(grow - len(x), x.dtype)]) for x in (self.first, self.size))
+            self.first, self.size, self.letters_first, self.letters_size = (np.concatenate([x, np.zeros(grow - len(x), x.dtype)]) for x in (self.first, self.size, self.letters_first, self.letters_size))
+        raw = np.concatenate(pieces)
+        if self.letters_used + len(raw) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros(max(len(self.letters), len(raw)), np.uint8)])
+        size = np.array([len(p) for p in pieces], np.int64)
+        self.letters_first[values], self.letters_size[values] = self.letters_used + np.cumsum(size) - size, size
+        self.letters[self.letters_used : self.letters_used + len(raw)] = raw
+        self.letters_used += len(raw)
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.int32)])
         self.first[values], self.size[values] = first + self.used, sizes
@@ -109,7 +154,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 1
 
     One range shuffle of the texts, then tokens go straight from the Arrow batches to Spark's Parquet writer (task commit makes
     a retried task harmless). encoding is "dictionary" (RLE ids) or "delta" (DELTA_BINARY_PACKED, Parquet v2). Page indexes are
-    always written. Null ids come first; rows with equal ids follow the hash of their text. Other columns are ignored.
+    always written. Null ids come first; rows with equal ids follow the hash of their text. An empty table gives an empty one.
+    Other columns are ignored. doc_id may be of any type with an order.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding}")

@@ -19,8 +19,8 @@ DICTIONARY_FRAME = 0x184D2A5D
 ZSTD_FRAME = 0xFD2FB528
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: The dictionary is trained on this many payloads at most, picked by hash, and on this many bytes of each.
-SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16 << 10, 64 << 10
+#: The dictionary is trained on this many records at most, the first by hash among those with payloads of so many bytes at most.
+SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 32 << 10, 64 << 10
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -110,12 +110,11 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, date: st
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     groups = rows.where(F.length("payload") >= min_payload).groupBy("sha1").agg(F.min("page_id").alias("original"), F.count("*").alias("n"))
     groups = cut(groups.where("n > 1 and original is not null").select("sha1", "original"), "warc-groups")
-    total = max(1, pages.count())
-    picked = rows.where(F.pmod(F.xxhash64("sha1", "page_id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_RECORDS / total) * (1 << 30)))
-    samples = picked.select(F.substring("payload", 1, SAMPLE_BYTES).alias("x")).limit(SAMPLE_RECORDS).collect()
-    words = train_dictionary([bytes(r.x) for r in samples])
+    usable = rows.where((F.length("payload") > 0) & (F.length("payload") <= SAMPLE_BYTES))
+    samples = usable.orderBy(F.xxhash64("sha1", "page_id"), "page_id", "url").limit(SAMPLE_RECORDS).collect()  # the least of each task, then of all
+    words = train_dictionary([record_bytes(r.page_id, r.url, bytes(r.payload), sha1_base32(bytes(r.payload)), None, date) for r in samples])
     # groups is read from a table: if it is small the planner broadcasts it, else a sort-merge join whose hot digests AQE splits
-    marked = rows.join(groups, "sha1", "left").select("page_id", "url", "payload", F.when(F.col("original") != F.coalesce("page_id", F.lit(-1)), F.col("original")).alias("refers_to"))
+    marked = rows.join(groups, "sha1", "left").select("page_id", "url", "payload", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original")).alias("refers_to"))
 
     def write(batches):
         import zstandard
@@ -150,8 +149,8 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, date: st
     return cut(map_arrow(marked, write, "file string, records bigint, bytes bigint"), "warc-files")
 
 
-def read_archives(files: DataFrame, folder: str, page_type: str = "bigint") -> DataFrame:
-    """Every record of the listed archives: page_id, url, payload (null for a revisit), payload_bytes, payload_digest, record_type, refers_to, media."""
+def read_archives(files: DataFrame, folder: str) -> DataFrame:
+    """Every record of the listed archives: page_id, url, payload (null for a revisit), payload_bytes, payload_digest, record_type, refers_to. Ids are integers."""
 
     def read(batches):
         from pyarrow import fs

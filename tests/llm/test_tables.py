@@ -451,3 +451,71 @@ def test_tokens_of_nothing(spark):
     assert tokens.token_table(frame(spark, [])).count() == 0
     one = tokens.token_table(frame(spark, [None, ""], ids=[None, 3])).collect()
     assert [r.n_tokens for r in one] == [1, 1]
+
+
+def test_tokens_of_one_hash_and_other_tokenizers(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    texts = [*sample_texts(9, 12)[:12], "a., ,b 12,5 <|endoftext|>", "", "same same"]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    want = [e.ids for e in Tokenizer.from_file(tokens.tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+    split = lambda ids, n: [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    known = tokens.WordIds(tokens.tokenizer_path())
+    assert known.by_piece and split(*known.encode(data, at)) == want == split(*known.encode(data, at))
+    known.by_piece = False  # as for a tokenizer whose normaliser or pre-tokenizer is another
+    assert split(*known.encode(data, at)) == want
+    known = tokens.WordIds(tokens.tokenizer_path())
+    true = tokens.words.hashes
+    monkeypatch.setattr(tokens.words, "hashes", lambda d, s, e: true(d, s, e) & np.uint64(3))  # nearly every two pieces meet
+    assert split(*known.encode(data, at)) == want
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_files_have_encodings_row_groups_and_page_indexes(spark, encoding):
+    pytest.importorskip("public_tokenizers")
+    import glob
+
+    import pyarrow.parquet as pq
+
+    out = scratch(spark, "tokens-file")
+    docs = frame(spark, sample_texts(3, 40) * 12).coalesce(1)
+    tokens.write_tokens(docs, out, tokens.tokenizer_path(), encoding=encoding, row_group_bytes=1 << 14, page_bytes=1 << 10)
+    files = [pq.ParquetFile(f) for f in glob.glob(out.removeprefix("file://") + "/*.parquet")]
+    files = [f for f in files if f.metadata.num_rows]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    ids = [g.column(j) for g in groups for j in range(g.num_columns) if g.column(j).path_in_schema.startswith("ids")]
+    wanted = {"PLAIN_DICTIONARY", "RLE_DICTIONARY"} if encoding == "dictionary" else {"DELTA_BINARY_PACKED"}
+    assert ids and all(wanted & set(c.encodings) for c in ids) and all(c.has_offset_index and c.has_column_index for c in ids)
+    assert len(groups) > len(files)
+    some = tokens.read_tokens(spark, out, ("doc_id", "n_tokens")).where("doc_id = 7")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan" in plan or "EqualTo(doc_id,7)" in plan
+    assert "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_warc_null_and_negative_ids(spark):
+    folder = scratch(spark, "warc-null")
+    files = warc.write_archives(pages(spark, [(-1, "a", "same text"), (None, "b", "same text"), (7, "c", "same text")]), folder)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(files, folder).collect()}
+    assert got == {-1: ("response", None), None: ("revisit", -1), 7: ("revisit", -1)}
+
+
+def test_warc_dictionary_comes_from_records_in_any_order(spark):
+    rows = [(i, f"http://b/{i}", f"<html><title>page {i}</title><p>common boilerplate of many pages, number {i}</p></html>" * 4) for i in range(900)]
+    heads = []
+    for n in (1, 5):
+        folder = scratch(spark, "warc-order")
+        files = warc.write_archives(pages(spark, rows if n == 1 else rows[::-1]).repartition(n), folder)
+        with open(files.first().file, "rb") as f:
+            head = f.read(8)
+            heads.append(f.read(int.from_bytes(head[4:], "little")))
+    assert heads[0] == heads[1]
+    import zstandard
+
+    assert b"WARC-Type" in zstandard.ZstdDecompressor().decompress(heads[0]) or b"Content-Type: " in zstandard.ZstdDecompressor().decompress(heads[0])
+
+
+def test_empty_tables(spark):
+    assert lines.dedup_lines(frame(spark, [])).count() == 0
