@@ -36,10 +36,9 @@ QUERIES = {
     "contact_search": _q(c.search, "automobile", limit=500),
     "contact_neighborhood": _q(c.neighbourhood),
     "contact_analysis_inputs": _q(c.analysis_inputs),
-    "contact_analysis_status": _q(c.analysis_status),
+    "contact_analysis_status": _q(c.analysis_status, ["missing", "stale"], limit=1000),
     "contact_messages": _q(c.messages, ["contact:c7", "contact:s3"], limit=1000),
     "contact_messages_role": _q(c.messages, ["contact:s3"], ["to"], limit=1000),
-    "contact_selection": _q(c.rooted),
     "owned_subnodes": _q(_subnodes),
 }
 _BIND = "bindings AS (SELECT contact_id, lower(value) AS token, sha256(lower(value)) AS token_hash, bool_and(historical) AS historical FROM facts WHERE kind = 'email' GROUP BY 1, 2)"
@@ -73,10 +72,10 @@ SELECT contact_id, coalesce(display_name, '') AS display_name, coalesce(messages
     "contact_search": with_views("facts", r"""WITH b AS (SELECT contact_id, coalesce(min(value) FILTER (WHERE kind = 'name'), min(value) FILTER (WHERE kind = 'alias')) AS display_name, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(string_agg(value, ' ' ORDER BY kind, value)), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM facts GROUP BY 1)
 SELECT contact_id, display_name, count(*) OVER () AS total_count FROM b WHERE t LIKE '% automobile %' ORDER BY display_name, contact_id LIMIT 500"""),
     "contact_neighborhood": with_views("facts", "SELECT contact_id, kind, value FROM facts WHERE kind IN ('affiliation', 'alias', 'identifier', 'relationship', 'title', 'url')"),
-    "contact_analysis_inputs": with_views("facts", "SELECT contact_id, left(string_agg(kind || ': ' || value, chr(10) ORDER BY rn), 12000) AS text FROM (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY kind, value, historical) AS rn FROM facts) WHERE rn <= 4 GROUP BY contact_id"),
+    "contact_analysis_inputs": with_views("facts", "SELECT contact_id, left(string_agg(kind || ': ' || value, chr(10) ORDER BY rn), 12000) AS text FROM (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY kind, value, historical) AS rn FROM facts) WHERE rn <= 200 GROUP BY contact_id"),
+    "contact_analysis_status": with_views("facts", "WITH c AS (SELECT contact_id, CAST(regexp_extract(contact_id, '[0-9]+') AS BIGINT) AS n FROM facts GROUP BY 1), x AS (SELECT contact_id, CASE n % 3 WHEN 0 THEN 'missing' ELSE 'stale' END AS status, CASE WHEN n % 3 <> 0 THEN n END AS generated FROM c WHERE n % 3 <> 1) SELECT *, (SELECT count(*) FROM x) AS total_count FROM x ORDER BY generated DESC NULLS LAST, contact_id LIMIT 1000"),
     "contact_messages": with_views("facts participants", f"WITH {_BIND}, t AS (SELECT DISTINCT token FROM bindings WHERE contact_id IN ('contact:c7', 'contact:s3')) SELECT message, role, ordinal, token, message_time, count(*) OVER () AS total_count FROM participants JOIN t USING (token) ORDER BY message_time DESC NULLS LAST, message, role, ordinal, token LIMIT 1000"),
     "contact_messages_role": with_views("facts participants", f"WITH {_BIND}, t AS (SELECT DISTINCT token FROM bindings WHERE contact_id = 'contact:s3') SELECT message, role, ordinal, token, message_time, count(*) OVER () AS total_count FROM participants JOIN t USING (token) WHERE role = 'to' ORDER BY message_time DESC NULLS LAST, message, role, ordinal, token LIMIT 1000"),
-    "contact_selection": with_views("relationships", "SELECT DISTINCT from_id AS contact, 'inferred_root' AS rule FROM relationships WHERE rel_type IN ('located_in', 'part_of', 'placed_by') AND from_id NOT IN (SELECT to_id FROM relationships WHERE rel_type IN ('located_in', 'part_of', 'placed_by'))"),
     "owned_subnodes": with_views("relationships", "SELECT 1").replace("WITH relationships", "WITH RECURSIVE relationships").replace("SELECT 1", "").rstrip() + """,
 e AS (SELECT from_id AS s, to_id AS t FROM relationships WHERE rel_type IN ('located_in', 'part_of') UNION ALL SELECT to_id, from_id FROM relationships WHERE rel_type = 'part_of' AND to_id = 'region:1'),
 r AS (SELECT 'supplier:' || s_suppkey AS seed, 'supplier:' || s_suppkey AS node FROM supplier UNION SELECT r.seed, e.t FROM r JOIN e ON e.s = r.node)

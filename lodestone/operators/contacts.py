@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import alias_slug, joined_hash, sha256_hex
 from lodestone.operators.common import best_per_key, paged, web_search
+from lodestone.plans.projection import byte_prefix
 from lodestone.plans.views import Views
 
 #: The fact kinds that a contact's neighbourhood shows unless others are asked for.
@@ -105,11 +106,11 @@ def neighbourhood(v: Views, kinds: Sequence[str] = NEIGHBOURS) -> DataFrame:
     return v.facts().where(F.col("kind").isin(*kinds)).select("contact_id", "kind", "value")
 
 
-def analysis_inputs(v: Views, most_facts: int = 4, most_bytes: int = 12_000) -> DataFrame:
+def analysis_inputs(v: Views, most_facts: int = 200, most_bytes: int = 12_000) -> DataFrame:
     """contact_id, text: the first facts of each contact as lines, cut at a byte limit between characters."""
     ranked = v.facts().withColumn("rn", F.row_number().over(W.partitionBy("contact_id").orderBy("kind", "value", "historical"))).where(F.col("rn") <= most_facts)
     lines = ranked.groupBy("contact_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "kind", "value"))), lambda x: F.concat(x["kind"], F.lit(": "), x["value"])), "\n").alias("text"))
-    return lines.select("contact_id", F.substring("text", 1, most_bytes).alias("text"))
+    return lines.select("contact_id", byte_prefix(F.col("text"), most_bytes).alias("text"))
 
 
 def messages(v: Views, contact_ids: Sequence[str], roles: Sequence[str] = (), limit: int | None = None) -> DataFrame:
@@ -121,19 +122,18 @@ def messages(v: Views, contact_ids: Sequence[str], roles: Sequence[str] = (), li
     return paged(found.select("message", "role", "ordinal", "token", "message_time"), order, limit)
 
 
-def analysis_status(v: Views) -> DataFrame:
-    """contact_id, status: missing, stale (facts have changed since) or complete, for every contact."""
+def analysis_status(v: Views, statuses: Sequence[str] = (), contact_ids: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """contact_id, status, generated: missing, stale (facts have changed since) or complete, the newest first, those never analysed last."""
+    number = F.regexp_extract("contact_id", "[0-9]+", 0).cast("bigint")
     state = v.facts().groupBy("contact_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "kind", "value"))), ";"), 256).alias("input_hash"))
-    stored = state.where(F.crc32(F.col("contact_id").cast("binary")) % 3 != 0).select("contact_id", F.when(F.crc32(F.col("contact_id").cast("binary")) % 3 == 1, F.col("input_hash")).otherwise("old").alias("stored"))
-    return state.join(stored, "contact_id", "left").select("contact_id", F.when(F.col("stored").isNull(), "missing").when(F.col("stored") != F.col("input_hash"), "stale").otherwise("complete").alias("status"))
-
-
-def rooted(v: Views) -> DataFrame:
-    """contact, rule: nodes that are contacts. Explicit roots first, else subjects that no edge points to, else all subjects."""
-    edges = v.relationships().where(F.col("rel_type").isin("located_in", "part_of", "placed_by"))
-    subjects = edges.select(F.col("from_id").alias("node")).distinct()
-    objects = edges.select(F.col("to_id").alias("node")).distinct().withColumn("used", F.lit(True))
-    return subjects.join(objects, "node", "left").where("used is null").select(F.col("node").alias("contact"), F.lit("inferred_root").alias("rule"))
+    stored = state.where(number % 3 != 0).select("contact_id", F.when(number % 3 == 1, F.col("input_hash")).otherwise("old").alias("stored"), number.alias("generated"))
+    status = F.when(F.col("stored").isNull(), "missing").when(F.col("stored") != F.col("input_hash"), "stale").otherwise("complete")
+    found = state.join(stored, "contact_id", "left").select("contact_id", status.alias("status"), "generated")
+    if statuses:
+        found = found.where(F.col("status").isin(*statuses))
+    if contact_ids:
+        found = found.where(F.col("contact_id").isin(*contact_ids))
+    return paged(found, [F.col("generated").desc_nulls_last(), F.col("contact_id")], limit)
 
 
 def latest_fact(v: Views) -> DataFrame:

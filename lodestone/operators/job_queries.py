@@ -10,20 +10,8 @@ from lodestone.streaming import pipeline
 _q = lambda f, *a, **k: lambda spark, sf_dir: f(Views(spark, sf_dir), *a, **k)
 
 
-def _greedy(v: Views, people: int = 40):
-    """Ordered resolution of the records of `people` persons (serial by design; clusters() is the distributed form)."""
-    from pyspark.sql import functions as F
-
-    rows = r.claims(v).join(r.claim_idf(v).select("attr", "value", "omega"), ["attr", "value"]).where(F.col("entity").isin(*[f"c{n + 500 * k}" for n in range(people) for k in range(3)])).collect()
-    by: dict[str, list] = {}
-    for x in rows:
-        by.setdefault(x.entity, []).append(r.Claim(x.attr, x.value, x.kind, x.omega, x.role))
-    done = r.resolve_in_order((e, sorted(by[e], key=lambda c: (c.attr, c.value))) for e in sorted(by))
-    return v.spark.createDataFrame(done, "observation string, entity string, action string")
-
-
 QUERIES = {
-    "claim_omega": _q(r.claim_idf), "blocking_candidates": _q(r.blocking), "iddiff_edges": _q(r.scored_edges), "repair_clusters": _q(r.clusters), "resolve_greedy": _q(_greedy), "observation_keys": _q(r.observation_keys),
+    "claim_omega": _q(r.claim_idf), "blocking_candidates": _q(r.blocking), "iddiff_edges": _q(r.scored_edges), "repair_clusters": _q(r.clusters), "resolve_greedy": _q(r.resolve_by_component), "observation_keys": _q(r.observation_keys),
     "job_derivation": _q(j.derive), "job_derivation_forced": _q(j.derive, forced=["outline"]), "reconcile_pending": _q(j.reconcile), "retry_schedule": _q(j.retries), "backpressure_state": _q(j.backpressure, 5, 0), "breaker_state": _q(j.breaker_states),
     "changed_since": _q(j.changed_since, "2024-01-15 00:00:00"), "sweep_chunk": _q(j.sweep, "4"), "ops_status": _q(j.ops_status),
     "batch_projection": lambda s, d: j.project_events(Views(s, d).table("events")), "stream_projection": pipeline.projection, "stream_dedup_window_counts": pipeline.windowed_counts,
@@ -42,9 +30,8 @@ _LATEST = "SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_n
 SQL = {
     "claim_omega": f"""WITH {_CLAIMS}, n AS (SELECT count(DISTINCT entity) AS n FROM claims), f AS (SELECT attr, value, kind, count(DISTINCT entity) AS df FROM claims GROUP BY ALL), i AS (SELECT attr, value, kind, df, greatest(0.0, ln((1 + n) / (1 + df))) AS idf FROM f, n)
 SELECT attr, value, df, round(idf, 6) AS idf, round(CASE kind WHEN 'functional' THEN 1.0 + idf WHEN 'set' THEN 0.5 + 0.7 * idf WHEN 'name' THEN 0.15 + 0.3 * idf ELSE 0.05 + 0.15 * least(idf, 1.0) END, 6) AS omega FROM i""",
-    "blocking_candidates": f"""WITH {_CLAIMS}, c AS (SELECT DISTINCT entity, attr, value FROM claims WHERE attr IN ('email', 'phone')), g AS (SELECT attr, value, count(*) AS n, min(entity) AS head FROM c GROUP BY ALL HAVING count(*) > 1),
-p AS (SELECT x.entity AS a, y.entity AS b, x.attr FROM c x JOIN c y ON x.attr = y.attr AND x.value = y.value AND x.entity < y.entity JOIN g ON g.attr = x.attr AND g.value = x.value WHERE n <= 50 UNION ALL SELECT head, entity, c.attr FROM c JOIN g ON g.attr = c.attr AND g.value = c.value WHERE n > 50 AND entity <> head)
-SELECT a, b, string_agg(DISTINCT attr, ',' ORDER BY attr) AS shared FROM p GROUP BY a, b""",
+    "blocking_candidates": f"""WITH {_CLAIMS}, c AS (SELECT DISTINCT entity, attr, value FROM claims WHERE attr IN ('account', 'email', 'phone'))
+SELECT x.entity AS a, y.entity AS b, string_agg(DISTINCT x.attr, ',' ORDER BY x.attr) AS shared FROM c x JOIN c y ON x.attr = y.attr AND x.value = y.value AND x.entity < y.entity GROUP BY 1, 2""",
     "observation_keys": f"WITH {_CLAIMS} SELECT entity, sha256(string_agg(h, chr(10) ORDER BY h)) AS key FROM (SELECT entity, sha256(attr || chr(0) || value) AS h FROM claims) GROUP BY entity",
     "job_derivation": with_views("objects analysis", _JOBS.format("false")),
     "job_derivation_forced": with_views("objects analysis", _JOBS.format("s.analyzer = 'outline'")),

@@ -104,25 +104,24 @@ class Breaker:
 
 
 def breaker_states(v: Views) -> DataFrame:
-    """event_id, analyzer, allowed, state: each analyzer's (event type's) breaker over its outcomes in time order.
+    """event_id, backend, allowed, state: each backend's (user's) breaker over all of its outcomes in time order.
 
-    Order matters within one analyzer, so each is one ordered group; events are first thinned to one row a minute and analyzer.
+    A breaker is serial by nature, so one backend's outcomes are one ordered group; backends are independent of each other.
     """
-    rows = v.table("events").groupBy("event_type", F.date_trunc("minute", "ts").alias("minute")).agg(F.min("event_id").alias("event_id"), F.max("value").alias("value"))
+    rows = outcomes(v).select("event_id", F.col("job").alias("backend"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "ok")
 
     def run(key, pdf):
+        import pandas as pd
+
         breaker, out = Breaker(), []
-        for e, m, x in pdf.sort_values(["minute", "event_id"])[["event_id", "minute", "value"]].itertuples(index=False):
-            now = m.timestamp()
-            allowed = breaker.allow(now)
+        for e, at, ok in pdf.sort_values(["at", "event_id"])[["event_id", "at", "ok"]].itertuples(index=False):
+            allowed = breaker.allow(at / 1e6)
             if allowed:
-                breaker.record(x < 60, now)
+                breaker.record(bool(ok), at / 1e6)
             out.append((e, key[0], allowed, breaker.state))
-        import pandas as pd
+        return pd.DataFrame(out, columns=["event_id", "backend", "allowed", "state"])
 
-        return pd.DataFrame(out, columns=["event_id", "analyzer", "allowed", "state"])
-
-    return rows.groupBy("event_type").applyInPandas(run, "event_id long, analyzer string, allowed boolean, state string")
+    return rows.groupBy("backend").applyInPandas(run, "event_id long, backend long, allowed boolean, state string")
 
 
 def changed_since(v: Views, since: str) -> DataFrame:
@@ -143,10 +142,6 @@ def project_events(df: DataFrame) -> DataFrame:
     return best_per_key(df, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "ts", "value")
 
 
-def circuit(v: Views) -> DataFrame:
-    return breaker_states(v)
-
-
 def ops_status(v: Views) -> DataFrame:
     """queue, depth, oldest: how much waits of each kind."""
     return v.table("events").groupBy(F.col("event_type").alias("queue")).agg(F.count("*").alias("depth"), F.min("ts").alias("oldest"))

@@ -75,9 +75,9 @@ def containment(v: Views) -> DataFrame:
     return inner.unionByName(outer).unionByName(loop)
 
 
-def blob_lookup(v: Views, turn: int = 0, modulo: int = 10) -> DataFrame:
-    """For turns number `turn` of every modulo-th conversation: all wholes that hold them, however deep."""
-    seeds = v.table("conversations").where((F.col("turn") == turn) & (F.col("conv_id") % modulo == 0)).select(F.concat(F.lit("turn:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("seed"))
+def blob_lookup(v: Views) -> DataFrame:
+    """For every turn: all wholes that hold it, however deep."""
+    seeds = v.table("conversations").select(F.concat(F.lit("turn:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("seed"))
     return reachable(seeds, containment(v), include_seeds=False)
 
 

@@ -26,7 +26,7 @@ SQL = {
     "email_query_text": with_views("emails", r"SELECT email_id, thread_id, received_at, count(*) OVER () AS total_count FROM emails WHERE ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' LIKE '% the %' ORDER BY received_at DESC NULLS LAST, email_id LIMIT 200"),
     "threads": with_views("emails", "SELECT thread_id, string_agg(email_id, ',' ORDER BY received_at NULLS LAST, email_id) AS emails, count(*) AS n FROM emails GROUP BY 1"),
     "blob_lookup": """WITH RECURSIVE e AS (SELECT 'turn:' || conv_id || ':' || turn AS s, 'conv:' || conv_id AS t FROM conversations UNION ALL SELECT DISTINCT 'conv:' || conv_id, 'binder:' || (conv_id % 7) FROM conversations UNION ALL VALUES ('binder:3', 'conv:3'), ('binder:3', 'binder:4')),
-r AS (SELECT 'turn:' || conv_id || ':0' AS seed, 'turn:' || conv_id || ':0' AS node FROM conversations WHERE turn = 0 AND conv_id % 10 = 0 UNION SELECT r.seed, e.t FROM r JOIN e ON e.s = r.node)
+r AS (SELECT 'turn:' || conv_id || ':' || turn AS seed, 'turn:' || conv_id || ':' || turn AS node FROM conversations UNION SELECT r.seed, e.t FROM r JOIN e ON e.s = r.node)
 SELECT seed, node FROM r WHERE seed <> node""",
     "default_mailboxes": """SELECT doc_id, 'all,' || CASE WHEN doc_id % 11 = 0 THEN 'trash' WHEN doc_id % 7 = 0 THEN 'spam' WHEN doc_id % 5 = 0 THEN 'sent' WHEN doc_id % 2 = 0 THEN 'inbox' ELSE 'archive' END AS mailboxes,
 concat_ws(',', CASE WHEN doc_id % 13 = 0 THEN '$flagged' END, CASE WHEN doc_id % 3 <> 0 THEN '$seen' END) AS keywords FROM documents""",

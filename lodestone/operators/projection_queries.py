@@ -41,6 +41,7 @@ SQL = {
     "project_overlays": f"WITH {_D} SELECT digest, object_id, 'seen=' || (doc_id % 2) || CASE WHEN toxic IS NOT NULL THEN ';toxic=' || toxic ELSE '' END AS overlay FROM d LEFT JOIN lab USING (doc_id)",
     "project_summaries": f"WITH {_D} SELECT digest, object_id, 'quality' AS kind, 'quality ' || quality AS summary FROM d JOIN lab USING (doc_id) WHERE quality IS NOT NULL",
     "project_search_text": f"WITH {_D} SELECT object_id, {_TEXT} AS search_text FROM d",
+    "search_text_truncated": f"WITH {_D}, t AS (SELECT object_id, {_TEXT} AS x FROM d), c AS (SELECT object_id, i, x[i] AS ch, sum(strlen(x[i])) OVER (PARTITION BY object_id ORDER BY i) AS b FROM t, range(1, 58) r(i)) SELECT object_id, string_agg(ch, '' ORDER BY i) FILTER (WHERE b <= 57) AS search_text FROM c GROUP BY 1",
     "project_findings": "SELECT 'findings:' || sha256(text) AS key, 'doc:' || doc_id AS object_id, 'unreadable' AS state FROM documents WHERE doc_id % 97 = 5",
     "merge_manifest_records": f"WITH {_D}, o AS (SELECT sha256(coalesce(text, '')) AS digest, 'doc:' || doc_id AS object_id, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS day, lang FROM documents), h AS (SELECT digest, min(object_id) AS object_id, min(day) AS created, max(day) AS updated, string_agg(DISTINCT lang, ',' ORDER BY lang) AS roles, count(*) AS records FROM o GROUP BY digest), f AS (SELECT digest, string_agg(DISTINCT x, ',' ORDER BY x) AS facets, count(DISTINCT doc_id) AS sources FROM (SELECT digest, doc_id, 'document@2' AS x FROM d UNION ALL SELECT digest, doc_id, 'lang:' || lang || '@1' FROM d) GROUP BY digest) SELECT h.*, coalesce(facets, '') AS facets, coalesce(sources, 0) AS sources FROM h LEFT JOIN f USING (digest)",
 }

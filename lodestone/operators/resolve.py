@@ -241,17 +241,12 @@ def claim_idf(v: Views) -> DataFrame:
     return by.select("attr", "value", "df", F.round(rarity, 6).alias("idf"), F.round(base + scale * capped, 6).alias("omega"))
 
 
-def blocking(v: Views, attrs: tuple[str, ...] = ("email", "phone"), most: int = 50) -> DataFrame:
-    """a, b, shared: record pairs that share an identifier. An identifier of more than `most` records says little: its records
-    are paired with the first of them only, so that no group grows with its square."""
+def blocking(v: Views, attrs: tuple[str, ...] = ("account", "email", "phone")) -> DataFrame:
+    """a, b, shared: every pair of records that shares an identifier. Rows grow with the square of an identifier's records: those of
+    an account, address or number are few."""
     c = claims(v).where(F.col("attr").isin(*attrs)).select("entity", "attr", "value").distinct()
-    groups = c.groupBy("attr", "value").agg(F.count("*").alias("n"), F.min("entity").alias("head")).where("n > 1")
-    known = c.join(groups, ["attr", "value"])
-    small = known.where(F.col("n") <= most)
-    other = small.select("attr", "value", F.col("entity").alias("b"))
-    pairs = small.select("attr", "value", F.col("entity").alias("a")).join(other, ["attr", "value"]).where("a < b")
-    star = known.where((F.col("n") > most) & (F.col("entity") != F.col("head"))).select("attr", "value", F.col("head").alias("a"), F.col("entity").alias("b"))
-    return pairs.unionByName(star).groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("attr")), ",").alias("shared"))
+    pairs = c.withColumnRenamed("entity", "a").join(c.withColumnRenamed("entity", "b"), ["attr", "value"]).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("attr")), ",").alias("shared"))
 
 
 def scored_edges(v: Views, tau: float = 0.85) -> DataFrame:
@@ -271,8 +266,7 @@ def scored_edges(v: Views, tau: float = 0.85) -> DataFrame:
 def clusters(v: Views, threshold: float = GATE) -> DataFrame:
     """entity, cluster: constrained linkage within each connected component of the good edges.
 
-    Components bound what one group holds: pairs come from blocking, whose groups are small or stars. A component is one
-    person's records; its edges meet in one task.
+    A component's edges meet in one task: it is one person's records, as far as the good edges go.
     """
     from lodestone.plans.fixpoint import written
     from lodestone.plans.labels import smallest_reachable
@@ -293,6 +287,31 @@ def clusters(v: Views, threshold: float = GATE) -> DataFrame:
     return grouped.mapInArrow(link, "entity string, cluster string")
 
 
+def resolve_by_component(v: Views) -> DataFrame:
+    """observation, entity, action of every record, resolved in the order of its names.
+
+    Only records that share an identifier ever meet, so each connected component of the blocking pairs is resolved on its own, in
+    order, and gives what one pass over all records would.
+    """
+    from lodestone.plans.labels import smallest_reachable
+
+    weights = claim_idf(v).select("attr", "value", "omega")
+    rows = claims(v).join(weights, ["attr", "value"])
+    label = smallest_reachable(blocking(v, ("account", "email", "phone", "url")).select("a", "b")).withColumnRenamed("id", "entity")
+    rows = rows.join(label, "entity", "left").withColumn("component", F.coalesce("component", "entity"))
+    sets = rows.groupBy("component", "entity").agg(F.sort_array(F.collect_list(F.struct("attr", "value", "kind", "omega", "role"))).alias("claims"))
+    grouped = sets.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("entity", "claims"))).alias("records"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for records in b.column(1).to_pylist():
+                out += resolve_in_order((r["entity"], [Claim(c["attr"], c["value"], c["kind"], c["omega"], c["role"]) for c in r["claims"]]) for r in records)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(3)], names=["observation", "entity", "action"])
+
+    return grouped.select("component", "records").mapInArrow(run, "observation string, entity string, action string")
+
+
 def observation_keys(v: Views) -> DataFrame:
     """entity, key: one hash over an observation's sorted claims, by which a repeated observation is known."""
     c = claims(v)

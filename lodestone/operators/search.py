@@ -144,12 +144,6 @@ def identity_missing_live(v: Views, live: str = "src0") -> DataFrame:
     return grouped.withColumn("variant_sources", F.when(F.size("v") > 0, F.array_join("v", ","))).drop("v")
 
 
-def identity_resolve(v: Views, limit: int | None = None) -> DataFrame:
-    """Identities with more than one digest: all of their digests counted, the first one named."""
-    d = v.table("documents").select(body_fingerprint("text").alias("identity"), v.digest(F.col("text")).alias("digest")).distinct()
-    return d.groupBy("identity").agg(F.count("*").alias("digests"), F.min("digest").alias("first_digest")).where("digests >= 1")
-
-
 def fused_search(v: Views, text: str, live_source: str = "src0", limit: int = 50) -> DataFrame:
     """Index hits (score 1) and hits of the live source (score 0.5, or 1.5 for short texts) by digest: the higher score stays, attributes unite."""
     d = v.table("documents").where(web_search(F.col("text"), text))

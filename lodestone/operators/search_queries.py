@@ -35,7 +35,6 @@ QUERIES = {
     "projected_at": _q(s.projected_at),
     "source_cursors": _q(s.source_cursors),
     "identity_missing_live": _q(s.identity_missing_live),
-    "identity_resolve": _q(s.identity_resolve),
     "fused_search": _q(s.fused_search, "thing", limit=100),
     "search_snippet": _q(s.snippets, "idiot"),
 }
@@ -89,7 +88,6 @@ SQL = {
 SELECT identity, min(digest) AS digest, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, bool_or(lang = 'en') AS english, count(DISTINCT digest) AS versions,
   max(CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END) AS scale, string_agg(DISTINCT source, ',' ORDER BY source) FILTER (WHERE lang <> 'en') AS variant_sources
 FROM d WHERE source <> 'src0' AND identity NOT IN (SELECT identity FROM d WHERE source = 'src0') GROUP BY identity""",
-    "identity_resolve": f"SELECT identity, count(*) AS digests, min(digest) AS first_digest FROM (SELECT DISTINCT {_BODY} AS identity, sha256(text) AS digest FROM documents) GROUP BY identity",
     "fused_search": f"""WITH d AS (SELECT sha256(text) AS digest, source, n_chars FROM documents WHERE {_TOK} LIKE '% thing %'),
 u AS (SELECT digest, 1.0::DOUBLE AS score, 'index' AS origin FROM d UNION ALL SELECT digest, CASE WHEN n_chars < 500 THEN 1.5 ELSE 0.5 END, 'live' FROM d WHERE source = 'src0')
 SELECT digest, max(score) AS score, string_agg(DISTINCT origin, '+' ORDER BY origin) AS origins FROM u GROUP BY digest ORDER BY score DESC, digest LIMIT 100""",

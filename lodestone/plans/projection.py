@@ -46,7 +46,7 @@ def manifests(v: Views) -> DataFrame:
         F.array(F.struct(F.lit("hash").alias("model"), F.lit("").alias("id"), F.when(F.col("doc_id") % 7 == 0, F.array(F.lit(float("nan")).cast("float"), F.lit(1.0).cast("float"))).otherwise(F.array((F.col("doc_id") % 10).cast("float"), F.lit(1.0).cast("float"))).alias("vector"))).alias("embeddings"),
         F.filter(F.array(
             F.when(F.col("quality").isNotNull(), F.struct(F.lit("analysis").alias("kind"), F.lit("quality").alias("analyzer"), F.lit("1").alias("version"), day.alias("generated"), F.create_map(F.lit("status"), F.when(F.col("quality") == 0, "failed").otherwise(""), F.lit("summary"), F.concat(F.lit("quality "), F.col("quality").cast("string"))).alias("data"))),
-            F.when(F.col("toxic").isNotNull(), F.struct(F.lit("note").alias("kind"), F.lit("toxicity").alias("analyzer"), F.lit("1").alias("version"), day.alias("generated"), F.create_map(F.lit("toxic"), F.col("toxic").cast("string")).alias("data"))),
+            F.when(F.col("toxic").isNotNull(), F.struct(F.lit("note").alias("kind"), F.lit("toxicity").alias("analyzer"), F.lit("1").alias("version"), day.alias("generated"), F.create_map(F.lit("overlay.toxic"), F.col("toxic").cast("string")).alias("data"))),
         ), lambda x: x.isNotNull()).alias("annotations"),
         F.create_map(F.lit("seen"), (F.col("doc_id") % 2).cast("string")).alias("overlays"),
         F.when(F.col("doc_id") % 97 == 5, F.array(F.lit("unreadable"))).otherwise(F.array().cast("array<string>")).alias("findings"),
@@ -111,7 +111,7 @@ def embeddings(m: DataFrame) -> DataFrame:
 
 def overlays(m: DataFrame) -> DataFrame:
     """The manifest's overlays and then the annotations' `overlay.` entries, the right one winning."""
-    extra = F.map_from_entries(F.transform(F.filter(F.flatten(F.transform("annotations", lambda a: F.map_entries(a["data"]))), lambda e: e["key"] == "toxic"), lambda e: F.struct(e["key"], e["value"])))
+    extra = F.map_from_entries(F.transform(F.filter(F.flatten(F.transform("annotations", lambda a: F.map_entries(a["data"]))), lambda e: F.startswith(e["key"], F.lit("overlay."))), lambda e: F.struct(F.substring(e["key"], 9, 1 << 20), e["value"])))
     both = F.map_entries(F.map_concat("overlays", extra))
     return healthy(m).select("digest", "object_id", F.array_join(F.array_sort(F.transform(both, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("overlay"))
 
