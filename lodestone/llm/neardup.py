@@ -2,9 +2,9 @@
 
 Documents walk down independent trees: a node picks one or two coordinates of the MinHash signature, and documents that agree
 there share a child. Nodes of a few documents are compared exhaustively, larger ones branch on, and what is still large after
-all levels is compared in blocks. Candidate pairs are confirmed
-on the full shingle sets, those first that can join most, so that a group of many near copies costs about one check a document;
-nodes are then compared again for every pair that is still in two components.
+all levels is compared in blocks. In a first round each member's likeliest partners are confirmed on the full shingle sets. In a
+second round every other pair that can be similar and still lies in two components is checked where it meets, on the full sets,
+and only the links that join components leave the node: rows grow with the members, not with their pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ SIGNATURE = 4 * COORDINATES + BINS // 4
 #: Trees and their depth; how many nodes of 16 have two coordinates, so that at similarity 0.8 as many paths are shared on a deeper
 #: level as above; the largest node compared exhaustively, and how many of the likeliest partners a member keeps from one node in
 #: the first round.
-TREES, DEPTH, BRANCHING, SMALL, PARTNERS = 8, 8, 4, 2048, 6
+TREES, DEPTH, BRANCHING, SMALL, PARTNERS = 8, 8, 4, 2048, 2
+#: Shingles of a block of a node whose members' full sets are compared.
+BLOCK_SHINGLES = 1 << 20
 #: Pairs whose signatures are compared at once.
 CHUNK = 1 << 15
 #: Pairs of a node that wait in memory to be ranked or written.
@@ -197,8 +199,7 @@ def likeliest(left: np.ndarray, right: np.ndarray, est: np.ndarray, most: int) -
 def meetings(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
     """(node, rep, c, side): the nodes of 2 to `small` members (side 0), and in cells those still larger after all levels.
 
-    A large node is cut into blocks by hash, about 2 * small members each, and each two of its blocks share a cell, with sides 1
-    and 2 that meet each other alone; a block's own cell has side 0. So every two members meet in one cell, over many tasks.
+    A large node is cut into blocks of about 2 * small members (see in_cells), so every two members meet in one cell, over many tasks.
     """
 
     def roots(batches):
@@ -231,13 +232,21 @@ def meetings(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int
     for more in leaves[1:]:
         met = met.unionByName(more)
     if large is not None:
-        blocks = F.ceil(F.col("c") / F.lit(2 * small))
-        cells = large.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        met = met.unionByName(cells.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "c", side.alias("side")))
+        met = met.unionByName(in_cells(large.withColumn("blocks", F.ceil(F.col("c") / F.lit(2 * small)))).select("node", "rep", "c", "side"))
     return met
 
 
+def in_cells(large: DataFrame) -> DataFrame:
+    """Rows (node, rep, blocks, ...) dealt to `blocks` blocks of each node by hash, and from these to cells, the new nodes.
+
+    Each two blocks of a node share a cell, with sides 1 and 2 that meet each other alone; a block's own cell has side 0.
+    """
+    cells = large.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    key = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return cells.withColumns({"node": key, "side": side}).drop("own", "other", "blocks")
+
+
 def index_pairs(size: int):
     """All i < j below size, about CHUNK pairs at a time."""
     rows = max(1, CHUNK // size)
@@ -246,75 +255,122 @@ def index_pairs(size: int):
         yield i + s, j
 
 
-def compared(met: DataFrame, reps: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(a, b, est): the pairs within nodes (node, rep, side) whose sizes and signatures allow the similarity, of reps (rep, n, sig, label).
-
-    Pairs with equal labels, or on the same side 1 or 2, are left out; with `most` a pair must be among the `most` likeliest of one of its ends in the node.
-    """
-
-    def best(parts):
-        x, y, est = (np.concatenate(p) for p in zip(*parts))
-        ok = slice(None) if most is None else likeliest(x, y, est, most)
-        return x[ok], y[ok], est[ok]
-
-    def batch(rep, x, y, est):
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(est.astype(np.int32))], names=["a", "b", "est"])
+def nodes_of(batches, columns: int):
+    """Lists of columns, of rows sorted by the first one, the node, such that each node's rows come together; the last holds what may go on."""
+    held = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            now = [b.column(i).to_numpy() for i in range(columns)] + [_bins(b.column(columns))] + [b.column(i).to_pylist() for i in range(columns + 1, b.num_columns)]
+            held = now if held is None else [x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(held, now)]
+        if held is None or not len(held[0]):
+            continue
+        last = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))  # the last node may go on in the next batch
+        if last:
+            yield [x[:last] for x in held]
+        held = [x[last:] for x in held] if b is not None else None
+
+
+def node_pairs(rows: list, percent: int):
+    """(x, y, est) of the rows (node, rep, side, n, label, bins) that share a node, an array of pairs at a time, those of one node
+    never apart from each other by another's: pairs whose sizes and sketches allow the similarity, of unequal labels and not of
+    one side 1 or 2. None parts groups of nodes."""
+    node, _, side, n, label, bins = rows[:6]
+    edge = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
+    size = np.diff(edge)
+    for g in np.unique(size[size > 1]):
+        first = edge[:-1][size == g]
+        step = max(1, 2 * CHUNK // int(g * (g - 1)))
+        for s in range(0, len(first), step):
+            for i, j in index_pairs(int(g)):
+                x, y = ((first[s : s + step, None] + k).ravel() for k in (i, j))
+                ok = (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] == 0)) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                x, y = x[ok], y[ok]
+                est, ok = estimated(bins[x], bins[y], n[x], n[y], percent)
+                yield x[ok], y[ok], est[ok]
+            yield None
+
+
+def by_node(met: DataFrame, reps: DataFrame, *more: str) -> DataFrame:
+    """The members (node, rep, side) with n, label, sig and more columns of reps, a node's rows together."""
+    return met.join(reps, "rep").select("node", "rep", "side", "n", "label", "sig", *more).repartition("node").sortWithinPartitions("node")
+
+
+def candidates(met: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, est) with a < b: pairs of reps (rep, n, sig) that meet in nodes (node, rep, side), among the PARTNERS likeliest of one of their ends there."""
 
     def pairs(batches):
-        held = None
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                now = [b.column(i).to_numpy() for i in range(5)] + [_bins(b.column(5))]
-                held = now if held is None else [np.concatenate([x, y]) for x, y in zip(held, now)]
-            if held is None or not len(held[0]):
-                continue
-            node, rep, side, n, label, sig = held
-            edge = np.flatnonzero(node[1:] != node[:-1]) + 1
-            edge = np.concatenate([[0], edge, [len(node)]])
-            if b is not None:  # the last node may go on in the next batch
-                edge = edge[:-1]
-            size = np.diff(edge)
-            for g in np.unique(size[size > 1]):
-                first = edge[:-1][size == g]
-                step = max(1, 2 * CHUNK // int(g * (g - 1)))
-                for s in range(0, len(first), step):
-                    parts, waiting = [], 0
-                    for i, j in index_pairs(int(g)):
-                        x, y = ((first[s : s + step, None] + k).ravel() for k in (i, j))
-                        ok = (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] == 0)) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-                        x, y = x[ok], y[ok]
-                        est, ok = estimated(sig[x], sig[y], n[x], n[y], percent)
-                        parts.append((x[ok], y[ok], est[ok]))
-                        waiting += len(parts[-1][0])
-                        if waiting > HELD:  # what is not among the likeliest of some pairs is not among those of more
-                            parts = [best(parts)]
-                            if most is None:
-                                yield batch(rep, *parts.pop())
-                            waiting = 0
-                    x, y, est = best(parts) if parts else (first[:0],) * 3
-                    if len(x):
-                        yield batch(rep, x, y, est)
-            held = [x[edge[-1] :] for x in held] if b is not None else None
-
-    full = met.join(reps, "rep").select("node", "rep", "side", "n", "label", "sig").repartition("node").sortWithinPartitions("node")
-    return map_arrow(full, pairs, "a bigint, b bigint, est int")
-
-
-def _first_round(met: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    found = compared(met.select("node", "rep", "side"), reps.withColumn("label", F.col("rep")), percent, PARTNERS)
+        for rows in nodes_of(batches, 5):
+            rep, parts, waiting = rows[1], [], 0
+            for found in node_pairs(rows, percent):
+                if found is not None:
+                    parts.append(found)
+                    waiting += len(found[0])
+                if parts and (found is None or waiting > HELD):  # what is not among the likeliest of some pairs is not among those of more
+                    x, y, est = (np.concatenate(p) for p in zip(*parts))
+                    ok = likeliest(x, y, est, PARTNERS)
+                    x, y, est = x[ok], y[ok], est[ok]
+                    parts, waiting = ([(x, y, est)], 0) if found is not None else ([], 0)
+                    if found is None and len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(est.astype(np.int32))], names=["a", "b", "est"])
+
+    found = map_arrow(by_node(met, reps.withColumn("label", F.col("rep"))), pairs, "a bigint, b bigint, est int")
     return cut(found.groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
 
 
-def candidates(reps: DataFrame, percent: int, trees: int = TREES, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
-    """(a, b, est) with a < b: the first round's pairs of reps (rep, n, sig), the likeliest of those that meet in some node and whose sizes and signatures allow the similarity."""
-    return _first_round(meetings(reps, trees, depth, small), reps, percent)
-
+def joining(met: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of reps (rep, n, sig) on full sets (rep, set) that join the components given by labels (id, component).
 
-def missed(met: DataFrame, reps: DataFrame, percent: int, labels: DataFrame) -> DataFrame:
-    """(a, b, est): all pairs of two components, by labels (id, component), that meet in nodes (node, rep, c, side) where the first round may have left pairs out."""
+    Every pair that meets in a node (node, rep, c, side) of more than PARTNERS + 1 members, can be similar and lies in two
+    components counts: it is checked on the full sets, unless links found in the same node already join its components.
+    First the members of such pairs are named, so that sets are sent to the nodes that need them alone.
+    """
     named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("label"))
-    found = compared(met.where(F.col("c") > PARTNERS + 1).select("node", "rep", "side"), named, percent, None)
-    return cut(found.groupBy("a", "b").agg(F.max("est").alias("est")), "missed")
+    named = cut(named, "named-reps")
+
+    def members(batches):
+        for rows in nodes_of(batches, 5):
+            wanted = np.zeros(len(rows[0]), bool)
+            for found in node_pairs(rows, percent):
+                if found is not None:
+                    wanted[found[0]] = wanted[found[1]] = True
+            if wanted.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows[k][wanted]) for k in (0, 1, 2, 3)], names=["node", "rep", "side", "n"])
+
+    large = met.where(F.col("c") > PARTNERS + 1).select("node", "rep", "side")
+    wanted = cut(map_arrow(by_node(large, named), members, "node bigint, rep bigint, side int, n bigint"), "wanted-members")
+    blocks = cut(wanted.groupBy("node").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")), "node-blocks")
+    dealt = wanted.join(blocks, "node")
+    lone = dealt.where("blocks = 1").select("node", "rep", "side")
+    split = in_cells(dealt.where("blocks > 1").select("node", "rep", "blocks")).select("node", "rep", "side")  # sides of a cell within a cell only save work
+
+    def links(batches):
+        for rows in nodes_of(batches, 5):
+            rep, label, sets = rows[1], rows[4], [np.frombuffer(x, np.uint64) for x in rows[6]]
+            found = [x for x in node_pairs(rows, percent) if x is not None]
+            x, y, est = (np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            order = np.lexsort((y, x, -est, rows[0][x])) if len(x) else x
+            root: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def top(at):
+                while at in root:
+                    root[at] = root.get(root[at], root[at])
+                    at = root[at]
+                return at
+
+            a, b = [], []
+            for i, j in zip(x[order].tolist(), y[order].tolist()):
+                p, q = top((rows[0][i], label[i])), top((rows[0][j], label[j]))
+                if p != q:
+                    both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        root[p] = q
+                        a.append(min(rep[i], rep[j]))
+                        b.append(max(rep[i], rep[j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    held = named.join(sets, "rep")
+    return map_arrow(by_node(lone.unionByName(split), held, "set"), links, "a bigint, b bigint")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -341,14 +397,6 @@ def _relabelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("ca != cb")
 
 
-def _joined(pairs: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links with those that pairs (a, b, est) add between components: the likeliest of each two first, then all that is left."""
-    between = _relabelled(pairs, labels).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("est", "a", "b")).alias("e")).select("e.a", "e.b")
-    links = cut(links.unionByName(confirm(between, sets, percent)), "links")
-    rest = _relabelled(pairs, components(links, rounds=2)).select("a", "b")
-    return cut(links.unionByName(confirm(rest, sets, percent)), "links")
-
-
 def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -366,7 +414,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> D
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbered once, as it is written
     reps = classes.select("rep", "n", "sig")
     met = cut(meetings(reps, trees), "met")
-    pairs = _first_round(met, reps, percent)
+    pairs = candidates(met, reps, percent)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     wanted = cut(classes.join(wanted, "rep", "left_semi").select("rep", F.col("first").alias("doc_id"), "d1", "d2"), "wanted")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -380,15 +428,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> D
     sets = map_arrow(texts, full, f"doc_id {kind}, d1 bigint, d2 bigint, set binary").join(wanted, ["doc_id", "d1", "d2"]).select("rep", "set")
     sets = cut(sets.dropDuplicates(["rep"]), "sets")  # rows of one class have equal sets
 
-    # first each document's likeliest pair, then the likeliest between each two components, then all that is left between components
+    # first each document's likeliest pair, then the other pairs between components, then all that the first round left out between them
     ends = pairs.select(F.explode(F.array(F.struct("a", "b", "est", F.col("a").alias("v")), F.struct("a", "b", "est", F.col("b").alias("v")))).alias("e")).select("e.*")
     best = ends.groupBy("v").agg(F.max(F.struct("est", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
     links = cut(confirm(best, sets, percent), "links")
-    links = _joined(pairs, links, components(links, rounds=2), sets, percent)  # rough labels do: they only save checks inside a component
-    # the first round kept the likeliest partners alone: what it left out between components is met again, and all of it is checked
+    between = _relabelled(pairs, components(links, rounds=2)).select("a", "b")  # rough labels do: they only save checks inside a component
+    links = cut(links.unionByName(confirm(between, sets, percent)), "links")
     labels = components(links)
-    more = missed(met, reps, percent, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    labels = components(_joined(cut(more, "more"), links, labels, sets, percent))
+    labels = components(links.unionByName(cut(joining(met, reps, sets, labels, percent), "joining")))
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "first", F.coalesce("component", "rep").alias("component"))
     named = cut(named, "named")
     smallest = cut(named.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")

@@ -105,7 +105,7 @@ def test_large_nodes_end_in_pivots(spark):
     texts = [" ".join(base[:30] + [f"x{i}"] + base[30:]) for i in range(80)]
     docs = frame(spark, texts)
     signed = neardup.signatures(docs).selectExpr("doc_id rep", "n_shingles n", "sig")
-    found = neardup.candidates(signed, 80, trees=4, depth=2, small=8)
+    found = neardup.candidates(neardup.meetings(signed, trees=4, depth=2, small=8), signed, 80)
     label = components(found.select("a", "b"))
     assert label.count() == 80 and label.select("component").distinct().count() == 1
     assert found.count() < 80 * 40 and r
@@ -169,7 +169,7 @@ def test_large_nodes_are_compared_whole(spark):
     pair = lambda m: {(a.rep, b.rep) for rows in nodes(m).values() for a in rows for b in rows if a.rep < b.rep and (a.side != b.side or a.side == 0)}
     assert pair(met) == pair(whole)
     together = {p for p in pair(whole) if p[0] % 2 == 0 and p[1] == p[0] + 1}
-    found = {(x.a, x.b) for x in neardup.candidates(signed, 85, trees=1, depth=1, small=4).collect()}
+    found = {(x.a, x.b) for x in neardup.candidates(met, signed, 85).collect()}
     assert len(together) > 30 and together <= found
 
 
@@ -180,7 +180,7 @@ def nodes(met):
     return held
 
 
-def test_two_tight_groups_linked_only_across(spark):
+def test_two_tight_groups_linked_only_across(spark, monkeypatch):
     groups = []
     for side in "xy":  # 0.97 alike inside, 0.86 to 0.88 across
         base = [f"v{i}" for i in range(300)]
@@ -190,7 +190,10 @@ def test_two_tight_groups_linked_only_across(spark):
     sets, label = brute_components(groups, 85)
     assert set(label) == {0}
     signed = neardup.signatures(frame(spark, groups)).selectExpr("doc_id rep", "n_shingles n", "sig")
-    assert components(neardup.candidates(signed, 85).select("a", "b")).select("component").distinct().count() == 2  # the first round alone
+    assert components(neardup.candidates(neardup.meetings(signed), signed, 85).select("a", "b")).select("component").distinct().count() == 2  # the first round alone
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, groups), 85).collect()}
+    assert got == dict(enumerate(label))
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 700)  # a node's sets in many cells
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, groups), 85).collect()}
     assert got == dict(enumerate(label))
 
