@@ -9,6 +9,8 @@ from lodestone.llm.common import cut, lowered, table
 
 BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: Stands among the shingles for the row itself.
+COUNTED = 0x5EED0F0C0DE
 #: Stand for a null doc_id in the joins: of a number, and of text.
 NO_ID, NO_TEXT_ID = -(1 << 63), "\x00"
 
@@ -22,67 +24,79 @@ def _shingles(words):
     return F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b))
 
 
+def _windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id, ww, w1, w2: the windows of every item, as words and two hashes of them."""
+    items = benchmark.select("item_id", F.explode(F.array(words_of(F.col("text")))).alias("iw")).where(F.size("iw") > 0)
+    k = F.least(F.size("iw"), F.lit(window))
+    each = items.select("item_id", "iw", k.alias("k"), F.explode(F.sequence(F.lit(1), F.size("iw") - k + 1)).alias("s"))
+    return each.select("item_id", F.slice("iw", F.col("s"), F.col("k")).alias("ww")).withColumns({"w1": F.xxhash64("ww"), "w2": F.xxhash64(F.lit(1), "ww")})
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, row_key (hash of the text), n_words, n_hit, items (sorted strings of the item_ids with an occurring window) for every row of docs.
 
-    A window is `window` consecutive words of an item; an item of fewer, but not none, is one window. Shingles are pairs of
-    words (a lone word for one-word items). Each window is looked up by its rarest shingle over all documents only (the prefix
-    that containment makes necessary); what meets is bounded by position and length and then compared word by word.
+    A window is `window` consecutive words of an item; an item of fewer, but not none, is one window. Windows that items share are
+    one. Shingles are pairs of words (a lone word for one-word windows). Each window is looked up by its rarest shingle over all
+    documents only (the prefix that containment makes necessary); what meets is bounded by position and length and then compared
+    word by word. Only texts that some window may occur in are split a second time.
     Null texts have no words; null ids are judged like others. Rows of docs with equal ids are judged each by its own text; item rows with equal ids count as
-    one item. Without benchmark rows nothing is hit. An empty table
-    gives an empty one. doc_id may be a number or text. Other columns are ignored.
+    one item. Without benchmark rows nothing is hit. An empty table gives an empty one. doc_id may be a number or text. Other columns are ignored.
     """
     none = F.lit(NO_TEXT_ID if docs.schema["doc_id"].dataType.simpleString() == "string" else NO_ID)
     rows = docs.select(F.coalesce("doc_id", none).alias("doc_id"), "text", F.xxhash64("text").alias("row_key"))
-    # explode(array(x)) keeps x as one computed column: a lambda below reads it instead of splitting the text for each element
-    items = benchmark.select("item_id", F.explode(F.array(words_of(F.col("text")))).alias("iw")).where(F.size("iw") > 0)
-    items = cut(items.select("item_id", F.xxhash64("iw").alias("item_key"), "iw", F.size("iw").alias("len")).dropDuplicates(["item_id", "item_key"]), "bench-items")
-    short = items.where("len = 1").limit(1).count() > 0
+    held = cut(_windows(benchmark, window), "bench-held")
+    windows = cut(held.dropDuplicates(["w1", "w2"]).select("w1", "w2", "ww", F.size("ww").alias("k")), "bench-windows")
+    short = windows.where("k = 1").limit(1).count() > 0
 
-    grams = items.select("item_key", "len", F.posexplode(_shingles(F.col("iw"))).alias("ipos", "g")).where("len = 1 or ipos < len - 1").distinct()
+    # windows of one set of items are one class, so that a prompt that many items share costs a document one row an item
+    sets = held.select("w1", "w2", "item_id").distinct().groupBy("w1", "w2").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("item_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "item_id")).alias("y"))
+    sets = cut(sets, "bench-sets")
+    speaker = sets.groupBy("c", "x", "y").agg(F.min(F.struct("w1", "w2")).alias("m")).select("c", "x", "y", "m.w1", "m.w2")
+    members = cut(held.select("w1", "w2", "item_id").distinct().join(speaker, ["w1", "w2"]).select("c", "x", "y", F.col("item_id").cast("string").alias("item")), "bench-members")
+
+    grams = windows.select("w1", "w2", "k", F.posexplode(_shingles(F.col("ww"))).alias("off", "g")).where("k = 1 or off < k - 1")
     grams = cut(grams, "bench-shingles")
-    vocabulary = cut(grams.select("g").distinct(), "bench-vocabulary")
+    vocabulary = grams.select("g").unionByName(docs.sparkSession.range(1).select(F.lit(COUNTED).alias("g"))).distinct()
+    vocabulary = cut(vocabulary, "bench-vocabulary")
 
+    # explode(array(x)) keeps x as one computed column: a lambda below reads it instead of splitting the text for each element
     split = rows.where("text is not null").select("doc_id", "row_key", F.explode(F.array(words_of(F.col("text")))).alias("w"))
-    split = split.select("doc_id", "row_key", F.size("w").alias("n"), "w")
-    seen = split.select("doc_id", "row_key", "n", F.posexplode(_shingles(F.col("w"))).alias("pos", "g"))
+    lists = [F.array(F.lit(COUNTED)), _shingles(F.col("w"))]
     if short:
-        lone = split.select("doc_id", "row_key", "n", F.posexplode(F.transform("w", lambda x: F.xxhash64(x))).alias("pos", "g"))
-        seen = seen.where("pos < n - 1").unionByName(lone)
-    met = cut(seen.join(vocabulary, "g", "left_semi"), "bench-met")
+        lists.append(F.transform("w", lambda x: F.xxhash64(x)))
+    seen = split.select("doc_id", "row_key", F.size("w").alias("n"), F.posexplode(F.concat(*lists)).alias("i", "g"))
+    # place -1 is the row's own entry, which carries its count of words
+    met = seen.join(vocabulary, "g", "left_semi").select("doc_id", "row_key", "n", F.when(F.col("i") > F.col("n"), F.col("i") - F.col("n") - 1).otherwise(F.col("i") - 1).alias("pos"), "g")
+    met = cut(met, "bench-met")
+    counted, found = met.where("pos < 0"), met.where("pos >= 0")
 
     # rarity over all documents, then the rarest shingle of each window
-    rarity = met.groupBy("g").agg(F.count("*").alias("freq"))
+    rarity = found.groupBy("g").agg(F.count("*").alias("freq"))
     ranked = grams.join(rarity, "g", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
-    last = F.greatest(F.lit(0), F.col("len") - window)  # the last window's start
-    in_windows = ranked.withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("ipos") - (window - 2)), F.least("ipos", last))))
-    anchors = in_windows.groupBy("item_key", "len", "s").agg(F.min(F.struct("freq", "ipos", "g")).alias("a")).where("a.freq > 0")
-    anchors = cut(anchors.select("item_key", "len", F.col("a.ipos").alias("ipos"), F.col("a.g").alias("g")).distinct(), "bench-anchors")
-
-    # positional and length bounds: some whole window of the item, laid at this offset, must lie inside the document
-    need = F.least("len", F.lit(window))
-    pairs = met.join(anchors, "g").withColumn("delta", F.col("pos") - F.col("ipos"))
-    pairs = pairs.where((F.col("delta") >= -(F.col("len") - need)) & (F.col("delta") + need <= F.col("n")))
-    pairs = pairs.groupBy("doc_id", "row_key", "item_key", "len", "delta").agg(F.lit(1).alias("one"))
-    wanted = cut(pairs.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("item_key", "len", "delta")).alias("wanted")), "bench-wanted")
+    anchors = ranked.groupBy("w1", "w2", "k").agg(F.min(F.struct("freq", "off", "g")).alias("a")).where("a.freq > 0")
+    anchors = cut(anchors.select("w1", "w2", "k", F.col("a.off").alias("off"), F.col("a.g").alias("g")), "bench-anchors")
+
+    # positional and length bounds: the window, laid at this place, must lie inside the document
+    pairs = found.join(anchors, "g").withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 and start + k <= n")
+    pairs = pairs.select("doc_id", "row_key", "start", "k", "w1", "w2").distinct()
+    wanted = cut(pairs.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "k", "w1", "w2")).alias("wanted")), "bench-wanted")
 
     # only rows with a candidate get their words compared; a small `wanted` is broadcast and no text is shuffled
-    joined = rows.join(wanted, ["doc_id", "row_key"], "left").select("doc_id", "row_key", "wanted", F.explode(F.array(F.coalesce(words_of(F.col("text")), F.array().cast("array<string>")))).alias("w"))
-    piece = F.transform("wanted", lambda c: F.struct(c["item_key"].alias("item_key"), F.greatest(c["delta"], F.lit(0)).alias("at"), F.greatest(-c["delta"], F.lit(0)).alias("skip"), F.slice("w", F.greatest(c["delta"], F.lit(0)) + 1, c["len"] + F.least(c["delta"], F.lit(0))).alias("dw")))
-    judged = cut(joined.select("doc_id", "row_key", F.size("w").cast("long").alias("n_words"), piece.alias("pieces")), "bench-pieces")
-    laid = judged.where("pieces is not null").select("doc_id", "row_key", F.inline("pieces")).join(items, "item_key")
-    laid = laid.withColumn("span", F.slice("iw", F.col("skip") + 1, F.size("dw")))
-    breaks = F.filter(F.transform(F.arrays_zip(F.col("dw").alias("d"), F.col("span").alias("i")), lambda p, k: F.when(p["d"] != p["i"], k)), lambda x: x.isNotNull())
-    # stretches between differing words; those as long as a window are hit
-    laid = laid.select("doc_id", "row_key", "item_id", "at", "len", F.explode(F.array(F.concat(F.array(F.lit(-1)), breaks, F.array(F.size("dw"))))).alias("edges"))
-    runs = F.zip_with("edges", F.slice("edges", F.lit(2), F.size("edges")), lambda a, b: F.struct((a + 1).alias("s"), b.alias("e")))
-    runs = F.filter(runs, lambda r: r["e"] - r["s"] >= F.least(F.col("len"), F.lit(window)))
-    hits = laid.select("doc_id", "row_key", "item_id", F.transform(runs, lambda r: F.struct((r["s"] + F.col("at")).alias("s"), (r["e"] + F.col("at")).alias("e"))).alias("runs")).where(F.size("runs") > 0)
-    hits = hits.groupBy("doc_id", "row_key").agg(F.sort_array(F.flatten(F.collect_set("runs"))).alias("runs"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    texts = rows.where("text is not null").join(wanted, ["doc_id", "row_key"]).select("doc_id", "row_key", "wanted", F.explode(F.array(words_of(F.col("text")))).alias("w"))
+    pieces = F.transform("wanted", lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["w1"].alias("w1"), c["w2"].alias("w2"), F.slice("w", c["start"] + 1, c["k"]).alias("dw")))
+    hits = texts.select("doc_id", "row_key", F.inline(pieces)).join(windows.drop("k"), ["w1", "w2"]).where(F.col("dw") == F.col("ww"))
+    hits = cut(hits.select("doc_id", "row_key", "start", "k", "w1", "w2").distinct(), "bench-hits")
+
+    runs = hits.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("k")).alias("e")))).alias("runs"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     merged = F.aggregate("runs", start, lambda a, r: F.struct(F.greatest(a["end"], r["e"]).alias("end"), (a["n"] + F.greatest(F.lit(0), r["e"] - F.greatest(a["end"], r["s"]))).alias("n")), lambda a: a["n"])
-    hits = hits.select("doc_id", "row_key", merged.cast("long").alias("n_hit"), "items")
-    return judged.select("doc_id", "row_key", "n_words").join(hits, ["doc_id", "row_key"], "left").select(F.nullif("doc_id", none).alias("doc_id"), "row_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    classes = hits.select("doc_id", "row_key", "w1", "w2").distinct().join(sets, ["w1", "w2"]).select("doc_id", "row_key", "c", "x", "y").distinct()
+    named = classes.join(members, ["c", "x", "y"]).groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    hit = cut(runs.select("doc_id", "row_key", merged.cast("long").alias("n_hit")).join(named, ["doc_id", "row_key"]), "bench-hit")
+
+    all_rows = counted.select("doc_id", "row_key", F.col("n").cast("long").alias("n_words")).unionByName(rows.where("text is null").select("doc_id", "row_key", F.lit(0).cast("long").alias("n_words")))
+    out = all_rows.join(hit, ["doc_id", "row_key"], "left")
+    return out.select(F.nullif("doc_id", none).alias("doc_id"), "row_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

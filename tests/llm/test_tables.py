@@ -240,6 +240,18 @@ def test_contamination(spark):
         assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == want, (i, texts[i])
 
 
+def test_items_that_share_a_prompt(spark):
+    prompt = " ".join(f"p{i}" for i in range(25))
+    items = [(i, f"{prompt} own{i} " + " ".join(f"q{i}-{j}".replace("-", "x") for j in range(12))) for i in range(40)] + [(41, "lone"), (41, prompt)]
+    texts = [f"a {prompt} b", items[3][1], "x " * 30 + "lone", " ".join(["p0"] * 500), " ".join(f"p{i}" for i in range(9)), None, f"a {prompt} b"]
+    got = {r.doc_id: r for r in decontaminate.contamination(frame(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    for i, want in enumerate(brute_contamination(texts, items)):
+        assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == want, i
+    named = spark.createDataFrame([("x", f"{prompt}"), (None, "lone"), ("x", f"{prompt}")], "doc_id string, text string")
+    found = decontaminate.contamination(named, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id or "", r.n_hit, len(r["items"])) for r in found) == [("", 1, 1), ("x", 25, 41), ("x", 25, 41)]
+
+
 def test_contamination_edges(spark):
     none = decontaminate.contamination(frame(spark, ["a b c"]), spark.createDataFrame([], "item_id bigint, text string")).collect()
     assert [(r.n_words, r.n_hit) for r in none] == [(3, 0)]
