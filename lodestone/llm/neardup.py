@@ -135,7 +135,7 @@ def digests(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest (d1, d2) of the set, and the signature (null for an empty set)."""
+    """doc_id, row_key (hash of the text), n_shingles, a 128-bit digest (d1, d2) of the set, and the signature (null for an empty set)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
@@ -147,9 +147,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 paths, bins = minhash([sets[i] for i in full]), sketches([sets[i] for i in full])
                 for row, i in enumerate(full):
                     packed[i] = paths[row].tobytes() + bins[row].tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *digests(sets), pa.array(packed, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), *digests(sets), pa.array(packed, pa.binary())], names=["doc_id", "row_key", "n_shingles", "d1", "d2", "sig"])
 
-    return map_arrow(docs.select("doc_id", "text"), sign, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, sig binary")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("row_key")), sign, f"doc_id {kind}, row_key bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary")
 
 
 def chosen(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -398,7 +398,7 @@ def _relabelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+    """doc_id, row_key (hash of the text), n_shingles, component_id, kept for every row of docs.
 
     A-Z are lower-cased; a document's set holds its distinct 5-word shingles (fewer words: the whole sequence as one; none, or
     a null text: empty). Documents with 100 * intersection >= percent * union of non-empty sets are linked; component_id is
@@ -440,11 +440,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> D
     named = cut(named, "named")
     smallest = cut(named.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
     named = named.join(smallest, "component").select("d1", "d2", "component_id")
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
+    out = signed.select("doc_id", "row_key", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")

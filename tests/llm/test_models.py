@@ -138,6 +138,31 @@ def test_fold(spark):
     assert [r[0] for r in got] == [zlib.crc32(str(i).encode()) % 5 for i in ids]
 
 
+def test_pipeline_stages_on_odd_rows(spark, tiny):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as p
+    from lodestone.llm.common import cut
+
+    own = " ".join(f"own{i}" for i in range(40))
+    leak = spark.read.parquet(f"{tiny}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, own, "en", "a", 5), (1, own, "en", "a", 5), (2, own + " more", "en", "a", 5), (1, "another text of the same id", None, None, None), (None, own, "en", None, 1), (None, None, None, None, None)]
+    rows += [(3, None, "en", "a", None), (4, "", "en", "b", 0), (5, " \t", "en", "b", 2), (6, "word " * 50_000, "en", "c", 250_000), (7, f"x {leak} y", "de", "a", 3), (8, "日本語のテキスト", "ja", "b", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    seen = []
+    for name, stage in p.STAGES:
+        docs = cut(stage(spark, docs, tiny), f"odd-{name}")
+        seen.append(sorted(((r.doc_id or 0), len(getattr(r, "text", "") or "")) for r in docs.collect()))
+    toxic, near, clean, mixed, ids = seen
+    assert toxic == sorted(((r[0] or 0), len(r[1] or "")) for r in rows)  # nothing toxic was learned from these
+    gone = collections.Counter(toxic) - collections.Counter(near)
+    assert gone == collections.Counter({(2, len(own) + 5): 1})  # the null id is linked with nothing, the other text of id 1 stays
+    assert (7, len(leak) + 4) in near and (7, len(leak) + 4) not in clean and len(clean) == len(near) - 1
+    assert {i for i, _ in mixed} <= {i for i, _ in clean} and all(n for _, n in mixed) and len(ids) == len(mixed)
+    empty = spark.createDataFrame([], docs.schema if "text" in docs.columns else "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, tiny).count() == 0
+
+
 def test_pipeline(spark, tiny):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline as p
