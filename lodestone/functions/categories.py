@@ -38,53 +38,92 @@ RULES: list[tuple[str, dict[str, list[str]]]] = [
 HIDDEN = ["camera_alert", "machine_notification", "bulk_status_noise", "call_notice", "dev_activity", "dev_review", "mailing_list"]
 
 
-def _any(c: Column, needles: list[str]) -> Column:
-    out = F.contains(c, F.lit(needles[0]))
-    for n in needles[1:]:
-        out = out | F.contains(c, F.lit(n))
+# Senders that stand for a code host, as alternatives of (field, strings).
+HOSTS = {
+    "hub": [[("sender", ["notifications@github.com"])], [("text", ["noreply.github.com"])]],
+    "lab": [[("sender", ["gitlab@mg.gitlab.com"])]],
+}
+# First categories; `primary` stands where none of them holds. A category holds where all (field, strings) of one of its
+# alternatives do, a field by any of its strings: as a part, a label as a whole, `begins` at the subject's start, `host` by HOSTS.
+BASE = [
+    ("camera_alert", [("sender", ["notifications.ui.com", "unifi os"])]),
+    ("camera_alert", [("text", ["unifi.ui.com"])]),
+    ("camera_alert", [("text", ["smart detection"]), ("text", ["recorded an animal", "protect/events"])]),
+    ("news_alert", [("sender", ["googlealerts-noreply@google.com"])]),
+    ("admin_alert", [("sender", ["google-workspace-alerts-noreply@google.com"])]),
+    ("promotion", [("label", ["category_promotions"])]),
+    ("update", [("label", ["category_updates"])]),
+]
+# Categories that hold beside those, in the same form.
+MORE = [
+    ("call_notice", [("sender", ["notify@ringcentral.com", "service@ringcentral.com"])]),
+    ("call_notice", [("begins", ["new call"])]),
+    ("security_admin", [("sender", ["google-workspace-alerts-noreply@google.com"])]),
+    ("security_admin", [("text", ["verify your identity", "password changed"])]),
+    ("security_admin", [("host", ["lab"]), ("subject", ["password changed", "passkey", "verify your identity"])]),
+    ("financial_statement", [("sender", ["interactivebrokers.com"])]),
+    ("financial_statement", [("subject", ["statement"])]),
+    ("financial_statement", [("text", ["trade confirmation"])]),
+    ("mailing_list", [("sender", ["tuhs.org"])]),
+    ("mailing_list", [("label", ["category_forums"])]),
+    ("newsletter", [("sender", ["newsletter", "daily@"])]),
+    ("newsletter", [("subject", ["weekly"])]),
+    ("social", [("label", ["category_social"])]),
+    ("social", [("sender", ["redditmail.com", "linkedin.com", "patreon.com"])]),
+    ("dev_activity", [("host", ["hub", "lab"])]),
+    ("dev_review", [("host", ["hub"]), ("text", ["commented on this pull request", "review", "requested"])]),
+    ("dev_ci", [("host", ["hub"]), ("text", ["workflow run"])]),
+    ("dev_ci", [("host", ["hub"]), ("subject", ["ci", "run failed"])]),
+    ("dev_ci", [("host", ["lab"]), ("text", ["pipeline"])]),
+    ("dev_ci", [("host", ["lab"]), ("subject", ["failed pipeline", "fixed pipeline"])]),
+]
+
+
+def _either(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out | p
+    return out
+
+
+def _holds(m: Column, field: str, strings: list[str]) -> Column:
+    """Whether a field of the message m shows any of the strings."""
+    if field == "host":
+        return _either([_all(m, way) for s in strings for way in HOSTS[s]])
+    if field == "label":
+        return _either([F.array_contains(m["label"], s) for s in strings])
+    if field == "begins":
+        return _either([F.startswith(m["subject"], F.lit(s)) for s in strings])
+    return _either([F.contains(m[field], F.lit(s)) for s in strings])
+
+
+def _all(m: Column, way: list[tuple[str, list[str]]]) -> Column:
+    out = _holds(m, *way[0])
+    for field, strings in way[1:]:
+        out = out & _holds(m, field, strings)
     return out
 
 
 def categories(sender: Column, subject: Column, snippet: Column, body: Column, labels: Column) -> Column:
-    """The sorted categories of a message; labels are joined by blanks. `primary` stays only beside `update` or alone."""
+    """The sorted categories of a message; labels are joined by blanks. `primary` stays only beside `update` or alone.
+
+    The message's fields are lower-cased once, as one struct that all rules read.
+    """
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    sender, subject, snippet, labels = low(sender), low(subject), low(snippet), low(labels)
-    whole = low(body)
-    text = F.concat_ws(" ", subject, sender, snippet, F.substring(whole, 1, 2000))
-    hay = {"sender": sender, "domain": sender, "subject": subject, "body": F.concat_ws(" ", snippet, whole), "labels": labels}
-    label = lambda x: F.array_contains(F.split(labels, " "), x)
-    base = [
-        ("camera_alert", _any(sender, ["notifications.ui.com", "unifi os"]) | _any(text, ["unifi.ui.com"])),
-        ("camera_alert", _any(text, ["smart detection"]) & _any(text, ["recorded an animal", "protect/events"])),
-        ("news_alert", _any(sender, ["googlealerts-noreply@google.com"])),
-        ("admin_alert", _any(sender, ["google-workspace-alerts-noreply@google.com"])),
-        ("promotion", label("category_promotions")),
-        ("update", label("category_updates")),
-    ]
-    hub, lab = _any(sender, ["notifications@github.com"]) | _any(text, ["noreply.github.com"]), _any(sender, ["gitlab@mg.gitlab.com"])
-    hard = [
-        ("call_notice", _any(sender, ["notify@ringcentral.com", "service@ringcentral.com"]) | subject.startswith("new call")),
-        ("security_admin", _any(sender, ["google-workspace-alerts-noreply@google.com"]) | _any(text, ["verify your identity", "password changed"]) | (lab & _any(subject, ["password changed", "passkey", "verify your identity"]))),
-        ("financial_statement", _any(sender, ["interactivebrokers.com"]) | _any(subject, ["statement"]) | _any(text, ["trade confirmation"])),
-        ("mailing_list", _any(sender, ["tuhs.org"]) | label("category_forums")),
-        ("newsletter", _any(sender, ["newsletter", "daily@"]) | _any(subject, ["weekly"])),
-        ("social", label("category_social") | _any(sender, ["redditmail.com", "linkedin.com", "patreon.com"])),
-        ("dev_activity", hub | lab),
-        ("dev_review", hub & _any(text, ["commented on this pull request", "review", "requested"])),
-        ("dev_ci", (hub & (_any(text, ["workflow run"]) | _any(subject, ["ci", "run failed"]))) | (lab & (_any(text, ["pipeline"]) | _any(subject, ["failed pipeline", "fixed pipeline"])))),
-    ]
-    table = []
-    for name, rule in RULES:
-        ok = None
-        for field, needles in rule.items():
-            hit = _any(hay[field], needles)
-            ok = hit if ok is None else ok & hit
-        table.append((name, ok))
-    pick = lambda rules: F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))
-    based = pick(base)
-    found = F.array_distinct(F.concat(F.when(F.size(based) == 0, F.array(F.lit("primary"))).otherwise(based), pick(hard), pick(table)))
-    others = F.exists(found, lambda x: ~x.isin("update", "primary"))
-    return F.array_sort(F.when(others, F.array_remove(found, "primary")).otherwise(found))
+    message = F.struct(
+        low(sender).alias("sender"), low(sender).alias("domain"), low(subject).alias("subject"), F.split(low(labels), " ").alias("label"), low(labels).alias("labels"),
+        F.concat_ws(" ", low(snippet), low(body)).alias("body"), F.concat_ws(" ", low(subject), low(sender), low(snippet), F.substring(low(body), 1, 2000)).alias("text"),
+    )
+    rules = [(name, list(rule.items())) for name, rule in RULES]
+
+    def found(m: Column) -> Column:
+        pick = lambda table: F.array_compact(F.array(*[F.when(_all(m, way), F.lit(name)) for name, way in table]))
+        return F.struct(pick(BASE).alias("base"), pick([*MORE, *rules]).alias("more"))
+
+    both = F.get(F.transform(F.array(message), found), F.lit(0))
+    every = F.transform(F.array(both), lambda x: F.array_distinct(F.concat(F.when(F.size(x["base"]) == 0, F.array(F.lit("primary"))).otherwise(x["base"]), x["more"])))
+    kept = F.transform(every, lambda x: F.array_sort(F.when(F.exists(x, lambda c: ~c.isin("update", "primary")), F.array_remove(x, "primary")).otherwise(x)))
+    return F.get(kept, F.lit(0))
 
 
 # Media types of each dictionary family, tried in this order after the roles.
