@@ -41,9 +41,16 @@ def cosine_pairs(vectors: DataFrame, least: float) -> DataFrame:
 
 
 def discover(docs: DataFrame, eps: float = EPS, terms: int = 5) -> DataFrame:
-    """cluster, size, terms: clusters of at least two documents (with two as the density, clusters are components of the eps graph)."""
+    """cluster, size, terms: clusters of at least two documents (with two as the density, clusters are components of the eps graph).
+
+    Documents of equal texts are joined to the first of them, which alone is compared with others.
+    """
     v = tfidf(docs)
-    edges = cosine_pairs(v, 1 - eps).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    same = docs.select("id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
+    named = written(same.join(same.groupBy("h").agg(F.min("id").alias("first")), "h").select("id", "first"), "same")
+    copies = named.where("id <> first").join(v.select("id").distinct(), "id", "left_semi").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = cosine_pairs(v.join(named.where("id = first").select("id"), "id", "left_semi"), 1 - eps).select("a", "b")
+    edges = near.unionByName(copies).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
     label = smallest_reachable(edges)
     placed = v.withColumn("id", F.col("id").cast("string")).join(label, "id")
     sizes = label.groupBy("component").agg(F.count("*").alias("size"))

@@ -47,9 +47,9 @@ def _vcards(s, d):
 
 
 def _csvs(s, d):
-    p = _people(s, d).groupBy("c_mktsegment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.concat(F.lit("Person,"), x["c_name"], F.lit(",p"), x["c_custkey"].cast("string"), F.lit("@mail.example,Works"))), "\n").alias("body"))
+    p = _people(s, d).groupBy("c_mktsegment", F.expr("c_custkey div 200").alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.concat(F.lit("Person,"), x["c_name"], F.lit(",p"), x["c_custkey"].cast("string"), F.lit("@mail.example,Works"))), "\n").alias("body"))
     text = F.concat(F.lit("﻿First Name,Last Name,Email Address,Current Company\n"), "body")
-    return f.contact_facts(p.select(F.concat("c_mktsegment", F.lit(".csv")).alias("path"), text.cast("binary").alias("content")), "csv")
+    return f.contact_facts(p.select(F.concat_ws("-", "c_mktsegment", F.concat(F.col("part").cast("string"), F.lit(".csv"))).alias("path"), text.cast("binary").alias("content")), "csv")
 
 
 def _rdf(s, d):
@@ -93,7 +93,7 @@ QUERIES = {
 SQL = {
     "mail_participants": """WITH e AS (SELECT 'mail/box-' || conv_id || '.mbox#' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS external_id, role AS r FROM conversations)
 SELECT external_id, role, CAST(ordinal AS INTEGER) AS ordinal, token, sha256(token) AS token_hash, display FROM (SELECT external_id, 'from' AS role, 0 AS ordinal, r || '@mail.example' AS token, r AS display FROM e UNION ALL SELECT external_id, 'to', 0, 'all@mail.example', 'All' FROM e UNION ALL SELECT external_id, 'to', 1, 'second@mail.example', '' FROM e)""",
-    "csv_contacts": """WITH p AS (SELECT c_mktsegment || '.csv' AS path, 'row-' || (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) AS record, c_name, c_custkey FROM customer)
+    "csv_contacts": """WITH p AS (SELECT c_mktsegment || '-' || (c_custkey // 200) || '.csv' AS path, 'row-' || (row_number() OVER (PARTITION BY c_mktsegment, c_custkey // 200 ORDER BY c_custkey) - 1) AS record, c_name, c_custkey FROM customer)
 SELECT path, record, 'name' AS kind, 'Person ' || c_name AS value FROM p UNION ALL SELECT path, record, 'email', 'p' || c_custkey || '@mail.example' FROM p UNION ALL SELECT path, record, 'affiliation', 'Works' FROM p""",
     "vcard_parse": """WITH p AS (SELECT 'c' || c_custkey AS record, c_name, c_mktsegment, c_custkey FROM customer)
 SELECT record || '.vcf' AS path, record, unnest(['identifier', 'name', 'affiliation', 'email', 'note']) AS kind, unnest([record, c_name, c_mktsegment, 'person' || c_custkey || '@mail.example', 'a folded line, with a comma']) AS value FROM p""",

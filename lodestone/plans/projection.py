@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.plans.fixpoint import written
 from lodestone.plans.views import Views
 
 SCHEMA = """digest string, object_id string, media_type string, roles array<string>, created timestamp_ntz, updated timestamp_ntz,
@@ -151,6 +152,7 @@ def rebuild(m: DataFrame, folder: str, changed_since: str | None = None) -> Data
     """Write every table below the folder and report (table, rows). With changed_since only manifests updated after it, as an own version beside the last."""
     if changed_since:
         m = m.where(F.col("updated") > F.lit(changed_since).cast("timestamp_ntz"))
+    m = written(m, "manifests")  # every table reads the manifests; their sources are read once
     counts = []
     for name, project in TABLES.items():
         path = f"{folder}/{name}"

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.common import best_per_key
-from lodestone.plans.fixpoint import shared_dir
+from lodestone.plans.fixpoint import shared_dir, written
+
+#: Buckets of a stream's state.
+BUCKETS = 16
 
 
 def changes(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
@@ -24,24 +27,40 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
     query.awaitTermination()
 
 
-def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest event of each user and kind, kept up micro-batch by micro-batch.
+def projected(stream: DataFrame, base: str, buckets: int = BUCKETS) -> DataFrame:
+    """The newest event of each user and kind of a stream, kept up micro-batch by micro-batch below `base`.
 
-    Each batch merges its own newest rows with the last state and writes the next version; the version's name is the batch's
-    number, so a repeated batch writes the same again.
+    The state lies in buckets by hash of the key. A batch reads and rewrites only the buckets that its keys fall in, under its own
+    number, and then writes down which number each bucket has; so a repeated batch writes the same again, and a batch costs what
+    its buckets hold, not the whole state. A stream without a batch gives an empty table.
     """
-    base = f"{shared_dir(spark)}/lodestone-stream-{uuid.uuid4().hex}"
+    spark, columns = stream.sparkSession, ["user_id", "event_type", "event_id", "ts", "value"]
+    newest = lambda df: best_per_key(df, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")])
+    last: list[dict[int, int]] = [{}]
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.select("user_id", "event_type", "event_id", "ts", "value")
-        if number > 0:
-            new = new.unionByName(batch.sparkSession.read.parquet(f"{base}/v{number - 1}"))
-        best_per_key(new, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).write.mode("overwrite").parquet(f"{base}/v{number}")
-        done[0] = number
-
-    done = [-1]
-    run_batches(changes(spark, sf_dir), merge, f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/v{done[0]}").select("user_id", "event_type", "event_id", "ts", "value")
+        known = {r.bucket: r.number for r in spark.read.parquet(f"{base}/versions/{number - 1}").collect()} if number else {}  # `buckets` rows
+        new = written(newest(batch.select(*columns)).withColumn("bucket", F.pmod(F.xxhash64("user_id", "event_type"), F.lit(buckets)).cast("int")), "batch")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # `buckets` rows
+        old = [f"{base}/v{known[b]}/bucket={b}" for b in touched if b in known]
+        if old:
+            held = spark.read.schema(new.drop("bucket").schema).parquet(*old)
+            new = new.unionByName(held.withColumn("bucket", F.pmod(F.xxhash64("user_id", "event_type"), F.lit(buckets)).cast("int")))
+        newest(new).write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/v{number}")
+        known |= dict.fromkeys(touched, number)
+        spark.createDataFrame(list(known.items()), "bucket int, number int").write.mode("overwrite").parquet(f"{base}/versions/{number}")
+        last[0] = known
+
+    run_batches(stream, merge, f"{base}/checkpoint")
+    schema = stream.select(*columns).schema
+    if not last[0]:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{base}/v{n}/bucket={b}" for b, n in sorted(last[0].items())])
+
+
+def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest event of each user and kind of the event table, as a stream."""
+    return projected(changes(spark, sf_dir), f"{shared_dir(spark)}/lodestone-stream-{uuid.uuid4().hex}")
 
 
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

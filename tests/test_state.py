@@ -85,3 +85,29 @@ def test_resolution_by_component_is_one_pass_over_all(spark, tiny):
     want = resolve.resolve_in_order((e, sorted(by[e], key=lambda c: (c.attr, c.value))) for e in sorted(by))
     got = {tuple(r) for r in resolve.resolve_by_component(v).collect()}
     assert got == set(want) and any(a == "merged" for _, _, a in want)
+
+
+def test_stream_of_three_files_merges_buckets(spark, tiny, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lodestone.streaming import pipeline
+
+    events = Views(spark, tiny).table("events")
+    for i in range(3):
+        events.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    got = pipeline.projected(stream, f"file://{tmp_path}/state", buckets=4)
+    want = jobs.project_events(events)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    (tmp_path / "none").mkdir()
+    nothing = spark.readStream.schema(events.schema).parquet(f"file://{tmp_path}/none")
+    assert pipeline.projected(nothing, f"file://{tmp_path}/empty").count() == 0
+
+
+def test_discovery_of_copies(spark):
+    from lodestone.operators import discovery
+
+    texts = ["alpha beta gamma delta"] * 5 + ["omega sigma kappa theta", "omega sigma kappa lambda theta", "unrelated words stand here alone", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.cluster: r.size for r in discovery.discover(docs).collect()}
+    assert got == {"0": 5, "5": 2}
