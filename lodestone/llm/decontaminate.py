@@ -9,6 +9,8 @@ from lodestone.llm.common import cut, lowered, table
 
 BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: Keys of documents that are broadcast at most (16 bytes each where ids are numbers); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Stands among the shingles for the row itself.
 COUNTED = 0x5EED0F0C0DE
 #: Stand for a null doc_id in the joins: of a number, and of text.
@@ -81,8 +83,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     pairs = pairs.select("doc_id", "row_key", "start", "k", "w1", "w2").distinct()
     wanted = cut(pairs.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "k", "w1", "w2")).alias("wanted")), "bench-wanted")
 
-    # only rows with a candidate get their words compared; a small `wanted` is broadcast and no text is shuffled
-    texts = rows.where("text is not null").join(wanted, ["doc_id", "row_key"]).select("doc_id", "row_key", "wanted", F.explode(F.array(words_of(F.col("text")))).alias("w"))
+    # only rows with a candidate get their words compared: while those are few their keys are broadcast, and no other text is shuffled
+    keys = wanted.select("doc_id", "row_key")
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    likely = rows.where("text is not null").join(F.broadcast(keys) if few else keys, ["doc_id", "row_key"], "left_semi")
+    texts = likely.join(wanted, ["doc_id", "row_key"]).select("doc_id", "row_key", "wanted", F.explode(F.array(words_of(F.col("text")))).alias("w"))
     pieces = F.transform("wanted", lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["w1"].alias("w1"), c["w2"].alias("w2"), F.slice("w", c["start"] + 1, c["k"]).alias("dw")))
     hits = texts.select("doc_id", "row_key", F.inline(pieces)).join(windows.drop("k"), ["w1", "w2"]).where(F.col("dw") == F.col("ww"))
     hits = cut(hits.select("doc_id", "row_key", "start", "k", "w1", "w2").distinct(), "bench-hits")
