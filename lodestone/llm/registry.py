@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, flac, langid, lines, mixing, neardup, spans, tokens, toxicity, warc
+from lodestone.llm import codes, decontaminate, flac, langid, lines, mixing, neardup, phrases, secrets, spans, tokens, toxicity, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_sentence_spans": spans.query,
     "op9_decontaminate": decontaminate.query,
     "op10_token_parquet": tokens.query,
+    "op11_secret_scan": secrets.query,
+    "op12_vector_codes": codes.query,
+    "op13_phrase_mining": phrases.query,
+}
+SQL = {
+    "op3_line_dedup": lines.SQL,
+    "op9_decontaminate": decontaminate.SQL,
+    "op11_secret_scan": secrets.SQL,
+    "op12_vector_codes": codes.SQL,
+    "op13_phrase_mining": phrases.SQL,
 }
-SQL = {"op3_line_dedup": lines.SQL, "op9_decontaminate": decontaminate.SQL}
