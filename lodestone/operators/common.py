@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
+from lodestone.plans.stored import parsed
 
 
 def norm_limit(limit: int | None, default: int = 50, most: int = 1000) -> int:
@@ -49,20 +50,6 @@ def web_search(text: Column, query: str) -> Column:
     Words are lower-cased runs of letters and digits, without stemming or stop words. A query without words matches nothing.
     """
     padded = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-    alternatives: list[list[Column]] = [[]]
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
-        if word.lower() == "or" and not minus:
-            alternatives.append([])
-            continue
-        parts = [p for p in re.split(r"[\W_]+", (phrase or word).lower()) if p]
-        if parts:
-            hit = F.contains(padded, F.lit(f" {' '.join(parts)} "))
-            alternatives[-1].append(~hit if minus else hit)
-    found = None
-    for terms in alternatives:
-        if terms:
-            both = terms[0]
-            for t in terms[1:]:
-                both = both & t
-            found = both if found is None else found | both
-    return F.lit(False) if found is None else found
+    hit = lambda excluded, words: ~F.contains(padded, F.lit(f" {' '.join(words)} ")) if excluded else F.contains(padded, F.lit(f" {' '.join(words)} "))
+    found = [reduce(lambda a, b: a & b, [hit(*part) for part in parts]) for parts in parsed(query)]
+    return reduce(lambda a, b: a | b, found) if found else F.lit(False)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.operators import jobs as j
+from lodestone.operators import repair
 from lodestone.operators import resolve as r
 from lodestone.plans.views import Views, with_views
 from lodestone.streaming import pipeline
@@ -11,7 +12,7 @@ _q = lambda f, *a, **k: lambda spark, sf_dir: f(Views(spark, sf_dir), *a, **k)
 
 
 QUERIES = {
-    "claim_omega": _q(r.claim_idf), "blocking_candidates": _q(r.blocking), "iddiff_edges": _q(r.scored_edges), "repair_clusters": _q(r.clusters), "resolve_greedy": _q(r.resolve_by_component), "observation_keys": _q(r.observation_keys),
+    "claim_omega": _q(r.claim_idf), "blocking_candidates": _q(r.blocking), "iddiff_edges": _q(r.scored_edges), "repair_clusters": _q(r.clusters), "resolve_greedy": _q(r.resolve_by_component), "observation_keys": _q(r.observation_keys), "knn_candidates": _q(repair.all_candidates), "repair_rounds": _q(repair.all_repaired),
     "job_derivation": _q(j.derive), "job_derivation_forced": _q(j.derive, forced=["outline"]), "reconcile_pending": _q(j.reconcile), "retry_schedule": _q(j.retries), "backpressure_state": _q(j.backpressure, 5, 0), "breaker_state": _q(j.breaker_states),
     "changed_since": _q(j.changed_since, "2024-01-15 00:00:00"), "sweep_chunk": _q(j.sweep, "4"), "ops_status": _q(j.ops_status),
     "batch_projection": lambda s, d: j.project_events(Views(s, d).table("events")), "stream_projection": pipeline.projection, "stream_dedup_window_counts": pipeline.windowed_counts,

@@ -228,7 +228,11 @@ def claims(v: Views) -> DataFrame:
 
 def claim_idf(v: Views) -> DataFrame:
     """attr, value, df, idf, omega: how identifying each claim is among all records."""
-    c = claims(v)
+    return idf_of(claims(v))
+
+
+def idf_of(c: DataFrame) -> DataFrame:
+    """The same of any claims (entity, attr, value, kind)."""
     n = c.agg(F.count_distinct("entity").alias("n"))
     by = c.groupBy("attr", "value", "kind").agg(F.count_distinct("entity").alias("df")).crossJoin(F.broadcast(n))  # one row
     rarity = F.greatest(F.lit(0.0), F.log((1 + F.col("n")) / (1 + F.col("df"))))
@@ -251,9 +255,13 @@ def blocking(v: Views, attrs: tuple[str, ...] = ("account", "email", "phone")) -
 
 def scored_edges(v: Views, tau: float = 0.85) -> DataFrame:
     """a, b, score, veto of every candidate pair."""
-    weights = claim_idf(v).select("attr", "value", "omega")
-    sets = claims(v).join(weights, ["attr", "value"]).groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("attr", "value", "kind", "omega", "role"))).alias("claims"))
-    pairs = blocking(v).select("a", "b").join(sets.select(F.col("entity").alias("a"), F.col("claims").alias("ca")), "a").join(sets.select(F.col("entity").alias("b"), F.col("claims").alias("cb")), "b")
+    return score_pairs(blocking(v), claims(v), claim_idf(v), tau)
+
+
+def score_pairs(found: DataFrame, c: DataFrame, weights: DataFrame, tau: float = 0.85) -> DataFrame:
+    """a, b, score, veto of the pairs (a, b) of entities with these claims and weights."""
+    sets = c.join(weights.select("attr", "value", "omega"), ["attr", "value"]).groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("attr", "value", "kind", "omega", "role"))).alias("claims"))
+    pairs = found.select("a", "b").join(sets.select(F.col("entity").alias("a"), F.col("claims").alias("ca")), "a").join(sets.select(F.col("entity").alias("b"), F.col("claims").alias("cb")), "b")
 
     def score(batches):
         for b in batches:

@@ -23,9 +23,7 @@ def search(v: Views, text: str | None = None, facets: Sequence[str] = (), media_
     """
     found = v.objects()
     if text is not None:
-        hits = v.table("documents").where(web_search(F.col("text"), text)).select(v.digest(F.col("text")).alias("digest"))
-        hits = hits.unionByName(v.table("conversations").where(web_search(F.col("text"), text)).select(v.digest(F.col("text")).alias("digest")))
-        found = exists(found, hits, "digest")
+        found = exists(found, v.matching(text), "digest")
     if facets:
         found = exists(found, v.facets().where(F.col("kind").isin(*facets)), "digest")
     if media_types:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from lodestone.operators import search as s
+from lodestone.plans.stored import stored
 from lodestone.plans.views import Views, with_views
 
 _q = lambda f, *a, **k: lambda spark, sf_dir: f(Views(spark, sf_dir), *a, **k)
+_stored = lambda f, *a, **k: lambda spark, sf_dir: f(stored(Views(spark, sf_dir)), *a, **k)
 
 QUERIES = {
     "object_breakdown_totals": _q(s.breakdown_totals),
@@ -14,14 +16,14 @@ QUERIES = {
     "breakdown_by_source": _q(s.breakdown, "source"),
     "breakdown_by_analyzer": _q(s.breakdown, "analyzer"),
     "breakdown_by_identity": _q(s.breakdown, "identity"),
-    "search_facets_media": _q(s.search, facets=["lang:en", "mail_message"], media_types=["text/plain", "message/rfc822"], limit=100),
-    "search_text_and": _q(s.search, text="the and thing", limit=1000),
-    "search_text_phrase": _q(s.search, text='"of the"', limit=1000),
-    "search_text_or_not": _q(s.search, text="trash or moron -the", limit=1000),
-    "search_provenance_independent": _q(s.search, source_kinds=["corpus"], source_names=["src1", "src2"], limit=500),
-    "search_paged_total": _q(s.search, facets=["document"], limit=25, offset=50),
-    "search_part_role": _q(s.search, part_role="system", limit=1000),
-    "search_analyzer": _q(s.search, analyzer="toxicity", limit=1000),
+    "search_facets_media": _stored(s.search, facets=["lang:en", "mail_message"], media_types=["text/plain", "message/rfc822"], limit=100),
+    "search_text_and": _stored(s.search, text="the and thing", limit=1000),
+    "search_text_phrase": _stored(s.search, text='"of the"', limit=1000),
+    "search_text_or_not": _stored(s.search, text="trash or moron -the", limit=1000),
+    "search_provenance_independent": _stored(s.search, source_kinds=["corpus"], source_names=["src1", "src2"], limit=500),
+    "search_paged_total": _stored(s.search, facets=["document"], limit=25, offset=50),
+    "search_part_role": _stored(s.search, part_role="system", limit=1000),
+    "search_analyzer": _stored(s.search, analyzer="toxicity", limit=1000),
     "search_relationship_same_row": _q(s.search_related, "contains", "R"),
     "structure_parts_by_role": _q(s.structure),
     "relationships_filter": _q(s.relationships, ["located_in", "part_of"], limit=1000),

@@ -38,6 +38,16 @@ class Views:
             text("conversations", "text", turn, "message/rfc822"), whole,
         ])
 
+    def texts(self) -> DataFrame:
+        """digest, text of what full-text search covers."""
+        return reduce(DataFrame.unionByName, [self.table(t).select(self.digest(F.col("text")).alias("digest"), "text") for t in ("documents", "conversations")])
+
+    def matching(self, query: str) -> DataFrame:
+        """digest of the texts that a web-style query matches, found in the texts themselves."""
+        from lodestone.operators.common import web_search
+
+        return self.texts().where(web_search(F.col("text"), query)).select("digest")
+
     def objects(self) -> DataFrame:
         """digest, object_id, media_type, bytes, compound: one row an object."""
         return self.records().groupBy("digest").agg(F.min("object_id").alias("object_id"), F.min("media_type").alias("media_type"), F.max("bytes").alias("bytes"), F.bool_or("compound").alias("compound"))
