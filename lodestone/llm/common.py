@@ -60,6 +60,13 @@ def cut(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Remove the files of a table that `cut` wrote and nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/lodestone-" in folder:
+            _remove(df.sparkSession, folder)
+
+
 def lowered(column):
     """A-Z lower-cased, every other character as it is."""
     return F.translate(column, UPPER, LOWER)

@@ -2,24 +2,28 @@
 
 Every language's frequent words get ids. A phrase of k words is the pair of the ids of its two phrases of k - 1 words, which overlap;
 pairs that are frequent over the whole corpus get ids in turn. Texts are read once into blocks of sequences of local numbers, in
-which a task counts its distinct pairs; counts are summed and names joined back over all blocks, so only distinct pairs of a block are
-shuffled, never occurrences. An id's pair are its parents: the counts of what a cut leaves, and what contains a phrase, follow them.
+which a task counts its distinct pairs. These are dealt to parts by their hash; a part adds up the counts of all blocks, names what is
+frequent and answers each block with the names of its pairs. So a block's distinct pairs are shuffled once, packed, and never
+occurrences. An id's pair are its parents: the counts of what a cut leaves, and what contains a phrase, follow them.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm import words
-from lodestone.llm.common import cut, joined_bytes, map_arrow, slices, table
+from lodestone.llm.common import cut, joined_bytes, map_arrow, release, slices, table
 
 LONGEST, LEAST, COVER_PERCENT, TOP = 4, 30, 80, 2000
-#: Bytes of text of a block, about.
-BLOCK = 8 << 20
+#: Bytes of text of a block, about, and words of the corpus for each part that pairs are dealt to by hash.
+BLOCK, PART_WORDS = 4 << 20, 1 << 20
 #: Parts that a language's phrases are ranked in before the best of all parts are.
 SALTS = 64
 #: What ends a piece, and all that parts words.
@@ -40,6 +44,16 @@ def cut_long(data: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, n
     return whole, owner
 
 
+def packed(x: np.ndarray) -> bytes:
+    """An array of integers as Zstandard over its bytes, first bytes first: small numbers cost little."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def unpacked(column, row: int, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(column[row].as_buffer()), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def compact(ids: np.ndarray) -> np.ndarray:
     """A sequence with one -1 where several were."""
     gap = ids < 0
@@ -62,12 +76,15 @@ def encoded(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[pa.Arr
     index, dictionary = found.indices.to_numpy().astype(np.int64), found.dictionary
     owner = group[np.repeat(np.arange(len(at) - 1), np.diff(per_text))]
     key, number, counts = np.unique(owner * max(1, len(dictionary)) + index, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")  # frequent words have small numbers
+    key, counts, place = key[order], counts[order], np.empty(len(key), np.int64)
+    place[order] = np.arange(len(order))
     stops = np.concatenate([[0], np.cumsum(_ENDS[data])])
     fresh = np.zeros(len(starts), np.int64)  # a piece begins at this word
     fresh[1:] = stops[starts[1:]] != stops[ends[:-1]]
     fresh[per_text[:-1][(per_text[:-1] > 0) & (per_text[:-1] < len(starts))]] = 1
     sequence = np.full(len(starts) + fresh.sum(), -1, np.int32)
-    sequence[np.arange(len(starts)) + np.cumsum(fresh)] = number
+    sequence[np.arange(len(starts)) + np.cumsum(fresh)] = place[number]
     return dictionary.take(pa.array(key % max(1, len(dictionary)))), key // max(1, len(dictionary)), counts, sequence
 
 
@@ -89,7 +106,7 @@ def word_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], t) for x, t in ((langs.to_pylist(), pa.list_(pa.string())), (totals, pa.list_(pa.int64())))]
                     + [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (found.cast(pa.large_string()).cast(pa.string()), pa.array(of.astype(np.int32)), pa.array(counts))]
-                    + [pa.array([compact(sequence).tobytes()], pa.binary())],
+                    + [pa.array([packed(compact(sequence))], pa.binary())],
                     names=["langs", "totals", "words", "of", "counts", "sequence"],
                 )
 
@@ -98,56 +115,122 @@ def word_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return cut(found.withColumn("block", F.monotonically_increasing_id()), "phrase-words")  # numbered once, as it is written
 
 
-def pair_blocks(named: DataFrame) -> DataFrame:
-    """Of blocks (block, sequence, numbers, ids) the distinct pairs of named neighbours: (block, left, right, counts, sequence of the pairs)."""
+def pair_blocks(named: DataFrame, parts: int, ids_of) -> DataFrame:
+    """Of named blocks the sequences of the numbers of their pairs (part -1), and a row for each part of the pairs that occur: their
+    ids and counts, in an order by which a block's numbers of one part follow each other from `start` on.
+
+    ids_of(batch, row) gives the ids of a block's numbers, -1 where a number has none; the block and its sequence come first.
+    """
 
     def pairs(batches):
         for b in batches:
             for r in range(b.num_rows):
-                number, ids = (b.column(c)[r].values.to_numpy() for c in (2, 3))
-                sequence = np.frombuffer(b.column(1)[r].as_buffer(), np.int32)
-                place = np.full(max(int(sequence.max(initial=-1)), int(number.max(initial=-1))) + 2, -1, np.int64)  # the last entry is that of -1
-                place[number] = np.arange(len(number))
-                now = place[sequence]
-                both = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0))
+                sequence = unpacked(b.column(1), r, np.int32)
+                ids = ids_of(b, r)
+                ids = np.concatenate([ids, np.full(max(0, int(sequence.max(initial=-1)) + 1 - len(ids)) + 1, -1, np.int64)])  # the last is that of -1
+                known, dense = np.unique(ids, return_inverse=True)
+                now = dense[sequence]
+                both = np.flatnonzero((now[:-1] > 0) & (now[1:] > 0))
                 if not len(both):
                     continue
-                key, number, counts = np.unique(now[both] * len(ids) + now[both + 1], return_inverse=True, return_counts=True)
+                key, number, counts = np.unique(now[both] * len(known) + now[both + 1], return_inverse=True, return_counts=True)
+                left, right = known[key // len(known)], known[key % len(known)]
+                part = (words.mixed(words.mixed(left.view(np.uint64)) + right.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order))
                 out = np.full(len(now), -1, np.int32)
-                out[both] = number
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), pa.array(x)) for x in (ids[key // len(ids)], ids[key % len(ids)], counts)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1), *lists, pa.array([compact(out).tobytes()], pa.binary())], names=["block", "lefts", "rights", "counts", "sequence"])
-
-    return cut(map_arrow(named.select("block", "sequence", "numbers", "ids"), pairs, "block bigint, lefts array<bigint>, rights array<bigint>, counts array<bigint>, sequence binary"), "phrase-pairs")
-
-
-def with_names(blocks: DataFrame, local: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks with the numbers that have a name, and the names: local (block, number, *keys) joined to names (id, *keys).
+                out[both] = place[number]
+                part, left, right, counts = part[order], left[order], right[order], counts[order].astype(np.int32)
+                first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(part)]))
+                block, none = b.column(0)[r].as_py(), [None] * len(cuts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([-1, *part[first].tolist()], pa.int32()), pa.array([block] * (len(cuts) + 1), pa.int64()), pa.array([0, *first.tolist()], pa.int32()), pa.array([packed(compact(out)), *none], pa.binary())]
+                    + [pa.array([None, *[packed(x[s:e]) for s, e in cuts]], pa.binary()) for x in (left, right, counts)],
+                    names=["part", "block", "start", "sequence", "lefts", "rights", "counts"],
+                )
 
-    What meets in a block again is no more than it held.
-    """
-    found = local.select("block", "number", *keys).join(names.select("id", *keys), keys).groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("m"))
-    return blocks.select("block", "sequence").join(found, "block").select("block", "sequence", F.col("m.number").alias("numbers"), F.col("m.id").alias("ids"))
+    return cut(map_arrow(named, pairs, "part int, block bigint, start int, sequence binary, lefts binary, rights binary, counts binary"), "phrase-pairs")
+
+
+def named_pairs(blocks: DataFrame, least: int) -> DataFrame:
+    """Of the pairs of all blocks, part by part: the frequent ones with their counts (block -1), whose id is the part and the place
+    there; and for each block the places of its pairs from `start` on, -1 for those that are not frequent."""
+
+    def join(batches):
+        held: list[tuple] = []
+        for b in itertools.chain(batches, [None]):
+            for r in range(1 if b is None else b.num_rows):
+                if held and (b is None or b.column(0)[r].as_py() != held[0][0]):
+                    yield from name(held)
+                    held = []
+                if b is not None:
+                    held.append((*[b.column(i)[r].as_py() for i in range(3)], *[unpacked(b.column(i), r, t) for i, t in ((3, np.int64), (4, np.int64), (5, np.int32))]))
+
+    def name(held):
+        left, right, count = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5))
+        known, dense = np.unique(np.concatenate([left, right]), return_inverse=True)
+        key, pair = np.unique(dense[: len(left)] * len(known) + dense[len(left) :], return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, pair, count)
+        often = total >= least
+        if not often.any():
+            return
+        place = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)[pair]
+        part, edges = held[0][0], np.concatenate([[0], np.cumsum([len(h[3]) for h in held])])
+        found = [(h[1], h[2], place[s:e]) for h, s, e in zip(held, edges, edges[1:])]
+        found = [f for f in found if (f[2] >= 0).any()]
+        lists = (known[key[often] // len(known)], known[key[often] % len(known)], total[often])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part] * (len(found) + 1), pa.int32()), pa.array([-1, *[f[0] for f in found]], pa.int64()), pa.array([0, *[f[1] for f in found]], pa.int32()), pa.array([None, *[packed(f[2]) for f in found]], pa.binary())]
+            + [pa.array([x.tolist(), *[None] * len(found)], pa.list_(pa.int64())) for x in lists],
+            names=["part", "block", "start", "places", "lefts", "rights", "totals"],
+        )
+
+    rows = blocks.where("part >= 0").select("part", "block", "start", "lefts", "rights", "counts").repartition("part").sortWithinPartitions("part")
+    return cut(map_arrow(rows, join, "part int, block bigint, start int, places binary, lefts array<bigint>, rights array<bigint>, totals array<bigint>"), "phrase-names")
+
+
+def _by_number(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    number, ids = (batch.column(c)[row].values.to_numpy() for c in (2, 3))
+    out = np.full(int(number.max(initial=-1)) + 1, -1, np.int64)
+    out[number] = ids
+    return out
 
 
-def counted(local: DataFrame, keys: list[str], least: int, label: str) -> DataFrame:
-    """(id, *keys, a): the keys that occur `least` times over all blocks, named as they are written."""
-    total = local.groupBy(*keys).agg(F.sum("c").alias("a")).where(F.col("a") >= least)
-    return cut(total.withColumn("id", F.monotonically_increasing_id()), label)
+def _by_part(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    held = batch.column(4)[row].values
+    places = [unpacked(held, i, np.int32).astype(np.int64) for i in range(len(held))]
+    starts, parts = (batch.column(c)[row].values.to_pylist() for c in (2, 3))
+    out = np.full(max(s + len(p) for s, p in zip(starts, places)), -1, np.int64)
+    for s, part, p in zip(starts, parts, places):
+        out[s : s + len(p)] = np.where(p >= 0, p + (part << 32), -1)
+    return out
 
 
 def levels(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(n of each lang; the frequent phrases of 1, 2, ... words: id, left, right, a, and of words lang and word)."""
+    """(n of each lang; the frequent phrases of 1, 2, ... words: id, left, right, a, and of words lang and word).
+
+    What meets in a block again, when names come back to it, is no more than it held.
+    """
     blocks = word_blocks(docs)
     totals = cut(blocks.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n")), "phrase-totals")
+    parts = int((totals.agg(F.sum("n")).first()[0] or 0) // PART_WORDS) + 1
     each = blocks.select("block", "langs", F.posexplode(F.arrays_zip("words", "of", "counts")).alias("number", "x"))
-    local, keys = each.select("block", "number", F.get("langs", F.col("x.of")).alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("c")), ["lang", "word"]
-    found = [counted(local, keys, least, "phrase-1")]
-    for k in range(2, longest + 1):
-        blocks = pair_blocks(with_names(blocks, local, found[-1], keys))
-        local = blocks.select("block", F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("number", "x")).select("block", "number", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.counts").alias("c"))
-        keys = ["left", "right"]
-        found.append(counted(local, keys, least, f"phrase-{k}"))
+    local = each.select("block", "number", F.get("langs", F.col("x.of")).alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
+    frequent = local.groupBy("lang", "word").agg(F.sum("c").alias("a")).where(F.col("a") >= least)
+    found = [cut(frequent.withColumn("id", F.monotonically_increasing_id()), "phrase-1")]  # numbered once, as it is written
+    names = local.select("block", "number", "lang", "word").join(found[0].select("id", "lang", "word"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("m"))
+    named, ids_of = blocks.select("block", "sequence").join(names, "block").select("block", "sequence", "m.number", "m.id"), _by_number
+    for _ in range(2, longest + 1):
+        before, blocks = blocks, pair_blocks(named, parts, ids_of)
+        release(before)  # the new blocks are written, and nothing reads the old ones again
+        pairs = named_pairs(blocks, least)
+        each = pairs.where("block = -1").select("part", F.posexplode(F.arrays_zip("lefts", "rights", "totals")).alias("place", "x"))
+        found.append(each.select((F.shiftleft(F.col("part").cast("long"), 32) + F.col("place")).alias("id"), F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.totals").alias("a")))
+        names = pairs.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("start", "part", "places")).alias("m"))
+        named, ids_of = blocks.where("part = -1").select("block", "sequence").join(names, "block").select("block", "sequence", "m.start", "m.part", "m.places"), _by_part
     return totals, found
 
 
