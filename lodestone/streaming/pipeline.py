@@ -32,14 +32,14 @@ def projected(stream: DataFrame, base: str, buckets: int = BUCKETS) -> DataFrame
 
     The state lies in buckets by hash of the key. A batch reads and rewrites only the buckets that its keys fall in, under its own
     number, and then writes down which number each bucket has; so a repeated batch writes the same again, and a batch costs what
-    its buckets hold, not the whole state. A stream without a batch gives an empty table.
+    its buckets hold, not the whole state. Called again on the same base, it goes on from what is there, and gives all of it where
+    nothing is new. A stream that never had a batch gives an empty table.
     """
     spark, columns = stream.sparkSession, ["user_id", "event_type", "event_id", "ts", "value"]
     newest = lambda df: best_per_key(df, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")])
-    last: list[dict[int, int]] = [{}]
 
     def merge(batch: DataFrame, number: int) -> None:
-        known = {r.bucket: r.number for r in spark.read.parquet(f"{base}/versions/{number - 1}").collect()} if number else {}  # `buckets` rows
+        known = versions(spark, base, number)
         new = written(newest(batch.select(*columns)).withColumn("bucket", F.pmod(F.xxhash64("user_id", "event_type"), F.lit(buckets)).cast("int")), "batch")
         touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # `buckets` rows
         old = [f"{base}/v{known[b]}/bucket={b}" for b in touched if b in known]
@@ -48,14 +48,24 @@ def projected(stream: DataFrame, base: str, buckets: int = BUCKETS) -> DataFrame
             new = new.unionByName(held.withColumn("bucket", F.pmod(F.xxhash64("user_id", "event_type"), F.lit(buckets)).cast("int")))
         newest(new).write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/v{number}")
         known |= dict.fromkeys(touched, number)
-        spark.createDataFrame(list(known.items()), "bucket int, number int").write.mode("overwrite").parquet(f"{base}/versions/{number}")
-        last[0] = known
+        spark.createDataFrame(list(known.items()), "bucket int, number int").write.mode("overwrite").parquet(f"{base}/versions/batch={number}")
 
     run_batches(stream, merge, f"{base}/checkpoint")
-    schema = stream.select(*columns).schema
-    if not last[0]:
+    schema, last = stream.select(*columns).schema, versions(spark, base)
+    if not last:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{base}/v{n}/bucket={b}" for b, n in sorted(last[0].items())])
+    return spark.read.schema(schema).parquet(*[f"{base}/v{n}/bucket={b}" for b, n in sorted(last.items())])
+
+
+def versions(spark: SparkSession, base: str, before: int | None = None) -> dict[int, int]:
+    """The batch that wrote each bucket last, after all batches or those before one: what a stream that starts again goes on from."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/versions")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    rows = spark.read.schema("bucket int, number int, batch int").parquet(f"{base}/versions")
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    found = rows.groupBy("bucket").agg(F.max_by("number", "batch").alias("number")).collect()  # a row a bucket
+    return {r.bucket: r.number for r in found}
 
 
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
