@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +13,10 @@ from lodestone.llm import words
 from lodestone.llm.common import cut, map_arrow, slices, table
 
 MIN_SENTENCES, LONG_SENTENCE = 2, 25
-#: Words that a run must have for the query to count it; in the operator itself every run counts unless told otherwise.
-QUERY_WORDS = 16
+#: A run counts for the query if the words of a corpus, drawn one by one, would make it again with less than this probability.
+CHANCE = 0.001
+#: Counters of words (by hash; words that share one look more frequent than they are), and the unit of information: 1/256 bit.
+COUNTERS, BIT = 1 << 16, 256
 #: Words to either side that a cut inside a long sentence must be least among, by a hash of the word and the two before.
 REACH = 8
 #: Ranges of letters of scripts written without spaces (Thai to Lao, Myanmar, Khmer, kana, Han), each a word of its own.
@@ -85,45 +89,78 @@ class Sentences:
         i = np.arange(n)
         return new | ((i - np.maximum.accumulate(np.where(new, i, 0))) % LONG_SENTENCE == 0)
 
-    def runs(self, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first, end) of the shortest run from each sentence on, and of the shortest up to each, with so many sentences and words.
+    def runs(self, min_sentences: int, least: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(first, end) of the shortest run from each sentence on, and of the shortest up to each, with so many sentences and so much
+        weight: that of its words by their counters, or one each.
 
         A sentence of a repeated run of any length is covered by one of these that lies inside it, so these find what all runs find.
         """
         n = len(self.text)
         low, high = self.of_text[self.text], self.of_text[self.text + 1]
         i = np.arange(n)
-        end = np.maximum(i + min_sentences, np.searchsorted(self.first, self.first[:-1] + min_words))
+        before = self.first if weights is None else np.concatenate([[0], np.cumsum(weights[self.counters()])])[self.first]
+        end = np.maximum(i + min_sentences, np.searchsorted(before, before[:-1] + least))
         ok = end <= high
-        begin = np.minimum(i + 1 - min_sentences, np.searchsorted(self.first, self.first[1:] - min_words, "right") - 1)
+        begin = np.minimum(i + 1 - min_sentences, np.searchsorted(before, before[1:] - least, "right") - 1)
         back = begin >= low
         back[back] = end[begin[back]] != i[back] + 1  # those that are not among the others
         return np.concatenate([i[ok], begin[back]]), np.concatenate([end[ok], i[back] + 1])
 
+    def counters(self) -> np.ndarray:
+        """The counter of each word."""
+        return (self.hash % np.uint64(COUNTERS)).astype(np.int64)
+
     def digests(self, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of the words of each run."""
         s, e = self.first[first], self.first[end]
         return tuple(words.hashes(h, s, e).view(np.int64) for h in (self.hash, words.mixed(self.hash + np.uint64(words.FACTOR))))
 
 
-def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = 0, across: bool = True) -> DataFrame:
+def information(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """(what a word of each counter tells, in 1/256 bit; the sentences) of all texts. COUNTERS numbers, whatever the corpus."""
+
+    def count(batches):
+        words_of, sentences = np.zeros(COUNTERS, np.int64), 0
+        for b in slices(batches, 0, 1 << 20):
+            found = Sentences(b.column(0).to_pylist())
+            words_of += np.bincount(found.counters(), minlength=COUNTERS)
+            sentences += len(found.text)
+        used = np.flatnonzero(words_of)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(words_of[used], sentences))], names=["counter", "n"])
+
+    rows = map_arrow(docs.select("text"), count, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).collect()
+    counts, sentences = np.ones(COUNTERS, np.int64), 0
+    for r in rows:
+        if r.counter < 0:
+            sentences = r.n
+        else:
+            counts[r.counter] = r.n
+    return np.round(BIT * np.log2(max(1, counts.sum()) / counts)).astype(np.int64), sentences
+
+
+def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = 0, across: bool = False, chance: float | None = None) -> DataFrame:
     """doc_id, kept_text, n_sentences, n_removed, n_chars_removed for every row of docs.
 
     Every run of consecutive sentences with min_sentences sentences and min_words words at least counts (lower-cased, white space
-    collapsed, hashed to 128 bits). Of equal runs that two documents at least hold (across=False: also one alone, twice) the one at
-    the smallest (doc_id, text hash, position) is first; sentences covered by any other are removed. The shortest runs from and up to each sentence are hashed: they cover what
-    longer ones would. A null or empty text has no sentences and keeps its (empty) text. Repeated rows, equal in id and text,
+    collapsed, hashed to 128 bits). With a `chance`, not the number of words counts but what they tell: words drawn one by one as
+    often as all texts have them must be less likely than that to repeat the run in any sentence's place. Of equal runs the one at
+    the smallest (doc_id, text hash, position) is first; sentences covered by any other are removed (across: only where two documents
+    hold the run). The shortest runs from and up to each sentence are hashed: they cover what longer ones would. A null or empty text has no sentences and keeps its (empty) text. Repeated rows, equal in id and text,
     count as one and lose the same sentences. Rows with a null doc_id keep their text and don't count. An empty table gives an
     empty one. Other columns are ignored. doc_id may be of any type with an order.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
     counted = rows.where("doc_id is not null").select("doc_id", "row_key", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    weights, least = None, min_words
+    if chance is not None:
+        weights, sentences = information(counted)
+        least = math.ceil(BIT * math.log2(max(1, sentences) / chance))
 
     def hashed(batches):
         for b in slices(batches, 2, 1 << 20):
             found = Sentences(b.column(2).to_pylist())
-            first, end = found.runs(min_sentences, min_words)
+            first, end = found.runs(min_sentences, least, weights)
             h1, h2 = found.digests(first, end)
             which = found.text[first]
             place = pa.array(which)
@@ -164,5 +201,5 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_spans(table(spark, sf_dir, "documents"), min_words=QUERY_WORDS)
+    out = dedup_spans(table(spark, sf_dir, "documents"), chance=CHANCE)
     return out.select("doc_id", "n_sentences", "n_removed", "n_chars_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))

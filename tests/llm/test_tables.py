@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, lines, mixing, neardup, spans, tokens, warc
+from lodestone.llm import decontaminate, lines, mixing, neardup, spans, tokens, warc, words
 from lodestone.llm.common import SPACE, running_totals, scratch
 from lodestone.llm.components import components
 
@@ -274,31 +274,68 @@ def test_spans(spark):
     assert spans.dedup_spans(frame(spark, [])).count() == 0
 
 
+def word_hashes(sentence):
+    return [int(h) for w in sentence for h in spans.Sentences([w]).hash]
+
+
+def pieces(sentence):
+    """The pieces of a long sentence by the rule of the docstring, word by word."""
+    if len(sentence) <= 25:
+        return [sentence]
+    h, mark = word_hashes(sentence), []
+    for i in range(len(h)):
+        x = h[i] * words.FACTOR + (h[i - 1] * words.BASE if i else 0) + (h[i - 2] * 0x2545F4914F6CDD1D if i > 1 else 0)
+        mark.append(int(words.mixed(np.array([x % 2**64], np.uint64))[0]))
+    out = [[]]
+    for i, w in enumerate(sentence):
+        if len(out[-1]) == 25:
+            out.append([])
+        out[-1].append(w)
+        if all(mark[i] < mark[j] for j in range(max(0, i - 8), i)) and all(mark[i] <= m for m in mark[i + 1 : i + 9]):
+            out.append([])
+    return [p for p in out if p]
+
+
 def split_sentences(text):
-    """Sentences as lists of words, without the code under test; of at most 25 words here."""
+    """Sentences as lists of words, without the code under test but for the hash of a word."""
     parts = [x.split() for x in re.split(r"(?<=[.!?\n])(?![.!?\n])", text.lower())]
-    return [p for p in parts if p]
+    return [q for p in parts if p for q in pieces(p)]
 
 
-@pytest.mark.parametrize(("min_sentences", "min_words", "across"), [(2, 0, True), (2, 16, True), (3, 25, True), (2, 16, False)])
-def test_spans_match_brute_force(spark, min_sentences, min_words, across):
+@pytest.mark.parametrize(("min_sentences", "min_words", "across", "chance"), [(2, 0, False, None), (2, 0, True, None), (3, 25, False, None), (2, 0, False, 0.001), (2, 0, False, 1e-12)])
+def test_spans_match_brute_force(spark, min_sentences, min_words, across, chance):
     r = random.Random(11)
-    pool = [" ".join(f"p{r.randint(0, 40)}" for _ in range(r.randint(1, 14))) + r.choice([".", "!", "?!"]) for _ in range(60)]
-    texts = [r.choice([" ", "\n"]).join(r.choice(pool) for _ in range(r.randint(1, 25))) for _ in range(60)]
+    pool = [" ".join(f"p{r.randint(0, 40)}" for _ in range(r.choice([1, 3, 7, 14, 40, 90]))) + r.choice([".", "!", "?!"]) for _ in range(60)]
+    texts = [r.choice([" ", "\n"]).join(r.choice(pool) for _ in range(r.randint(1, 12))) for _ in range(60)]
     texts += [texts[3], texts[4].upper(), "One two three. Four five six seven eight nine ten.", "One two three. Four five six seven eight nine ten.", ". ! ?", "a.\n\n b"]
+    split = [split_sentences(t) for t in texts]
+    count = collections.Counter(h % spans.COUNTERS for parts in split for p in parts for h in word_hashes(p))
+    tells = {k: round(256 * float(np.log2((count.total() + spans.COUNTERS - len(count)) / n))) for k, n in count.items()}
+    weigh = lambda parts: sum(tells[h % spans.COUNTERS] for p in parts for h in word_hashes(p)) if chance else sum(map(len, parts))
+    least = 256 * float(np.log2(sum(map(len, split)) / chance)) if chance else min_words
+    weights = {id(p): weigh([p]) for parts in split for p in parts}
     held, gone = collections.defaultdict(list), collections.defaultdict(set)
-    for i, t in enumerate(texts):
-        parts = split_sentences(t)
+    for i, parts in enumerate(split):
         for s in range(len(parts)):
             for e in range(s + min_sentences, len(parts) + 1):
-                if sum(map(len, parts[s:e])) >= min_words:
+                if sum(weights[id(p)] for p in parts[s:e]) >= least:
                     held[tuple(w for p in parts[s:e] for w in p)].append((i, s, e))
     for places in held.values():
         if not across or len({i for i, _, _ in places}) > 1:
             for i, s, e in places[1:]:
                 gone[i] |= set(range(s, e))
-    got = {x.doc_id: (x.n_sentences, x.n_removed) for x in spans.dedup_spans(frame(spark, texts), min_sentences, min_words, across).collect()}
-    assert got == {i: (len(split_sentences(t)), len(gone[i])) for i, t in enumerate(texts)}
+    got = {x.doc_id: (x.n_sentences, x.n_removed) for x in spans.dedup_spans(frame(spark, texts), min_sentences, min_words, across, chance).collect()}
+    assert got == {i: (len(split[i]), len(gone[i])) for i in range(len(texts))}
+    assert any(gone.values())
+
+
+def test_query_removes_short_and_own_repeats(spark, tmp_path):
+    twice = "This passage of eighteen words comes two times. It lies in one document only and nowhere else here now."
+    texts = ["One two three. Four five six seven eight.", "One two three. Four five six seven eight.", f"{twice} Between them. {twice}", None, ""]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in spans.query(spark, str(tmp_path)).collect()}
+    assert [got[i].n_removed for i in range(5)] == [0, 2, 2, 0, 0]
+    assert got[1].kept_sha256 == hashlib.sha256(b"").hexdigest()
 
 
 def test_spans_in_text_without_stops(spark):
