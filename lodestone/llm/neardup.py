@@ -317,60 +317,146 @@ def candidates(met: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return cut(found.groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
 
 
+def shared_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many shingles the sets of each pair share, from bit rows over the shingles that two sets at least hold."""
+    used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    flat, row = np.concatenate([sets[i] for i in used.tolist()]), np.repeat(np.arange(len(used)), [len(sets[i]) for i in used.tolist()])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    fresh = np.append(True, flat[1:] != flat[:-1])
+    column = np.cumsum(fresh) - 1
+    often = np.bincount(column)[column] > 1
+    row, column = row[often], np.unique(column[often], return_inverse=True)[1]
+    out = np.zeros(len(x), np.int64)
+    wide = 1 << 14
+    for first in range(0, int(column.max(initial=-1)) + 1, wide):
+        low, high = np.searchsorted(column, [first, first + wide])
+        bits = np.zeros((len(used), min(wide, -(-(int(column.max()) + 1 - first) // 64) * 64)), bool)
+        bits[row[low:high], column[low:high] - first] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        step = max(1, (1 << 21) // packed.shape[1])
+        for s in range(0, len(x), step):
+            out[s : s + step] += np.bitwise_count(packed[x[s : s + step]] & packed[y[s : s + step]]).sum(1, dtype=np.int64)
+    return out
+
+
+def first_meetings(home: np.ndarray, nodes: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs (x, y) of rows are for their node to check: of the nodes with side 0 that both are in, the one with the smallest key;
+    each cell of a large node's two blocks, where there is none. nodes: the sorted keys of each row's nodes with side 0."""
+    out = np.ones(len(x), bool)
+    if not len(x):
+        return out
+    used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    lists = [np.frombuffer(nodes[i], np.int64) for i in used.tolist()]
+    held = np.zeros((len(used), max(1, max(map(len, lists)))), np.int64)
+    there = np.arange(held.shape[1]) < np.array([len(n) for n in lists])[:, None]
+    held[there] = np.concatenate(lists)
+    step = max(1, (1 << 21) // held.shape[1] ** 2)
+    for s in range(0, len(x), step):
+        left, right = at[: len(x)][s : s + step], at[len(x) :][s : s + step]
+        both = (held[left][:, :, None] == held[right][:, None, :]) & there[left][:, :, None] & there[right][:, None, :]
+        common = both.any(2)
+        first = np.where(common.any(1), held[left, common.argmax(1)], home[x[s : s + step]])
+        out[s : s + step] = first == home[x[s : s + step]]
+    return out
+
+
+class Joined:
+    """Which components links have joined, for whole arrays of them."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def tops(self, x: np.ndarray) -> np.ndarray:
+        while (self.parent != self.parent[self.parent]).any():
+            self.parent = self.parent[self.parent]
+        return self.parent[x]
+
+    def add(self, i: int, j: int) -> bool:
+        for _ in range(2):
+            while self.parent[i] != i:
+                i = int(self.parent[i])
+            i, j = j, i
+        if i != j:
+            self.parent[max(i, j)] = min(i, j)
+        return i != j
+
+
 def joining(met: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b): links of reps (rep, n, sig) on full sets (rep, set) that join the components given by labels (id, component).
 
     Every pair that meets in a node (node, rep, c, side) of more than PARTNERS + 1 members, can be similar and lies in two
-    components counts: it is checked on the full sets, unless links found in the same node already join its components.
-    First the members of such pairs are named, so that sets are sent to the nodes that need them alone.
+    components counts: it is checked on the full sets, in one of the nodes that it meets in, unless links found in the same batch already
+    join its components. First the members of such pairs are named, so that sets are sent to the nodes that need them alone.
     """
     named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("label"))
-    named = cut(named, "named-reps")
+
+    def pack(batches):
+        for b in batches:
+            at = b.column(1).offsets.to_numpy()
+            keys = b.column(1).values.to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([keys[s:e].tobytes() for s, e in zip(at, at[1:])], pa.binary())], names=["rep", "nodes"])
+
+    # a rep is in a few nodes a tree; those whose members all meet (side 0) say which one checks a pair
+    small = map_arrow(met.where("side = 0").groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("nodes")), pack, "rep bigint, nodes binary")
+    named = cut(named.join(small, "rep", "left").withColumn("nodes", F.coalesce("nodes", F.lit(b""))), "named-reps")
 
     def members(batches):
         for rows in nodes_of(batches, 5):
             wanted = np.zeros(len(rows[0]), bool)
             for found in node_pairs(rows, percent):
                 if found is not None:
-                    wanted[found[0]] = wanted[found[1]] = True
+                    own = first_meetings(rows[0], rows[6], found[0], found[1])
+                    wanted[found[0][own]] = wanted[found[1][own]] = True
             if wanted.any():
                 yield pa.RecordBatch.from_arrays([pa.array(rows[k][wanted]) for k in (0, 1, 2, 3)], names=["node", "rep", "side", "n"])
 
     large = met.where(F.col("c") > PARTNERS + 1).select("node", "rep", "side")
-    wanted = cut(map_arrow(by_node(large, named), members, "node bigint, rep bigint, side int, n bigint"), "wanted-members")
+    wanted = cut(map_arrow(by_node(large, named, "nodes"), members, "node bigint, rep bigint, side int, n bigint"), "wanted-members")
     blocks = cut(wanted.groupBy("node").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")), "node-blocks")
-    dealt = wanted.join(blocks, "node")
-    lone = dealt.where("blocks = 1").select("node", "rep", "side")
-    split = in_cells(dealt.where("blocks > 1").select("node", "rep", "blocks")).select("node", "rep", "side")  # sides of a cell within a cell only save work
+    dealt = wanted.join(blocks, "node").withColumn("home", F.col("node"))
+    lone = dealt.where("blocks = 1").select("node", "rep", "side", "home")
+    split = in_cells(dealt.where("blocks > 1").select("node", "rep", "home", "blocks")).select("node", "rep", "side", "home")  # sides of a cell within a cell only save work
 
     def links(batches):
         for rows in nodes_of(batches, 5):
-            rep, label, sets = rows[1], rows[4], [np.frombuffer(x, np.uint64) for x in rows[6]]
-            found = [x for x in node_pairs(rows, percent) if x is not None]
-            x, y, est = (np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-            order = np.lexsort((y, x, -est, rows[0][x])) if len(x) else x
-            root: dict[tuple[int, int], tuple[int, int]] = {}
-
-            def top(at):
-                while at in root:
-                    root[at] = root.get(root[at], root[at])
-                    at = root[at]
-                return at
-
-            a, b = [], []
-            for i, j in zip(x[order].tolist(), y[order].tolist()):
-                p, q = top((rows[0][i], label[i])), top((rows[0][j], label[j]))
-                if p != q:
-                    both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                        root[p] = q
-                        a.append(min(rep[i], rep[j]))
-                        b.append(max(rep[i], rep[j]))
+            rep, sets, nodes, home = rows[1], [np.frombuffer(x, np.uint64) for x in rows[6]], rows[7], np.array(rows[8], np.int64)
+            n, parts, waiting = np.array([len(s) for s in sets]), [], 0
+            _, place = np.unique(np.stack([rows[0], rows[4]], 1), axis=0, return_inverse=True)
+            place, joined, a, b = place.ravel(), Joined(len(sets)), [], []
+
+            def check(parts):
+                x, y, est = (np.concatenate(p) for p in zip(*parts))
+                order = np.lexsort((y, x, -est))
+                x, y = x[order], y[order]
+                for s in range(0, len(x), CHUNK):
+                    i, j = x[s : s + CHUNK], y[s : s + CHUNK]
+                    open_ = joined.tops(place[i]) != joined.tops(place[j])
+                    i, j = i[open_], j[open_]
+                    if not len(i):
+                        continue
+                    both = shared_counts(sets, i, j)
+                    ok = 100 * both >= percent * (n[i] + n[j] - both)
+                    for p, q in zip(i[ok].tolist(), j[ok].tolist()):
+                        if joined.add(int(place[p]), int(place[q])):
+                            a.append(min(rep[p], rep[q]))
+                            b.append(max(rep[p], rep[q]))
+
+            for found in itertools.chain(node_pairs(rows, percent), [None]):
+                if found is not None:
+                    own = first_meetings(home, nodes, found[0], found[1])
+                    parts.append(tuple(f[own] for f in found))
+                    waiting += int(own.sum())
+                if waiting and (found is None or waiting > HELD):
+                    check(parts)
+                    parts, waiting = [], 0
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     held = named.join(sets, "rep")
-    return map_arrow(by_node(lone.unionByName(split), held, "set"), links, "a bigint, b bigint")
+    rows = lone.unionByName(split).join(held, "rep").select("node", "rep", "side", "n", "label", "sig", "set", "nodes", "home").repartition("node").sortWithinPartitions("node")
+    return map_arrow(rows, links, "a bigint, b bigint")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

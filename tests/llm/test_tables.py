@@ -99,7 +99,7 @@ def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_large_nodes_end_in_pivots(spark):
+def test_crowd_in_large_nodes_is_one_component(spark):
     r = random.Random(9)
     base = [f"v{i}" for i in range(60)]
     texts = [" ".join(base[:30] + [f"x{i}"] + base[30:]) for i in range(80)]
@@ -173,6 +173,49 @@ def test_large_nodes_are_compared_whole(spark):
     assert len(together) > 30 and together <= found
 
 
+def test_shared_counts():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, high, n).astype(np.uint64)) for high, n in [(50, 30), (50, 40), (10**9, 300), (400, 1), (40_000, 30_000), (40_000, 30_000)] * 3]
+    x, y = map(np.array, zip(*[(i, j) for i in range(len(sets)) for j in range(i)]))
+    assert neardup.shared_counts(sets, x, y).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y)]
+    lone = [np.array([k], np.uint64) for k in range(3)]
+    assert neardup.shared_counts(lone, np.array([0, 1]), np.array([1, 2])).tolist() == [0, 0]
+
+
+def test_a_pair_is_checked_in_one_of_its_nodes():
+    r = random.Random(6)
+    member = {i: sorted({r.randint(-5, 5) for _ in range(r.randint(0, 5))}) for i in range(30)}
+    checked = collections.Counter()
+    packed = {i: np.array(n, np.int64).tobytes() for i, n in member.items()}
+    for node in range(-5, 6):
+        inside = [i for i in member if node in member[i]]
+        x, y = (np.array([p[k] for p in [(i, j) for i in range(len(inside)) for j in range(i)]], np.int64) for k in (0, 1))
+        own = neardup.first_meetings(np.full(len(inside), node), [packed[i] for i in inside], x, y)
+        checked.update((inside[i], inside[j]) for i, j in zip(x[own], y[own]))
+    assert set(checked) == {(i, j) for i in member for j in range(i) if set(member[i]) & set(member[j])} and set(checked.values()) == {1}
+    cell = neardup.first_meetings(np.full(2, 99), [packed[0], np.array([77], np.int64).tobytes()], np.array([0]), np.array([1]))
+    assert cell.tolist() == [True]  # a cell of a large node, where they share no small one
+
+
+@pytest.mark.parametrize("small", [8, 4096])
+def test_a_crowd_under_the_threshold_with_a_few_links(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup.meetings, "__defaults__", (neardup.TREES, 3, small))
+    r = random.Random(8)
+    base, texts = [f"v{i}" for i in range(200)], []
+    for k in range(70):  # 0.84 alike, and every seventh has a close copy
+        own = list(base)
+        for f in range(4):
+            own[20 + 40 * f] = f"o{k}-{f}"
+        texts.append(" ".join(own))
+        if k % 7 == 0:
+            own[r.randrange(200)] = "changed"
+            texts.append(" ".join(own))
+    _, label = brute_components(texts, 85)
+    assert 50 < len(set(label)) < len(texts)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(frame(spark, texts), 85).collect()}
+    assert got == dict(enumerate(label))
+
+
 def nodes(met):
     held = collections.defaultdict(list)
     for x in met.collect():
