@@ -59,7 +59,7 @@ def header_text(c: Column) -> Column:
 def strip_markup(c: Column) -> Column:
     """HTML without comments, scripts, styles and tags; the common entities resolved."""
     bare = F.regexp_replace(F.regexp_replace(c, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(sign))
     return bare
 

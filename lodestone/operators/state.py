@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import collapse, sha256_hex
 from lodestone.operators.common import best_per_key, norm_limit, paged, sorted_set
 from lodestone.plans.fixpoint import reachable, written
 from lodestone.plans.views import Views
@@ -230,6 +231,18 @@ def resolved_identity(v: Views, identity: str, limit: int | None = None) -> Data
     return paged(d, [F.col("digest")], limit)
 
 
+def subject_identity(text) -> F.Column:
+    """The id that a message without one gets: a hash of its subject, the whole first line, in lower case and with white space collapsed."""
+    return sha256_hex(collapse(F.lower(F.get(F.split(F.coalesce(text, F.lit("")), "\n", 2), F.lit(0)))))
+
+
+def identity_of(v: Views, doc_id: int, limit: int | None = None) -> DataFrame:
+    """digest, total_count: the distinct objects with the identity of a given one, a page of them in order."""
+    d = v.table("documents").select("doc_id", subject_identity(F.col("text")).alias("identity"), v.digest(F.col("text")).alias("digest"))
+    asked = d.where(F.col("doc_id") == doc_id).select("identity").distinct()
+    return paged(d.join(asked, "identity", "left_semi").select("digest").distinct(), [F.col("digest")], limit)
+
+
 class Registry:
     """Analyzers by name and version; a name without either, or both twice, is an error."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.chunks import chunk_table
 from lodestone.functions.text import body_fingerprint
 from lodestone.operators.common import best_per_key, sorted_set
+from lodestone.operators.state import subject_identity
 from lodestone.plans.views import Views
 
 HOUR = 3600
@@ -89,8 +90,11 @@ def source_lookup(v: Views) -> DataFrame:
 
 
 def import_decisions(v: Views) -> DataFrame:
-    """doc_id, decision in the order of arrival (a text without a beginning in letters is a message of its own): canonical, id_duplicate, variant_minor or variant_major, and promoted."""
-    d = v.table("documents").select("doc_id", F.coalesce(F.nullif(F.regexp_replace(F.lower(F.substring("text", 1, 60)), "[^a-z]", ""), F.lit("")), F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("message"), body_fingerprint("text").alias("body"), "lang", F.length("text").alias("size"))
+    """doc_id, decision in the order of arrival: canonical, id_duplicate, variant_minor or variant_major, and promoted. Messages are
+    known by their subject, the whole first line; one without letters is a message of its own."""
+    first_line = F.lower(F.get(F.split("text", "\n", 2), F.lit(0)))
+    message = F.when(first_line.rlike("[a-z]"), subject_identity(F.col("text"))).otherwise(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    d = v.table("documents").select("doc_id", message.alias("message"), body_fingerprint("text").alias("body"), "lang", F.length("text").alias("size"))
     w = W.partitionBy("message").orderBy("doc_id")
     first = d.withColumn("first_body", F.first("body").over(w)).withColumn("first_lang", F.first("lang").over(w)).withColumn("rn", F.row_number().over(w)).withColumn("longest", F.max("size").over(w.rowsBetween(W.unboundedPreceding, -1)))
     first = first.withColumn("seen", F.row_number().over(W.partitionBy("message", "body").orderBy("doc_id")) > 1)

@@ -14,7 +14,7 @@ QUERIES = {
 }
 _RECIPES = "rc AS (SELECT o_orderkey AS recipe, epoch(o_orderdate) AS updated, o_orderstatus <> 'F' AS has_manifest, o_orderkey % 17 = 0 AS annotation, l_partkey AS chunk, CAST(l_quantity AS BIGINT) AS bytes FROM orders JOIN lineitem ON l_orderkey = o_orderkey), gc AS (SELECT chunk, CASE WHEN bool_or(live) THEN 'live' ELSE 'dead' END AS state, count(*) FILTER (WHERE NOT live) AS orphan_refs FROM (SELECT *, has_manifest OR annotation OR updated >= (SELECT max(epoch(o_orderdate)) FROM orders) - 900 AS live FROM rc) GROUP BY chunk)"
 _BODY = r"sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\r\x0b\x0c]+', ' ', 'g'))), lambda x: x <> ''), chr(10)))"
-_DECISIONS = f"""d AS (SELECT doc_id, coalesce(nullif(regexp_replace(lower(left(text, 60)), '[^a-z]', '', 'g'), ''), 'doc:' || doc_id) AS message, {_BODY} AS body, lang, length(text) AS size FROM documents),
+_DECISIONS = f"""d AS (SELECT doc_id, CASE WHEN regexp_matches(lower(split_part(text, chr(10), 1)), '[a-z]') THEN sha256(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g'))) ELSE 'doc:' || doc_id END AS message, {_BODY} AS body, lang, length(text) AS size FROM documents),
 f AS (SELECT *, row_number() OVER w AS rn, first(lang) OVER w AS first_lang, max(size) OVER (PARTITION BY message ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longest, row_number() OVER (PARTITION BY message, body ORDER BY doc_id) > 1 AS seen FROM d WINDOW w AS (PARTITION BY message ORDER BY doc_id)),
 r AS (SELECT doc_id, CASE WHEN rn = 1 THEN 'canonical' WHEN seen THEN 'id_duplicate' WHEN lang IS NOT DISTINCT FROM first_lang THEN 'variant_minor' ELSE 'variant_major' END AS decision, rn > 1 AND NOT seen AND size > longest AS promoted FROM f)"""
 SQL = {
