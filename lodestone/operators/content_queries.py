@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import structured as st
-from lodestone.operators import job_queries, state, state_queries
+from lodestone.operators import job_queries, state, state_queries, store_verify
 from lodestone.plans import change_index
 from lodestone.plans.fixpoint import shared_dir
 from lodestone.plans.views import Views
@@ -76,7 +76,7 @@ def _streamed(kind: str):
 _q = lambda f, *a: lambda spark, sf_dir: f(Views(spark, sf_dir), *a)
 QUERIES = {
     "object_text": _q(object_text), "text_headers": _q(text_headers), "turn_patches": _q(turn_patches), "page_mailboxes": _q(page_mailboxes), "json_texts": _q(json_texts),
-    "identity_of_message": _q(state.identity_of, 0), "changed_by_index": _q(changed_by_index, "2024-01-15 00:00:00"), "paged_pull": _q(pulled),
+    "identity_of_message": _q(state.identity_of, 0), "changed_by_index": _q(changed_by_index, "2024-01-15 00:00:00"), "paged_pull": _q(pulled), "store_findings": _q(store_verify.store_findings),
     "stream_retry_schedule": _streamed("retries"), "stream_breaker_state": _streamed("breakers"), "stream_claims": _streamed("claims"),
 }
 
@@ -108,4 +108,4 @@ SELECT page_id, coalesce(nullif(regexp_extract(regexp_extract(p, '^(.*)/[^/]*$',
     "paged_pull": "SELECT 'turn:' || conv_id || ':' || turn AS message_id, CAST(conv_id AS BIGINT) AS thread_id, sha256(coalesce(text, '')) AS sha256 FROM conversations",
 }
 _j, _s = job_queries.SQL, state_queries.SQL
-SQL |= {"stream_retry_schedule": _j["retry_schedule"], "stream_claims": _s["ingest_claims"]}
+SQL |= {"stream_retry_schedule": _j["retry_schedule"], "stream_claims": _s["ingest_claims"]} | store_verify.SQL
