@@ -19,6 +19,8 @@ from lodestone.llm.common import cut, joined_bytes, map_arrow, slices, table
 
 BLOCK = 4096
 PAD = 64
+#: Samples that the encoder's linear predictors look back, and the bits of their coefficients.
+ORDER, PRECISION = 8, 12
 GROUP_BYTES = 1 << 20
 
 # Fixed values of the format: polynomials of the frame checksums and the codes of header fields.
@@ -83,8 +85,41 @@ def zigzag(x: np.ndarray) -> np.ndarray:
     return ((x << 1) ^ (x >> 15)).astype(np.uint16)
 
 
+def predictors(x: np.ndarray, within: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients in PRECISION bits, shift) of a linear predictor of ORDER samples for each frame, by Levinson's recursion on its autocorrelation."""
+    v = x.astype(np.float64)
+    lags = [np.add.reduceat(v * v, starts)]
+    for j in range(1, ORDER + 1):
+        product = np.zeros_like(v)
+        product[j:] = v[j:] * v[:-j]
+        product[within < j] = 0
+        lags.append(np.add.reduceat(product, starts))
+    r = np.stack(lags, 1)
+    c, error = np.zeros((len(sizes), ORDER)), np.maximum(r[:, 0], 1e-9) * (1 + 1e-9)
+    for i in range(ORDER):
+        reflect = (r[:, i + 1] - (c[:, :i] * r[:, i:0:-1]).sum(1)) / error
+        c[:, :i], c[:, i] = c[:, :i] - reflect[:, None] * c[:, :i][:, ::-1], reflect
+        error = np.maximum(error * (1 - reflect * reflect), 1e-9)
+    top = np.maximum(np.abs(c).max(1), 1e-9)
+    shift = np.clip(PRECISION - 1 - np.ceil(np.log2(top)).astype(np.int64), 0, 15)
+    most = (1 << (PRECISION - 1)) - 1
+    return np.clip(np.round(c * (1 << shift)[:, None]), -most, most).astype(np.int64), shift
+
+
+def rice_cost(z: np.ndarray, totals: np.ndarray, counted: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Rice parameter, bits) of each frame's residuals."""
+    best = np.floor(np.log2(totals / counted + 1)).astype(np.int64)
+    k, most = None, None
+    for guess in (best, best - 1):
+        guess = np.clip(guess, 0, 14)
+        bits = np.add.reduceat(z >> np.repeat(guess, sizes).astype(np.uint16), starts, dtype=np.int64) + counted * (guess + 1)
+        k, most = (guess, bits) if k is None else (np.where(bits < most, guess, k), np.minimum(bits, most))
+    return k, most
+
+
 def encode_frames(data: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> list[bytes]:
-    """Frames of consecutive stretches of unsigned bytes (sample = byte - 128), each constant, verbatim or fixed order 0 to 2 with one Rice partition."""
+    """Frames of consecutive stretches of unsigned bytes (sample = byte - 128), each constant, verbatim, of fixed order 0 to 2, or of a
+    linear predictor, whichever is shortest, with one Rice partition."""
     n = len(sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     signed = data ^ 0x80
@@ -104,15 +139,25 @@ def encode_frames(data: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> l
         if (order == o).any():
             z = np.where(np.repeat(order == o, sizes), coded[o], z)
     counted = np.maximum(1, sizes - order)
-    warm = within < np.repeat(order, sizes)
-    z[warm] = 0
-    best = np.floor(np.log2(totals[order, np.arange(n)] / counted + 1)).astype(np.int64)
-    k, most = None, None
-    for guess in (best, best - 1):
-        guess = np.clip(guess, 0, 14)
-        bits = np.add.reduceat(z >> np.repeat(guess, sizes).astype(np.uint16), starts, dtype=np.int64) + counted * (guess + 1)
-        k, most = (guess, bits) if k is None else (np.where(bits < most, guess, k), np.minimum(bits, most))
+    z[within < np.repeat(order, sizes)] = 0
+    k, most = rice_cost(z, totals[order, np.arange(n)], counted, starts, sizes)
     rice_bits = most + 18 + 8 * order
+
+    weights, shift = predictors(x, within, starts, sizes)
+    guess = np.zeros(len(x), np.int32)
+    for j in range(ORDER):
+        guess[j + 1 :] += np.repeat(weights[:, j].astype(np.int32), sizes)[j + 1 :] * x[: -j - 1]
+    left = x - (guess >> np.repeat(shift, sizes).astype(np.int32))
+    left[within < ORDER] = 0
+    fits = (sizes > 4 * ORDER) & (np.maximum.reduceat(np.abs(left), starts) < 1 << 14)
+    y = zigzag(left.astype(np.int16))
+    ky, bits_y = rice_cost(y, np.add.reduceat(y, starts, dtype=np.int64), np.maximum(1, sizes - ORDER), starts, sizes)
+    extra = 9 + PRECISION * ORDER
+    linear = fits & ~constant & (bits_y + 18 + 8 * ORDER + extra < np.minimum(rice_bits, 8 * sizes + 8))
+    extra = np.where(linear, extra, 0)
+    order = np.where(linear, ORDER, order)
+    k, rice_bits = np.where(linear, ky, k), np.where(linear, bits_y + 18 + 8 * ORDER + extra, rice_bits)
+    z = np.where(np.repeat(linear, sizes), y, z)
     plain = ~constant & (rice_bits >= 8 * sizes + 8)
     rice = ~constant & ~plain
     order = np.where(rice, order, 0)
@@ -122,7 +167,13 @@ def encode_frames(data: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> l
     ends = np.cumsum(head_sizes + body + 2)
     begins = ends - head_sizes - body - 2
     bits = np.zeros(int(ends[-1]) * 8, np.uint8)
-    codes_at = (begins + head_sizes) * 8 + 18 + 8 * order
+    codes_at = (begins + head_sizes) * 8 + 18 + 8 * order + extra
+    at = ((begins + head_sizes) * 8 + 8 + 8 * ORDER)[linear]  # behind the first samples: precision, shift, coefficients
+    fields = [(np.full(len(at), PRECISION - 1), 4), (shift[linear], 5), *[(weights[linear, j], PRECISION) for j in range(ORDER)]]
+    for value, wide in fields:
+        for j in range(wide):
+            bits[at + j] = (value >> (wide - 1 - j)) & 1
+        at = at + wide
     for j in range(4):
         bits[(codes_at - 4 + j)[rice]] = (k[rice] >> (3 - j)) & 1
     use = np.repeat(rice, sizes) & (within >= np.repeat(order, sizes))
@@ -153,7 +204,7 @@ def encode_frames(data: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> l
             out[b + h + 1 : b + h + 1 + size] = signed[s : s + size]
         else:
             o = int(order[i])
-            out[b + h] = (0x08 | o) << 1
+            out[b + h] = (0x20 | (o - 1)) << 1 if linear[i] else (0x08 | o) << 1
             out[b + h + 1 : b + h + 1 + o] = signed[s : s + o]
     crc = crc16_of(out, begins, ends - 2)
     out[ends - 2], out[ends - 1] = crc >> 8, crc & 0xFF
@@ -570,8 +621,10 @@ def block_digests(stored: DataFrame) -> DataFrame:
                     raise Corrupt("stored blocks miss the stream's checksum")
                 x = raw.view(np.int8).astype(np.int64)
                 payload = (raw ^ 0x80).tobytes()
+                lead = s + int(np.searchsorted(first[s:e], len(raw) - PAD, "right")) - 1  # the block that the last samples begin in, by its offset
+                tail = data[edges[lead] + len(raw) - PAD - first[lead] : edges[e]] ^ 0x80
                 feature = f"n={len(x)};peak={int(np.abs(x).max())};square={int((x * x).sum())};cross={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(tail.tobytes()), len(raw), hashlib.sha256(raw).hexdigest(), feature))
             out = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, k) for x, k in zip(out, kinds)], b.column(2), b.column(3)], names=names)

@@ -144,3 +144,28 @@ def test_stored_damage_is_found(spark):
 def test_null_media_and_other_columns(spark):
     media = spark.createDataFrame([(1, None, "t")], "doc_id bigint, media binary, pcm string")
     assert flac.pcm_blocks(flac.stored_blocks(media)).count() == 0
+
+
+def test_streams_of_the_query_hold_linear_predictors(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    linear = frames = plain = coded = 0
+    for r in flac.encode_documents(docs).where("n_bytes > 2000").limit(40).collect():
+        info, ranges = flac.split_stream(bytes(r.media))
+        samples = sum(1 for _ in ranges)
+        for i, (s, e) in enumerate(ranges):
+            size = min(flac.BLOCK, -(-r.n_bytes // flac.PAD) * flac.PAD - i * flac.BLOCK)
+            kind = r.media[s + len(flac.frame_header(i, size))] >> 1
+            linear += kind >= 0x20
+            frames += 1
+            plain, coded = plain + size, coded + e - s
+        assert samples
+    assert linear > 0.5 * frames and coded < 0.96 * plain
+
+
+def test_predictors_are_bounded():
+    r = np.random.default_rng(3)
+    wave = (100 * np.sin(np.arange(6000) / 9)).astype(np.int8).view(np.uint8) ^ 0x80
+    loud = r.choice([0, 255], 6000).astype(np.uint8)
+    payloads = [wave.tobytes(), loud.tobytes(), np.tile([0, 255, 255, 0, 128], 1500).astype(np.uint8).tobytes(), bytes([5] * 40), np.repeat([0, 255], 4000).astype(np.uint8).tobytes()]
+    streams = flac.encode_all(payloads)
+    assert back(streams) == payloads and len(streams[0]) < 0.5 * len(payloads[0])
