@@ -343,12 +343,12 @@ def shared_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
 
 def first_meetings(home: np.ndarray, nodes: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which pairs (x, y) of rows are for their node to check: of the nodes with side 0 that both are in, the one with the smallest key;
-    each cell of a large node's two blocks, where there is none. nodes: the sorted keys of each row's nodes with side 0."""
+    each cell of a large node's two blocks, where there is none. nodes: the sorted keys of each row's nodes with side 0, 8 bytes each."""
     out = np.ones(len(x), bool)
     if not len(x):
         return out
     used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-    lists = [np.frombuffer(nodes[i], np.int64) for i in used.tolist()]
+    lists = [np.frombuffer(nodes[i], ">i8") for i in used.tolist()]
     held = np.zeros((len(used), max(1, max(map(len, lists)))), np.int64)
     there = np.arange(held.shape[1]) < np.array([len(n) for n in lists])[:, None]
     held[there] = np.concatenate(lists)
@@ -392,14 +392,9 @@ def joining(met: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame,
     """
     named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("label"))
 
-    def pack(batches):
-        for b in batches:
-            at = b.column(1).offsets.to_numpy()
-            keys = b.column(1).values.to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([keys[s:e].tobytes() for s, e in zip(at, at[1:])], pa.binary())], names=["rep", "nodes"])
-
-    # a rep is in a few nodes a tree; those whose members all meet (side 0) say which one checks a pair
-    small = map_arrow(met.where("side = 0").groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("nodes")), pack, "rep bigint, nodes binary")
+    # a rep is in a few nodes a tree; those whose members all meet (side 0) say which one checks a pair, as 8 bytes each
+    keys = F.transform(F.sort_array(F.collect_set("node")), lambda x: F.lpad(F.hex(x), 16, "0"))
+    small = met.where(f"side = 0 and c > {PARTNERS + 1}").groupBy("rep").agg(F.unhex(F.array_join(keys, "")).alias("nodes"))
     named = cut(named.join(small, "rep", "left").withColumn("nodes", F.coalesce("nodes", F.lit(b""))), "named-reps")
 
     def members(batches):

@@ -186,14 +186,14 @@ def test_a_pair_is_checked_in_one_of_its_nodes():
     r = random.Random(6)
     member = {i: sorted({r.randint(-5, 5) for _ in range(r.randint(0, 5))}) for i in range(30)}
     checked = collections.Counter()
-    packed = {i: np.array(n, np.int64).tobytes() for i, n in member.items()}
+    packed = {i: np.array(n, ">i8").tobytes() for i, n in member.items()}
     for node in range(-5, 6):
         inside = [i for i in member if node in member[i]]
         x, y = (np.array([p[k] for p in [(i, j) for i in range(len(inside)) for j in range(i)]], np.int64) for k in (0, 1))
         own = neardup.first_meetings(np.full(len(inside), node), [packed[i] for i in inside], x, y)
         checked.update((inside[i], inside[j]) for i, j in zip(x[own], y[own]))
     assert set(checked) == {(i, j) for i in member for j in range(i) if set(member[i]) & set(member[j])} and set(checked.values()) == {1}
-    cell = neardup.first_meetings(np.full(2, 99), [packed[0], np.array([77], np.int64).tobytes()], np.array([0]), np.array([1]))
+    cell = neardup.first_meetings(np.full(2, 99), [packed[0], np.array([77], ">i8").tobytes()], np.array([0]), np.array([1]))
     assert cell.tolist() == [True]  # a cell of a large node, where they share no small one
 
 
