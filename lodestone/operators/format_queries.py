@@ -52,6 +52,21 @@ def _csvs(s, d):
     return f.contact_facts(p.select(F.concat_ws("-", "c_mktsegment", F.concat(F.col("part").cast("string"), F.lit(".csv"))).alias("path"), text.cast("binary").alias("content")), "csv")
 
 
+#: Header and row of a table of each dialect; {0} is the family name, {1} the address.
+_TABLES = (
+    ("linkedin-connections", "First Name,Last Name,Email Address,Connected On", "Person,{0},{1},2020"), ("google-contacts", "Name,Given Name,Family Name,E-mail 1 - Value,Shoe", "Person {0},Person,{0},{1},"),
+    ("outlook-contacts", "First Name;Last Name;E-mail Address;Home Street", "Person;{0};{1};Road"), ("yahoo-contacts", "First\tLast\tEmail", "Person\t{0}\t{1}"), ("simple-name-email", "First Name,Last Name,Email", "Person,{0},{1}"), ("linkedin-section", "Skill Name", "{0}"),
+)
+
+
+def _dialects(s, d):
+    dialect = lambda i: F.element_at(F.array(*[F.lit(t[i]) for t in _TABLES]), (F.col("c_custkey") % len(_TABLES) + 1).cast("int"))
+    row = F.replace(F.replace(dialect(2), F.lit("{0}"), F.col("c_name")), F.lit("{1}"), F.concat(F.lit("P"), F.col("c_custkey").cast("string"), F.lit("@Mail.example")))
+    p = _people(s, d).select(F.concat_ws("-", dialect(0), F.expr("c_custkey div 600").cast("string")).alias("path"), dialect(1).alias("header"), "c_custkey", row.alias("row"))
+    p = p.groupBy("path").agg(F.first("header").alias("header"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "row"))), lambda x: x["row"]), "\n").alias("body"))
+    return f.dialect_facts(p.select("path", F.concat_ws("\n", "header", "body").cast("binary").alias("content")))
+
+
 def _rdf(s, d):
     p = _people(s, d)
     text = F.concat(F.lit("@prefix foaf: <http://xmlns.com/foaf/0.1/> .\n<urn:c"), F.col("c_custkey").cast("string"), F.lit("> a foaf:Person ; foaf:name \""), F.col("c_name"), F.lit("\"@en , \"Other\" ; foaf:mbox <mailto:p"), F.col("c_custkey").cast("string"), F.lit("@mail.example> .\n<< <urn:c"), F.col("c_custkey").cast("string"), F.lit("> foaf:name \"Other\" >> <urn:hasEnd> \"2004-06-30\" .\n"))
@@ -87,12 +102,18 @@ QUERIES = {
     "mail_participants": _participants,
     "vcard_parse": _vcards,
     "csv_contacts": _csvs,
+    "csv_dialects": _dialects,
     "rdf_parse": _rdf,
     "contact_export": _export,
 }
 SQL = {
     "mail_participants": """WITH e AS (SELECT 'mail/box-' || conv_id || '.mbox#' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS external_id, role AS r FROM conversations)
 SELECT external_id, role, CAST(ordinal AS INTEGER) AS ordinal, token, sha256(token) AS token_hash, display FROM (SELECT external_id, 'from' AS role, 0 AS ordinal, r || '@mail.example' AS token, r AS display FROM e UNION ALL SELECT external_id, 'to', 0, 'all@mail.example', 'All' FROM e UNION ALL SELECT external_id, 'to', 1, 'second@mail.example', '' FROM e)""",
+    "csv_dialects": """WITH p AS (SELECT ['linkedin-connections', 'google-contacts', 'outlook-contacts', 'yahoo-contacts', 'simple-name-email', 'linkedin-section'][CAST(c_custkey % 6 AS INTEGER) + 1] AS dialect, c_custkey, c_name, c_custkey // 600 AS part FROM customer),
+q AS (SELECT dialect || '-' || part AS path, dialect, 'row-' || (row_number() OVER (PARTITION BY dialect, part ORDER BY c_custkey) - 1) AS record, c_name, c_custkey FROM p)
+SELECT DISTINCT path, '' AS record, 'dialect' AS kind, dialect AS value FROM q UNION ALL SELECT DISTINCT path, '', 'unmapped', 'Shoe' FROM q WHERE dialect = 'google-contacts'
+UNION ALL SELECT path, record, 'name', 'Person ' || c_name FROM q WHERE dialect <> 'linkedin-section' UNION ALL SELECT path, record, 'email', 'p' || c_custkey || '@mail.example' FROM q WHERE dialect <> 'linkedin-section'
+UNION ALL SELECT path, record, 'note', '2020' FROM q WHERE dialect = 'linkedin-connections' UNION ALL SELECT path, record, 'address', 'Road' FROM q WHERE dialect = 'outlook-contacts' UNION ALL SELECT path, record, 'expertise', c_name FROM q WHERE dialect = 'linkedin-section'""",
     "csv_contacts": """WITH p AS (SELECT c_mktsegment || '-' || (c_custkey // 200) || '.csv' AS path, 'row-' || (row_number() OVER (PARTITION BY c_mktsegment, c_custkey // 200 ORDER BY c_custkey) - 1) AS record, c_name, c_custkey FROM customer)
 SELECT path, record, 'name' AS kind, 'Person ' || c_name AS value FROM p UNION ALL SELECT path, record, 'email', 'p' || c_custkey || '@mail.example' FROM p UNION ALL SELECT path, record, 'affiliation', 'Works' FROM p""",
     "vcard_parse": """WITH p AS (SELECT 'c' || c_custkey AS record, c_name, c_mktsegment, c_custkey FROM customer)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import contact_formats, mail, rdf
+from lodestone.functions import contact_csv, contact_formats, mail, rdf
 
 MEDIA = {"eml": "message/rfc822", "mbox": "application/mbox", "html": "text/html", "htm": "text/html", "txt": "text/plain", "md": "text/markdown", "json": "application/json", "ttl": "text/turtle", "vcf": "text/vcard", "csv": "text/csv", "ged": "text/vnd.familysearch.gedcom", "pdf": "application/pdf"}
 SKIPPED = r"/(tmp|\.git)/|/(\.overview|\.marks|active|\.mh_sequences)$"
@@ -85,6 +85,18 @@ def contact_facts(df: DataFrame, fmt: str) -> DataFrame:
     return _mapped(df, read, "path string, record string, kind string, value string")
 
 
+def dialect_facts(df: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    """path, record, kind, value of contact tables in any dialect of contact_csv, with what each file's rows and columns were rejected for."""
+
+    def read(path, content):
+        try:
+            yield from ((path, *f) for f in contact_csv.read_dialect(contact_formats.decode(content), columns))
+        except ValueError as e:
+            yield path, "", "finding", str(e)
+
+    return _mapped(df, read, "path string, record string, kind string, value string")
+
+
 def rdf_rows(df: DataFrame) -> DataFrame:
     """path, ord, subject, predicate, object, object_kind, lang, statement_hash, note (annotation's predicate and value, or empty)."""
 
