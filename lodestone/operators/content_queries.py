@@ -9,12 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import structured as st
+from lodestone.functions.text import body_fingerprint
 from lodestone.operators import job_queries, state, state_queries, store_verify
 from lodestone.plans import change_index
 from lodestone.plans.fixpoint import shared_dir
 from lodestone.plans.views import Views
 from lodestone.sources import paged
 from lodestone.streaming import pipeline, stateful
+from lodestone.streaming.import_queue import Queue
 
 
 def object_text(v: Views) -> DataFrame:
@@ -69,6 +71,16 @@ def pulled(v: Views) -> DataFrame:
     return paged.pull(v.spark, f"{base}/service", f"{base}/pulled").select("message_id", "thread_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256"))
 
 
+def imported(v: Views) -> DataFrame:
+    """item, status, attempts, outcome of all documents through an import queue in three batches; the outcome is a text's body fingerprint,
+    and empty texts fail until they are dead."""
+    d = v.table("documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("item"), F.col("doc_id").alias("ord"), "text")
+    queue = Queue(v.spark, f"{shared_dir(v.spark)}/lodestone-queue-{uuid.uuid4().hex}")
+    queue.discover(d)
+    fingerprints = lambda taken: taken.select("item").join(d.where("coalesce(text, '') != ''"), "item").select("item", body_fingerprint("text").alias("outcome"))
+    return queue.run(fingerprints, batch=max(1, -(-d.count() // 3))).select("item", "status", "attempts", "outcome")
+
+
 def _streamed(kind: str):
     return lambda s, d: stateful.run_stateful(pipeline.changes(s, d), kind, f"{shared_dir(s)}/lodestone-stream-{uuid.uuid4().hex}")
 
@@ -76,7 +88,7 @@ def _streamed(kind: str):
 _q = lambda f, *a: lambda spark, sf_dir: f(Views(spark, sf_dir), *a)
 QUERIES = {
     "object_text": _q(object_text), "text_headers": _q(text_headers), "turn_patches": _q(turn_patches), "page_mailboxes": _q(page_mailboxes), "json_texts": _q(json_texts),
-    "identity_of_message": _q(state.identity_of, 0), "changed_by_index": _q(changed_by_index, "2024-01-15 00:00:00"), "paged_pull": _q(pulled), "store_findings": _q(store_verify.store_findings),
+    "identity_of_message": _q(state.identity_of, 0), "changed_by_index": _q(changed_by_index, "2024-01-15 00:00:00"), "paged_pull": _q(pulled), "import_queue_run": _q(imported), "store_findings": _q(store_verify.store_findings),
     "stream_retry_schedule": _streamed("retries"), "stream_breaker_state": _streamed("breakers"), "stream_claims": _streamed("claims"),
 }
 
@@ -85,6 +97,7 @@ _BARE = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<sc
 for _e, _s in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _BARE = f"replace({_BARE}, '{_e}', '{_s}')"
 _BODY = r"CASE WHEN regexp_matches(text, '\r?\n\r?\n') THEN substring(text, length(regexp_extract(text, '(?s)^(.*?)\r?\n\r?\n', 1)) + 1) ELSE coalesce(text, '') END"
+_FINGERPRINT = r"sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\r\x0b\x0c]+', ' ', 'g'))), lambda x: x <> ''), chr(10)))"
 _FIRST = "sha256(trim(regexp_replace(lower(split_part(coalesce(text, ''), chr(10), 1)), '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g')))"
 SQL = {
     "object_text": f"""SELECT id, length(t) AS n_chars, sha256(t) AS sha256 FROM (
@@ -104,6 +117,7 @@ SELECT page_id, coalesce(nullif(regexp_extract(regexp_extract(p, '^(.*)/[^/]*$',
   CASE WHEN page_id % 3 > 0 THEN p || '#' || (page_id % 3) ELSE p END AS external_id FROM p""",
     "json_texts": r"""SELECT doc_id, sha256(replace(coalesce(text, ''), chr(0), '') || '\u0000') AS sha256 FROM documents""",
     "identity_of_message": f"WITH d AS (SELECT DISTINCT sha256(coalesce(text, '')) AS digest FROM documents WHERE {_FIRST} IN (SELECT {_FIRST} FROM documents WHERE doc_id = 0)) SELECT digest, (SELECT count(*) FROM d) AS total_count FROM d ORDER BY digest LIMIT 50",
+    "import_queue_run": f"""SELECT 'doc:' || doc_id AS item, CASE WHEN coalesce(text, '') = '' THEN 'dead' ELSE 'done' END AS status, CASE WHEN coalesce(text, '') = '' THEN 3 ELSE 1 END AS attempts, CASE WHEN coalesce(text, '') <> '' THEN {_FINGERPRINT} END AS outcome FROM documents""",
     "changed_by_index": "SELECT user_id, max(ts) AS changed_at FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-15 00:00:00'",
     "paged_pull": "SELECT 'turn:' || conv_id || ':' || turn AS message_id, CAST(conv_id AS BIGINT) AS thread_id, sha256(coalesce(text, '')) AS sha256 FROM conversations",
 }
