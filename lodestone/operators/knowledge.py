@@ -69,8 +69,8 @@ def selected(s: DataFrame, policy: DataFrame) -> DataFrame:
     return rule(named, "explicit").unionByName(rule(roots, "inferred")).unionByName(rule(rest, "typed"))
 
 
-def facts(s: DataFrame, contacts: DataFrame) -> DataFrame:
-    """source, contact, kind, value, predicate, historical of the contacts (source, contact).
+def facts(s: DataFrame, contacts: DataFrame, *more: str) -> DataFrame:
+    """source, contact, kind, value, predicate, historical (and more columns of s) of the contacts (source, contact).
 
     Literals of a linked address, place or name node belong to the contact that links it; those of a name that is not to be
     displayed are left out. Mail addresses are normalised and dropped where they are none, other values trimmed, blank ones dropped.
@@ -84,7 +84,32 @@ def facts(s: DataFrame, contacts: DataFrame) -> DataFrame:
     rows = rows.join(owners, ["source", "subject"]).join(hidden, ["source", "subject"], "left_anti")
     address = email(F.col("object"))
     value = F.when(F.col("kind") == "email", F.when(address.rlike("^.+@[^@]+$"), address).otherwise("")).otherwise(F.trim("object"))
-    return rows.select("source", F.col("owner").alias("contact"), "kind", value.alias("value"), "predicate", "historical").where("value <> ''")
+    return rows.select("source", F.col("owner").alias("contact"), "kind", value.alias("value"), "predicate", "historical", *more).where("value <> ''")
+
+
+def annotations(s: DataFrame) -> DataFrame:
+    """source, subject, predicate, object, ord, note, note_value: when addresses and employers of some customers held, in the order in which it was said."""
+    k = F.regexp_extract("subject", "([0-9]+)$", 1).cast("bigint")
+    row = lambda i, name, value, when: F.when(when, F.struct(F.lit(i).alias("ord"), F.lit(vo.iri(name)).alias("note"), F.lit(value).alias("note_value")))
+    notes = F.array(row(2, "own:validFrom", "2001", k % 5 == 0), row(1, "time:hasBeginning", "1999", k % 5 < 2), row(3, "own:validUntil", "2010", k % 10 == 0), row(4, "own:displayable", "2020", F.lit(True)))
+    return s.where(F.col("predicate").isin(vo.iri("foaf:mbox"), vo.iri("schema:worksFor"))).select("source", "subject", "predicate", "object", F.inline(F.filter(notes, lambda x: x.isNotNull())))
+
+
+def timed_facts(s: DataFrame, contacts: DataFrame, notes: DataFrame) -> DataFrame:
+    """source, contact, kind, value, predicate, historical, valid_from, valid_until of the contacts' facts, the strongest of equal ones.
+
+    notes are annotations of statements: source, subject, predicate, object name the statement, note and note_value say something of it,
+    ord in which order. A note that ends in hasBeginning or validFrom gives the begin, in hasEnd or validUntil the end; the last one
+    counts. Of facts of a contact that are equal in kind and value one with an end goes first, then one with a begin, then one
+    that is not historical, then by predicate and source. Statements without notes hold at any time ('').
+    """
+    key = ["source", "subject", "predicate", "object"]
+    bound = F.when(F.col("note").rlike("(hasBeginning|validFrom)$"), "from").when(F.col("note").rlike("(hasEnd|validUntil)$"), "until")
+    last = lambda b: F.max(F.when(bound == b, F.struct("ord", "note_value")))["note_value"]
+    times = notes.where(bound.isNotNull()).groupBy(*key).agg(last("from").alias("valid_from"), last("until").alias("valid_until"))
+    f = facts(s, contacts, "subject", "object").join(times, key, "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("valid_from", "valid_until")})
+    order = [F.desc(F.col("valid_until") != ""), F.desc(F.col("valid_from") != ""), F.asc("historical"), F.asc("predicate"), F.asc("source"), F.asc("valid_until"), F.asc("valid_from")]
+    return best_per_key(f, ["contact", "kind", "value"], order).select("source", "contact", "kind", "value", "predicate", "historical", "valid_from", "valid_until")
 
 
 def concept_claims(s: DataFrame) -> DataFrame:

