@@ -4,6 +4,7 @@ import datetime
 import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import jobs, state
@@ -21,7 +22,7 @@ class Folder(Views):
 
 def parts(spark, tiny, folder, count):
     """The events in files by time, the first here, the others to come."""
-    e = spark.read.parquet(f"{tiny}/events.parquet").withColumn("part", F.ntile(count).over(__import__("pyspark").sql.Window.orderBy("ts", "event_id")))
+    e = spark.read.parquet(f"{tiny}/events.parquet").withColumn("part", F.ntile(count).over(Window.orderBy("ts", "event_id")))
     for k in range(1, count + 1):
         e.where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{folder}/later{k}")
 
