@@ -395,20 +395,19 @@ def joining(met: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame,
     # a rep is in a few nodes a tree; those whose members all meet (side 0) say which one checks a pair, as 8 bytes each
     keys = F.transform(F.sort_array(F.collect_set("node")), lambda x: F.lpad(F.hex(x), 16, "0"))
     small = met.where(f"side = 0 and c > {PARTNERS + 1}").groupBy("rep").agg(F.unhex(F.array_join(keys, "")).alias("nodes"))
-    named = cut(named.join(small, "rep", "left").withColumn("nodes", F.coalesce("nodes", F.lit(b""))), "named-reps")
+    named = cut(named, "named-reps")
 
     def members(batches):
         for rows in nodes_of(batches, 5):
             wanted = np.zeros(len(rows[0]), bool)
             for found in node_pairs(rows, percent):
                 if found is not None:
-                    own = first_meetings(rows[0], rows[6], found[0], found[1])
-                    wanted[found[0][own]] = wanted[found[1][own]] = True
+                    wanted[found[0]] = wanted[found[1]] = True
             if wanted.any():
                 yield pa.RecordBatch.from_arrays([pa.array(rows[k][wanted]) for k in (0, 1, 2, 3)], names=["node", "rep", "side", "n"])
 
     large = met.where(F.col("c") > PARTNERS + 1).select("node", "rep", "side")
-    wanted = cut(map_arrow(by_node(large, named, "nodes"), members, "node bigint, rep bigint, side int, n bigint"), "wanted-members")
+    wanted = cut(map_arrow(by_node(large, named), members, "node bigint, rep bigint, side int, n bigint"), "wanted-members")
     blocks = cut(wanted.groupBy("node").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")), "node-blocks")
     dealt = wanted.join(blocks, "node").withColumn("home", F.col("node"))
     lone = dealt.where("blocks = 1").select("node", "rep", "side", "home")
@@ -449,7 +448,9 @@ def joining(met: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame,
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    held = named.join(sets, "rep")
+    # only members that are compared carry their keys: lists get longer with the corpus
+    asked = wanted.select("rep").distinct()
+    held = named.join(sets, "rep").join(small.join(asked, "rep", "left_semi"), "rep", "left").withColumn("nodes", F.coalesce("nodes", F.lit(b"")))
     rows = lone.unionByName(split).join(held, "rep").select("node", "rep", "side", "n", "label", "sig", "set", "nodes", "home").repartition("node").sortWithinPartitions("node")
     return map_arrow(rows, links, "a bigint, b bigint")
 
