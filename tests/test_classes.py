@@ -1,6 +1,7 @@
 """Resolution on classes of records against every pair of records and the serial rules."""
 
 import itertools
+import json
 import random
 
 import pytest
@@ -67,6 +68,23 @@ def test_scores_of_classes_are_those_of_records(spark):
     assert len({r.veto for r in wanted}) == 2 and sum(r.part == "pair" for r in rows) < len(wanted) / 2
 
 
+def test_scores_are_counted_once_a_pattern(monkeypatch):
+    calls, score = [], resolve.id_diff
+    monkeypatch.setattr(resolve, "id_diff", lambda *a, **k: calls.append(1) or score(*a, **k))
+    scorer, r = resolve.PairScores(0.85), random.Random(2)
+    kinds = {"email": "set", "account": "functional", "name": "name", "affiliation": "contextual"}
+    one = lambda: [{"attr": a, "value": r.choice(["x", "xy", "y", "yz"]), "kind": k, "omega": r.choice([0.5, 4.5]), "role": ""} for a, k in sorted(kinds.items()) if r.random() < 0.8]
+    for _ in range(3000):
+        a, b = one(), one() + ([{"attr": "email", "value": "z", "kind": "set", "omega": 1.0, "role": ""}] if r.random() < 0.1 else [])
+        s = score(*[[resolve.Claim(**{("weight" if k == "omega" else k): v for k, v in c.items()}) for c in side] for side in (a, b)], 0.85)
+        assert scorer.score(json.dumps(a), json.dumps(b)) == (round(s.score, 6), s.veto)
+    assert len(calls) < 2800
+    del calls[:]
+    for i in range(500):
+        scorer.score(*[json.dumps([{"attr": "email", "value": f"{side}{i}", "kind": "set", "omega": 2.5, "role": ""}]) for side in "ab"])
+    assert len(calls) == 1
+
+
 def test_clusters_of_classes_are_those_of_records(spark):
     v = people(spark, 5, 12)
     scored = resolve.score_pairs(every_pair(spark, v), resolve.claims(v), resolve.claim_idf(v)).collect()
