@@ -37,7 +37,7 @@ def _mbox_files(s, d):
 
 
 def _people(s, d):
-    return Views(s, d).table("customer").select("c_custkey", "c_name", "c_mktsegment")
+    return Views(s, d).spread("customer", "c_custkey").select("c_custkey", "c_name", "c_mktsegment")
 
 
 def _vcards(s, d):

@@ -40,7 +40,7 @@ def statements(v: Views) -> DataFrame:
         row(me, vo.iri("foaf:knows"), F.concat(F.lit("contact:c"), (k + BUNDLES).cast("string")), "iri"),
         row(me, vo.iri("foaf:age"), F.lit("42")),
     )
-    c = v.table("customer").join(F.broadcast(v.table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # nations: 25 rows by the schema
+    c = v.spread("customer", "c_custkey").join(F.broadcast(v.table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # nations: 25 rows by the schema
     return c.select(F.concat(F.lit("bundle:"), (k % BUNDLES).cast("string")).alias("source"), F.inline(F.filter(rows, lambda x: x.isNotNull())))
 
 

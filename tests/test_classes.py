@@ -143,3 +143,16 @@ def test_crowds_are_resolved_by_kinds(spark, monkeypatch):
     claims = [{"attr": "email", "value": "p@mail.example", "kind": "set", "omega": 1.0, "role": "locator"}, {"attr": "account", "value": None, "kind": "functional", "omega": 9.0, "role": "account"}]
     got = [state.see(f"e{i:05d}", "e00000", lambda: claims) for i in range(5000)]
     assert all(a == "created" for _, _, a in got) and len(calls) == 1
+
+
+def test_tables_of_short_rows_are_spread(spark, tiny):
+    class Small(Views):
+        def spread(self, name, key):
+            return super().spread(name, key, 40)
+
+    assert Views(spark, tiny).spread("customer", "c_custkey").rdd.getNumPartitions() == 1
+    v = Small(spark, tiny)
+    customers = v.table("customer").count()
+    assert v.spread("customer", "c_custkey").rdd.getNumPartitions() == -(-customers // 40) > 1
+    assert sorted(map(tuple, v.facts().collect())) == sorted(map(tuple, Views(spark, tiny).facts().collect()))
+    assert resolve.claims(v).rdd.getNumPartitions() > 1
