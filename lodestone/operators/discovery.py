@@ -1,7 +1,9 @@
-"""Category discovery: TF-IDF of one- and two-word terms, an exact cosine join, density clusters, and their terms."""
+"""Category discovery: TF-IDF of one- and two-word terms, exact cosines by blocks, density clusters, and their terms."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from lodestone.plans.labels import smallest_reachable
 
 #: Share of documents beyond which a term says nothing, terms kept, and the clusters' cosine distance.
 MOST_SHARE, FEATURES, EPS = 0.85, 5000, 0.55
+#: Vectors of a group that a task compares with another group, and those of a block.
+GROUP, BLOCK = 4096, 256
 
 
 def tfidf(docs: DataFrame, features: int = FEATURES, most_share: float = MOST_SHARE) -> DataFrame:
@@ -40,6 +44,79 @@ def cosine_pairs(vectors: DataFrame, least: float) -> DataFrame:
     return dot.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
 
 
+def eps_forest(vectors: DataFrame, least: float) -> DataFrame:
+    """a, b: pairs with cosine >= least whose connected components are those of all such pairs.
+
+    Ids are dealt to groups. Each group is compared with itself, then each two groups with each other, a vector with a block at once.
+    That is left out only where all of them are known to be connected. A task holds two groups and gives out
+    at most one link a row; every two vectors that are not yet connected are compared.
+    """
+    terms = {r.term: i for i, r in enumerate(vectors.select("term").distinct().orderBy("term").collect())}  # the features: a bounded number
+    place = vectors.sparkSession.createDataFrame(list(terms.items()) or [("", 0)], "term string, col int")
+    rows = vectors.join(F.broadcast(place), "term").groupBy("id").agg(F.collect_list("col").alias("cols"), F.collect_list("w").alias("ws"), F.max(F.struct("w", "term")).alias("top"))
+    n = vectors.select("id").distinct().count()
+    groups = max(1, -(-n // GROUP))
+    rows = written(rows.select("id", "cols", "ws", "top.term", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g")), "eps-rows")
+    compare = _compare(len(terms), least)
+    inner = rows.select(F.concat_ws("-", "g", "g").alias("task"), "g", "term", "id", "id", "cols", "ws").toDF(*COMPARED)
+    near = written(inner.repartition("task").sortWithinPartitions("task", "g", "term", "id").mapInArrow(compare, PAIR), "eps-near")
+    if groups == 1:
+        return near
+    label = smallest_reachable(near)
+    known = written(rows.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")), "eps-known")
+    other = F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(groups - 1)), F.col("g"))).alias("h")
+    tasks = known.select("*", other).select(F.concat_ws("-", F.least("g", "h"), F.greatest("g", "h")).alias("task"), "g", "term", "id", "label", "cols", "ws").toDF(*COMPARED)
+    return near.unionByName(tasks.repartition("task").sortWithinPartitions("task", "g", "label", "term", "id").mapInArrow(compare, PAIR))
+
+
+COMPARED, PAIR = ("task", "g", "term", "id", "label", "cols", "ws"), "a string, b string"
+
+
+def _compare(width: int, least: float):
+    """A function of batches of rows (COMPARED) sorted by task and group that gives links between rows of a task."""
+
+    def links(rows: list[tuple]):
+        names: dict[str, int] = {}
+        root = np.array([names.setdefault(r[2], len(names)) for r in rows])
+        first = next((i for i, r in enumerate(rows) if r[0] != rows[0][0]), None)
+        left, right = (0, len(rows)) if first is None else (0, first), (first or 0, len(rows))
+        for s in range(*left, BLOCK):
+            e = min(s + BLOCK, left[1])
+            x = np.zeros((width, e - s))  # columns are the block's vectors
+            for i in range(s, e):
+                x[rows[i][3], i - s] = rows[i][4]
+            for j in range(s if first is None else right[0], right[1]):
+                apart = root[s:e] != root[j]
+                if not apart.any():
+                    continue
+                for i in np.flatnonzero((rows[j][4] @ x[rows[j][3]] >= least) & apart):
+                    if root[s + i] != root[j]:
+                        root[root == root[s + i]] = root[j]
+        joined: dict[int, set[str]] = {}
+        for r, row in zip(root.tolist(), rows):
+            joined.setdefault(r, set()).add(row[2])
+        for labels in joined.values():  # short ways: each to the smallest
+            yield from ((least_, x) for least_ in [min(labels)] for x in labels if x != least_)
+
+    def run(batches):
+        now, rows = None, []
+
+        def out():
+            found = list(links(rows)) if rows else []
+            return pa.RecordBatch.from_arrays([pa.array([str(p[k]) for p in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            task, g, _, ids, label, cols, ws = (b.column(k) for k in range(7))
+            for i, (k, group, id_, name) in enumerate(zip(task.to_pylist(), g.to_pylist(), ids.to_pylist(), label.to_pylist())):
+                if k != now:
+                    yield out()
+                    now, rows = k, []
+                rows.append((group, id_, name, cols[i].values.to_numpy(), ws[i].values.to_numpy()))
+        yield out()
+
+    return run
+
+
 def discover(docs: DataFrame, eps: float = EPS, terms: int = 5) -> DataFrame:
     """cluster, size, terms: clusters of at least two documents (with two as the density, clusters are components of the eps graph).
 
@@ -49,8 +126,8 @@ def discover(docs: DataFrame, eps: float = EPS, terms: int = 5) -> DataFrame:
     same = docs.select("id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
     named = written(same.join(same.groupBy("h").agg(F.min("id").alias("first")), "h").select("id", "first"), "same")
     copies = named.where("id <> first").join(v.select("id").distinct(), "id", "left_semi").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    near = cosine_pairs(v.join(named.where("id = first").select("id"), "id", "left_semi"), 1 - eps).select("a", "b")
-    edges = near.unionByName(copies).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    near = eps_forest(v.join(named.where("id = first").select("id"), "id", "left_semi").withColumn("id", F.col("id").cast("string")), 1 - eps)
+    edges = near.unionByName(copies.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")))
     label = smallest_reachable(edges)
     placed = v.withColumn("id", F.col("id").cast("string")).join(label, "id")
     sizes = label.groupBy("component").agg(F.count("*").alias("size"))
