@@ -1,5 +1,6 @@
 """Full-text search over stored postings against the same search over texts; what its plan reads."""
 
+import itertools
 import random
 
 import pytest
@@ -56,3 +57,24 @@ def test_search_reads_no_text(spark, tiny):
     assert "documents.parquet" not in page and "conversations.parquet" not in page
     for name in stored.RELATIONS:
         assert getattr(v, name)().columns == getattr(Views(spark, tiny), name)().columns
+
+
+def test_postings_move_no_rows_between_tasks(texts):
+    plan = stored.postings(texts)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_only_what_a_query_reads_is_written(spark, tiny, tmp_path):
+    copy = tmp_path / "copy"
+    copy.symlink_to(tiny)
+    v = stored.stored(Views(spark, str(copy)))
+    search(v, facets=["document"], limit=5).collect()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(v.base)
+    names = {f.getPath().getName() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)}
+    assert names == {"query_objects", "query_facets"}
+
+
+def test_analysis_joins_digests_not_texts(spark, tiny):
+    plan = Views(spark, tiny).analysis()._jdf.queryExecution().optimizedPlan().toString()
+    above = [a for a, b in itertools.pairwise(plan.splitlines()) if "Join Inner" in b]
+    assert above and not any("sha2" in line for line in above)
