@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import contact_formats, mail
+from lodestone.operators.common import map_texts
 from lodestone.plans.views import Views
 from lodestone.sources import files as f
 
@@ -16,7 +17,7 @@ def _html(s, d):
             out = [mail.html_to_text(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["page_id", "text"])
 
-    return Views(s, d).table("pages").select("page_id", "html").mapInArrow(run, "page_id bigint, text string")
+    return map_texts(Views(s, d).table("pages").select("page_id", "html"), run, "page_id bigint, text string")
 
 
 def _segments(s, d):
@@ -26,7 +27,7 @@ def _segments(s, d):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string()))], names=["doc_id", "ordinal", "segment"])
 
-    return Views(s, d).table("documents").select("doc_id", "text").mapInArrow(run, "doc_id bigint, ordinal int, segment string")
+    return map_texts(Views(s, d).table("documents").select("doc_id", "text"), run, "doc_id bigint, ordinal int, segment string")
 
 
 def _mbox_files(s, d):

@@ -72,6 +72,18 @@ def test_addresses_and_participants():
     assert mail.message_time("Mon, 01 Jan 2024 10:00:00 +0200") == "2024-01-01T08:00:00Z" and mail.message_time("soon") == ""
 
 
+def test_texts_come_to_workers_in_small_pieces():
+    import pyarrow as pa
+
+    from lodestone.operators.common import in_pieces
+
+    rows = ["x" * 1000, None, "", "y" * 5000, "é" * 300] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(rows, pa.string())], names=["id", "text"])
+    pieces = list(in_pieces([batch, batch.slice(0, 0), batch.slice(7, 3)], 1, 10_000))
+    assert [x for p in pieces for x in p.column(1).to_pylist()] == rows + rows[7:10]
+    assert len(pieces) > 20 and all(sum(len(x or "") for x in p.column(1).to_pylist()) <= 16_000 for p in pieces)
+
+
 def test_html_to_text():
     assert mail.html_to_text("<p>a&amp;b</p><script>no</script><div>c<br>d</div>") == "a&b c d"
     assert mail.html_to_text(None) == ""
