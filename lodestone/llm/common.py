@@ -7,8 +7,9 @@ import contextlib
 import ctypes
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Lists that this thread's new paths are noted in.
+_open = threading.local()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    for made in getattr(_open, "lists", ()):
+        made.append(path)
     return path
 
 
@@ -60,6 +67,20 @@ def cut(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, label: str, step: Callable[[], DataFrame]) -> DataFrame:
+    """What step gives, written by `cut`; then the files of all that step wrote on the way are removed."""
+    made: list[str] = []
+    _open.lists = [*getattr(_open, "lists", ()), made]
+    try:
+        df = step()
+    finally:
+        _open.lists = _open.lists[:-1]
+    out = cut(df, label)
+    for path in made:
+        _remove(spark, path)
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Remove the files of a table that `cut` wrote and nothing reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

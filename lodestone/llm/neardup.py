@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import words
-from lodestone.llm.common import cut, joined_bytes, map_arrow, slices, table
+from lodestone.llm.common import cut, joined_bytes, map_arrow, settled, slices, table
 from lodestone.llm.components import components
 
 SHINGLE = 5
@@ -488,8 +488,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = TREES) -> D
     Recall of a link whose documents meet in small nodes is 1 - (1 - s)^trees or better at similarity s; tests measure it where
     every node is large. Every reported link is exact. doc_id may be of any type with an order. Rows with equal ids and other
     texts are judged each by its own text. A null doc_id is linked with nothing, has no component and is kept. An empty table
-    gives an empty one. Other columns are ignored.
+    gives an empty one. Other columns are ignored. Only the result's file stays; signatures and sets go when it is written.
     """
+    return settled(docs.sparkSession, "near-duplicates", lambda: _near_duplicates(docs, percent, trees))
+
+
+def _near_duplicates(docs: DataFrame, percent: int, trees: int) -> DataFrame:
     signed = cut(signatures(docs), "signatures")
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"))

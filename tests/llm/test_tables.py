@@ -93,6 +93,19 @@ def test_near_duplicates(spark, percent):
     assert all(got[i].kept == (label[i] == i) for i in got)
 
 
+def test_near_duplicates_keep_no_scratch_files(spark):
+    from lodestone.llm.common import shared_dir
+
+    def folders():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+        return {f.getPath().getName() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)}
+
+    before = folders()
+    found = neardup.near_duplicates(frame(spark, ["a b c d e f", "a b c d e f", "x"]))
+    assert [x.rsplit("-", 1)[0] for x in folders() - before] == ["lodestone-near-duplicates"]
+    assert found.where("not kept").count() == 1
+
+
 def test_near_duplicates_edges(spark):
     got = neardup.near_duplicates(frame(spark, ["a b c", "A  B c", "a b", None, "a b c"], ids=[4, 3, 2, 1, None])).collect()
     assert sorted(((r.doc_id or -1), r.component_id, r.kept) for r in got) == [(-1, None, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 3, False)]
