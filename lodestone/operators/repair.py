@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.neighbours import identity_vectors, nearest
-from lodestone.operators.resolve import GATE, ROUNDS, claims, idf_of, score_pairs
+from lodestone.operators.neighbours import identity_classes, near_pairs
+from lodestone.operators.resolve import GATE, ROUNDS, claims, class_pairs, classes, idf_of, score_pairs
 from lodestone.plans.fixpoint import written
 from lodestone.plans.views import Views
 
@@ -37,12 +37,34 @@ def identifier_pairs(c: DataFrame, seed: int = 0, group: int = GROUP) -> DataFra
 
 def candidates(c: DataFrame, weights: DataFrame, seed: int = 0, k: int = NEIGHBOURS) -> DataFrame:
     """a, b, near, shared: pairs of entities to score, from the k nearest identity vectors or from an identifier in common."""
-    weighted = c.join(weights.select("attr", "value", "omega"), ["attr", "value"])
-    near = nearest(identity_vectors(weighted), k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("near"), F.lit(False).alias("shared"))
+    near, members = near_pairs(weighed(c, weights), k)
+    near = near.unionByName(copies(members)).select("a", "b", F.lit(True).alias("near"), F.lit(False).alias("shared"))
     both = near.unionByName(identifier_pairs(c, seed).select("a", "b", F.lit(False).alias("near"), F.lit(True).alias("shared")))
     return both.groupBy("a", "b").agg(F.bool_or("near").alias("near"), F.bool_or("shared").alias("shared"))
 
 
+def weighed(c: DataFrame, weights: DataFrame) -> DataFrame:
+    """entity, claims, class, n: the classes of entities with equal claims, which have their weights."""
+    return identity_classes(c.join(weights.select("attr", "value", "omega"), ["attr", "value"]))
+
+
+def copies(members: DataFrame) -> DataFrame:
+    """a, b: the smallest entity of each vector and each other one that has it."""
+    return members.where("entity != rep").select(F.col("rep").alias("a"), F.col("entity").alias("b"))
+
+
+def identifier_classes(alike: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entity, class of the records that share an identifier, with equal ones of these a class; and a, b (a <= b), pairs of classes each
+    record of which shares one with each of the other: all of them, however many have it. `alike` are classes of equal claims."""
+    held = alike.where("entity = class").select("class", "n", F.explode(F.array_distinct(F.transform("claims", lambda x: F.struct(x["attr"].alias("attr"), x["value"].alias("value"))))).alias("x"))
+    held = written(held.select("class", "n", "x.*").where(F.col("attr").isin(*IDENTIFIERS)), "identifiers-held")
+    several = held.groupBy("attr", "value").agg(F.sum("n").alias("df")).where("df > 1").drop("df")
+    sets = held.join(several, ["attr", "value"]).groupBy(F.col("class").alias("entity"), "n").agg(F.sort_array(F.collect_list(F.struct("attr", "value"))).alias("claims"))
+    found = written(classes(sets), "identifier-classes")
+    members = alike.select("entity", F.col("class").alias("of")).join(found.select(F.col("entity").alias("of"), "class"), "of").select("entity", "class")
+    return members, class_pairs(found, IDENTIFIERS).select("a", "b")
+
+
 def constrained_linkage(edges: DataFrame, cannot: DataFrame) -> DataFrame:
     """id, cluster (its smallest id) of the nodes of edges (a, b, weight), none of whose clusters holds a pair (a, b) of cannot.
 
@@ -103,9 +125,23 @@ def repaired(c: DataFrame, threshold: float = GATE, tau: float = 0.85, rounds: i
     return names
 
 
-def all_candidates(v: Views) -> DataFrame:
+def all_candidates(v: Views, k: int = NEIGHBOURS) -> DataFrame:
+    """part, a, b: all pairs of records to score, by classes.
+
+    A row of part `member` puts record a into class b of records that share the same identifiers; `shared` says that each record of class a
+    shares one with each of class b (other than itself where a = b). A row of part `copy` says that record a has the identity vector of
+    record b, the smallest with it; `near` that b is among the k nearest of a or a of b, which holds for their copies too.
+    """
     c = claims(v)
-    return candidates(c, idf_of(c))
+    alike = written(weighed(c, idf_of(c)), "alike")
+    near, vectors = near_pairs(alike, k)
+    members, shared = identifier_classes(alike)
+    same = copies(vectors).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    out = None
+    for part, rows in (("member", members.select(F.col("entity").alias("a"), F.col("class").alias("b"))), ("shared", shared), ("copy", same), ("near", near)):
+        rows = rows.select(F.lit(part).alias("part"), "a", "b")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def all_repaired(v: Views) -> DataFrame:
