@@ -20,6 +20,8 @@ WIDTHS = (1, 2, 4, 8)
 #: The sample: so many documents a label, so many bytes of a text (longer ones are not learned from) and of all of a label.
 PER_LABEL, TEXT_BYTES, LABEL_BYTES = 1500, 64 << 10, 8 << 20
 LANDMARKS, ROUNDS = 800, 3
+#: Texts that are taken apart at a time when learning, and bytes of them (a longer one stays whole): the memory that learning takes follows these.
+BATCH_TEXTS, BATCH_BYTES, STRETCH = 256, 1 << 20, 1 << 16
 #: Random windows of clean texts for each toxic text, and in all at most, beside the highest rated of each width.
 EASY, MOST_EASY = 8, 3000
 #: Weights are whole numbers up to this, so that sums don't depend on their order.
@@ -121,8 +123,9 @@ def running(data: np.ndarray, weights: np.ndarray) -> dict[int, np.ndarray]:
     """By the last byte's distance k, the running sums of whole weights over the subsequences that start before each byte."""
     out = {k: np.zeros(len(data) + 1, np.int64) for k in range(3, SPAN)}
     wide = np.concatenate([data, np.full(SPAN - 1, 32, np.uint8)])
-    for column, k in columns(wide):
-        out[k][1:] += weights[column]
+    for i in range(0, len(data), STRETCH):
+        for column, k in columns(wide[i : i + STRETCH + SPAN - 1]):
+            out[k][i + 1 : i + 1 + len(column)] += weights[column]
     for sums in out.values():
         np.cumsum(sums, out=sums)
     return out
@@ -137,7 +140,7 @@ def rate(sums: dict[int, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.
 
 
 def vectors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(columns, values) of each window's feature vector, of unit length (all zero for a window too short for a subsequence)."""
+    """(columns, float32 values) of each window's feature vector, of unit length (all zero for a window too short for a subsequence)."""
     size = ends - starts
     begin = np.cumsum(size) - size
     row = np.repeat(np.arange(len(size)), size)
@@ -152,25 +155,30 @@ def vectors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tupl
     value = np.bincount(back, np.concatenate(values), len(key))
     cuts = np.searchsorted(key >> BITS, np.arange(len(size) + 1))
     column = (key & ((1 << BITS) - 1)).astype(np.int32)
-    return [(column[s:e], (v := value[s:e]) / np.sqrt(max(1e-9, (v * v).sum()))) for s, e in zip(cuts.tolist(), cuts[1:].tolist())]
+    return [(column[s:e].copy(), ((v := value[s:e]) / np.sqrt(max(1e-9, (v * v).sum()))).astype(np.float32)) for s, e in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
-def gram(x: list, y: list, block: int = 200) -> np.ndarray:
-    """The kernel between two lists of vectors, a block of the second list as a dense matrix at a time."""
+def gram(x: list, y: list, block: int = 200, rows: int = 128) -> np.ndarray:
+    """The kernel between two lists of vectors: a block of the second list at a time as a dense matrix of the columns that some rows of the first have."""
     out = np.zeros((len(x), len(y)), np.float32)
     place = np.zeros(1 << BITS, np.int32)
     for k in range(0, len(y), block):
         part = y[k : k + block]
-        used = np.unique(np.concatenate([c for c, _ in part]))
-        dense = np.zeros((len(used) + 1, len(part)), np.float32)  # row 0 for columns that the block lacks
-        place[:] = 0
-        place[used] = np.arange(1, len(used) + 1)
-        for j, (c, v) in enumerate(part):
-            dense[place[c], j] = v
-        for i, (c, v) in enumerate(x):
-            p = place[c]
-            hit = np.flatnonzero(p)
-            out[i, k : k + block] = v[hit].astype(np.float32) @ dense[p[hit]]
+        column, value, owner = (np.concatenate(a) for a in zip(*[(c, v, np.full(len(c), j, np.int32)) for j, (c, v) in enumerate(part)]))
+        for i in range(0, len(x), rows):
+            some = x[i : i + rows]
+            place[column] = 1
+            used = np.unique(np.concatenate([c[place[c] > 0] for c, _ in some]))
+            place[column] = 0
+            place[used] = np.arange(1, len(used) + 1)  # 0 for columns that the block or the rows lack
+            dense = np.zeros((len(used) + 1, len(part)), np.float32)
+            inside = np.flatnonzero(place[column])
+            dense[place[column[inside]], owner[inside]] = value[inside]
+            for r, (c, v) in enumerate(some, i):
+                p = place[c]
+                hit = np.flatnonzero(p)
+                out[r, k : k + block] = v[hit] @ dense[p[hit]]
+            place[used] = 0
     return out
 
 
@@ -236,6 +244,36 @@ def constant(score: float) -> Model:
     return Model(np.zeros(1 << BITS, np.int32), 0.0, float(np.log(score / (1 - score))), 0.0)
 
 
+def batches_of(texts: list[str], labels: np.ndarray) -> list[tuple[Words, np.ndarray]]:
+    """(words, labels) of bounded pieces of the texts. Words are found by a few texts at a time, as finding them takes many times the bytes."""
+    out, i = [], 0
+    while i < len(texts):
+        start, held, parts, part, part_bytes = i, 0, [], [], 0
+        while i < len(texts) and i - start < BATCH_TEXTS:
+            raw = texts[i].encode("utf-8", "replace")
+            if held and held + len(raw) > BATCH_BYTES:
+                break
+            if part and part_bytes + len(raw) > STRETCH:
+                parts.append((i - len(part), words_of(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]))))
+                part, part_bytes = [], 0
+            part.append(raw)
+            held, part_bytes, i = held + len(raw), part_bytes + len(raw), i + 1
+        parts.append((i - len(part), words_of(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]))))
+        out.append((end_to_end([(first - start, found) for first, found in parts]), labels[start:i]))
+    return out
+
+
+def end_to_end(parts: list[tuple[int, Words]]) -> Words:
+    """One Words of several, each with the number of its first text; in 4-byte numbers."""
+    base = np.cumsum([0, *(len(found.data) for _, found in parts)])
+    sentences = np.cumsum([0, *(int(found.sentence[-1]) if len(found.at) else 0 for _, found in parts)])
+    join = lambda arrays: np.concatenate([a.astype(np.int32) for a in arrays])
+    return Words(
+        np.concatenate([found.data for _, found in parts]), join(found.at + b for (_, found), b in zip(parts, base)), join(found.after + b for (_, found), b in zip(parts, base)),
+        join(found.sentence + s for (_, found), s in zip(parts, sentences)), join(found.text + first for first, found in parts),
+    )
+
+
 def first_weights(batches: list[tuple[Words, np.ndarray]]) -> np.ndarray:
     """Log odds of the texts that hold each subsequence, 0 for those of fewer than four texts."""
     counts, last, size = np.zeros((2, 1 << BITS), np.float32), np.zeros(1 << BITS, np.int32), np.zeros(2)
@@ -281,13 +319,11 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return constant(0.9999 if len(y) and y.max() == 1 else 0.0001)
-    batches = []
-    for i in range(0, len(texts), 256):
-        raw = [t.encode("utf-8", "replace") for t in texts[i : i + 256]]
-        batches.append((words_of(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)), y[i : i + 256]))
+    batches = batches_of(texts, y)
     plenty = sum(int((label[found.text] == 0).sum()) for found, label in batches) * len(WIDTHS)
     share = min(1.0, min(MOST_EASY, EASY * int(y.sum())) / max(1, plenty))
     weights = whole(first_weights(batches))
+    give_back()
     for turn in range(ROUNDS):
         rng = np.random.default_rng(seed + turn)
         bad, good, spoilt = [], [], []
@@ -310,25 +346,31 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
             other = distorted(found.data, s, e, rng)
             bad += vectors(*other)
             spoilt.append(other)
+            del sums  # else the next piece's are made beside it
         if not good or not bad:
             return constant(float((y.sum() + 1) / (len(y) + 2)))
-        every = [*bad, *good]
         marks = [bad[i] for i in rng.permutation(len(bad))[: LANDMARKS // 2]] + [good[i] for i in rng.permutation(len(good))[: LANDMARKS // 2]]
         values, basis = np.linalg.eigh(gram(marks, marks).astype(np.float64))
         use = values > 1e-6
         root = (basis[:, use] / np.sqrt(values[use])).astype(np.float32)
         root = np.hstack([root, np.zeros((len(root), 1), np.float32)])  # the offset's column comes with the product
-        features = np.empty((len(every), root.shape[1]), np.float16)
-        for i in range(0, len(every), 1024):
+        side = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
+        features = np.empty((len(side), root.shape[1]), np.float16)
+        every = [*bad, *good]
+        del bad, good, basis
+        give_back()
+        for i in range(0, len(side), 1024):
             features[i : i + 1024] = gram(every[i : i + 1024], marks) @ root
+            every[i : i + 1024] = [None] * len(every[i : i + 1024])  # a window's vector goes when its features are there
         features[:, -1] = 1
-        w = svm(features, np.concatenate([np.ones(len(bad)), -np.ones(len(good))]))
+        w = svm(features, side)
         del features, every
         beta = root[:, :-1] @ w[:-1]
         folded = np.zeros(1 << BITS, np.float32)
         for b, (c, v) in zip(beta, marks):
-            folded[c] += np.float32(b) * v.astype(np.float32)
+            folded[c] += np.float32(b) * v
         weights = whole(folded)
+        give_back()
     high = np.concatenate([highest(found, weights, len(label), np.nan) for found, label in batches])
     least = float(np.nanmin(high))
     again = np.concatenate([rate(running(data, weights), s, e) for data, s, e in spoilt])
@@ -350,14 +392,14 @@ def platt(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, int]]:
-    """(text, label) of a bounded sample by hash, in its order: per_label documents of each label at most, of TEXT_BYTES at most each
+def sample_rows(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame | None:
+    """place (from 0), toxic and text of a bounded sample by hash, None where it is empty: per_label documents of each label at most, of TEXT_BYTES at most each
     and LABEL_BYTES together, never from the held-out fold. The same rows give the same sample, whatever their order."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id")) != 0)
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     ids = first_by_hash(known.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), "toxic", "doc_id", per_label).select("doc_id", "toxic").collect()
     if not ids:
-        return []
+        return None
     wanted = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], f"doc_id {kind}, toxic int"))  # 2 * per_label rows
     usable = docs.select("doc_id", "text", F.octet_length("text").alias("size")).where(F.col("size") <= TEXT_BYTES).join(wanted, "doc_id").withColumn("row_key", F.xxhash64("doc_id", "text"))
     sizes = usable.groupBy("row_key", "toxic").agg(F.min("size").alias("size"))
@@ -368,19 +410,34 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> li
         if used[r.toxic] <= LABEL_BYTES:
             picked.append((r.row_key, r.toxic, len(picked)))
     if not picked:
-        return []
+        return None
     place = F.broadcast(spark.createDataFrame(picked, "row_key bigint, toxic int, place int"))  # 2 * per_label rows
-    rows = usable.select("row_key", "toxic", "text").join(place, ["row_key", "toxic"]).groupBy("place", "toxic").agg(F.min("text").alias("text")).collect()
-    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: r.place)]
+    return usable.select("row_key", "toxic", "text").join(place, ["row_key", "toxic"]).groupBy("place", "toxic").agg(F.min("text").alias("text"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, int]]:
+    """(text, label) of the sample, in its order."""
+    rows = sample_rows(docs, labels, per_label)
+    return [] if rows is None else [(r.text, r.toxic) for r in sorted(rows.collect(), key=lambda r: r.place)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Learn from the texts of a bounded sample (see `sample`). Texts of TEXT_BYTES at most are learned from; all are scored whole."""
-    rows = sample(docs, labels, per_label)
-    model = train([t for t, _ in rows], [y for _, y in rows])
-    del rows
-    give_back()
-    return model
+    """Learn from the texts of a bounded sample (see `sample_rows`). Texts of TEXT_BYTES at most are learned from; all are scored whole.
+
+    The sample, bounded whatever the input, is learned from in an executor's task; the driver gets the weights alone.
+    """
+    rows = sample_rows(docs, labels, per_label)
+    if rows is None:
+        return train([], [])
+
+    def learn(batches):
+        drawn = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        model = train([text for _, _, text in drawn], [label for _, label, _ in drawn])
+        values = [[model.weights.tobytes()], [model.slope], [model.offset], [model.least]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["weights", "slope", "offset", "least"])
+
+    found = map_arrow(rows.select("place", "toxic", "text").coalesce(1), learn, "weights binary, slope double, offset double, least double").first()
+    return Model(np.frombuffer(bytes(found.weights), np.int32), found.slope, found.offset, found.least)
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:

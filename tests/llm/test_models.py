@@ -185,3 +185,33 @@ def test_pipeline(spark, tiny):
     assert decontaminate.contamination(seen["decontamination"], table(spark, tiny, "benchmark")).where("n_hit > 0").count() == 0
     assert seen["token_output"].count() == seen["mixing"].count()
     assert p.run(spark, tiny).count() == seen["token_output"].count()
+
+
+def test_training_memory_does_not_follow_long_texts():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    names = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(3, 9, 3000)]
+    texts = [". ".join(" ".join(rng.choice(names, 9)) for _ in range(900)) for _ in range(80)]
+    labels = [i % 2 for i in range(80)]
+    texts = [t + " you vile gruntling" * y for t, y in zip(texts, labels)]
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, texts)) > 4 << 20
+    assert peak < 140 << 20
+
+
+def test_training_leaves_the_driver(spark, monkeypatch):
+    rows = toxic_rows(200)
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    drawn = toxicity.sample(docs, labels)
+    here = toxicity.train([t for t, _ in drawn], [y for _, y in drawn])
+    monkeypatch.setattr(toxicity, "svm", None)  # a worker has its own
+    model = toxicity.fit(docs, labels)
+    assert (model.weights == here.weights).all()
+    assert (model.slope, model.offset, model.least) == (here.slope, here.offset, here.least)
