@@ -9,13 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
+from lodestone.operators.neighbours import grouped
 from lodestone.plans.fixpoint import written
 from lodestone.plans.labels import smallest_reachable
 
 #: Share of documents beyond which a term says nothing, terms kept, and the clusters' cosine distance.
 MOST_SHARE, FEATURES, EPS = 0.85, 5000, 0.55
-#: Vectors of a group that a task compares with another group, and those of a block.
-GROUP, BLOCK = 4096, 256
+#: Vectors of a group that a task compares with another group at most, groups to have before they grow, and the least of one for that.
+GROUP, SPREAD, FEW = 32_768, 8, 1024
+#: Vectors of a block and of those that it meets at once; most frequent terms that are compared as dense columns; what single floats may err.
+BLOCK, TILE, HEAD, ERR = 256, 1024, 64, 1e-5
 
 
 def tfidf(docs: DataFrame, features: int = FEATURES, most_share: float = MOST_SHARE) -> DataFrame:
@@ -47,72 +50,98 @@ def cosine_pairs(vectors: DataFrame, least: float) -> DataFrame:
 def eps_forest(vectors: DataFrame, least: float) -> DataFrame:
     """a, b: pairs with cosine >= least whose connected components are those of all such pairs.
 
-    Ids are dealt to groups. Each group is compared with itself, then each two groups with each other, a vector with a block at once.
-    That is left out only where all of them are known to be connected. A task holds two groups and gives out
-    at most one link a row; every two vectors that are not yet connected are compared.
+    Ids are dealt to groups, and every two of these (and each with itself) are a task, which gives out at most one link a row. Every two
+    vectors are compared: frequent terms as a product of dense columns, the others by their postings, so only where two share one.
     """
-    terms = {r.term: i for i, r in enumerate(vectors.select("term").distinct().orderBy("term").collect())}  # the features: a bounded number
-    place = vectors.sparkSession.createDataFrame(list(terms.items()) or [("", 0)], "term string, col int")
-    rows = vectors.join(F.broadcast(place), "term").groupBy("id").agg(F.collect_list("col").alias("cols"), F.collect_list("w").alias("ws"), F.max(F.struct("w", "term")).alias("top"))
-    n = vectors.select("id").distinct().count()
-    groups = max(1, -(-n // GROUP))
-    rows = written(rows.select("id", "cols", "ws", "top.term", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g")), "eps-rows")
-    compare = _compare(len(terms), least)
-    inner = rows.select(F.concat_ws("-", "g", "g").alias("task"), "g", "term", "id", "id", "cols", "ws").toDF(*COMPARED)
-    near = written(inner.repartition("task").sortWithinPartitions("task", "g", "term", "id").mapInArrow(compare, PAIR), "eps-near")
-    if groups == 1:
-        return near
-    label = smallest_reachable(near)
-    known = written(rows.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")), "eps-known")
-    other = F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(groups - 1)), F.col("g"))).alias("h")
-    tasks = known.select("*", other).select(F.concat_ws("-", F.least("g", "h"), F.greatest("g", "h")).alias("task"), "g", "term", "id", "label", "cols", "ws").toDF(*COMPARED)
-    return near.unionByName(tasks.repartition("task").sortWithinPartitions("task", "g", "label", "term", "id").mapInArrow(compare, PAIR))
-
-
-COMPARED, PAIR = ("task", "g", "term", "id", "label", "cols", "ws"), "a string, b string"
+    terms = [r.term for r in vectors.select("term", "df").distinct().orderBy(F.desc("df"), "term").collect()]  # the features: a bounded number
+    place = vectors.sparkSession.createDataFrame([(x, i) for i, x in enumerate(terms)] or [("", 0)], "term string, col int")
+    rows = vectors.join(F.broadcast(place), "term").groupBy("id").agg(F.collect_list("col").alias("cols"), F.collect_list(F.col("w").cast("double")).alias("ws"))
+    rows = written(rows, "eps-rows")
+    n = rows.count()
+    groups = max(1, -(-n // GROUP), min(SPREAD, -(-n // FEW)))
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    low, high = F.least("g", "h"), F.greatest("g", "h")
+    tasks = dealt.select((high * (high + 1) / 2 + low).cast("int").alias("task"), (F.col("g") != low).cast("int").alias("side"), "id", "cols", "ws")
+    dealt_out = tasks.repartitionById(groups * (groups + 1) // 2, "task").sortWithinPartitions("task", "side")
+    return dealt_out.mapInArrow(_compare(len(terms), least), "a string, b string")
+
+
+class _Side:
+    """Vectors of one side of a task: dense columns of the HEAD most frequent terms, and the entries of the others by rows."""
+
+    def __init__(self, cols: pa.Array, ws: pa.Array):
+        self.n, size = len(cols), cols.value_lengths().to_numpy()
+        self.ends = np.append(0, np.cumsum(size))
+        self.col, self.w = cols.flatten().to_numpy(), ws.flatten().to_numpy()
+        row, head = np.repeat(np.arange(self.n), size), self.col < HEAD
+        self.head = np.zeros((self.n, HEAD), np.float32)
+        self.head[row[head], self.col[head]] = self.w[head]
+        self.row, self.tail, self.tail_w = row[~head], self.col[~head], self.w[~head].astype(np.float32)
+
+    def rows(self, s: int, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = np.searchsorted(self.row, (s, e))
+        return self.row[a:b] - s, self.tail[a:b], self.tail_w[a:b]
+
+    def postings(self, s: int, e: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each term's postings begin, and their rows and weights, of rows s to e."""
+        row, term, w = self.rows(s, e)
+        order = np.argsort(term, kind="stable")
+        return np.searchsorted(term[order], np.arange(width + 1)), row[order], w[order]
+
+    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.col[self.ends[i] : self.ends[i + 1]], self.w[self.ends[i] : self.ends[i + 1]]
+
+
+def _dot(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    return float(x[1][i] @ y[1][j])
+
+
+def _near(left: _Side, right: _Side, width: int, least: float, same: bool):
+    """Pieces (i, j) of the rows whose cosine is at least `least`."""
+    tiles = [(s, min(s + TILE, right.n)) for s in range(0, right.n, TILE)]
+    tiles = [(s, e, right.postings(s, e, width)) for s, e in tiles]
+    for s in range(0, left.n, BLOCK):
+        e = min(s + BLOCK, left.n)
+        row, term, w = left.rows(s, e)
+        for from_, to, (begin, rows, ws) in tiles:
+            if same and to <= s:
+                continue
+            cos = (left.head[s:e] @ right.head[from_:to].T).ravel()
+            size = begin[term + 1] - begin[term]
+            at = np.repeat(begin[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            np.add.at(cos, np.repeat(row * (to - from_), size) + rows[at], np.repeat(w, size) * ws[at])
+            hit = np.flatnonzero(cos >= least - ERR)
+            i, j = s + hit // (to - from_), from_ + hit % (to - from_)
+            keep = cos[hit] > least + ERR
+            for k in np.flatnonzero(~keep):
+                keep[k] = _dot(left.vector(i[k]), right.vector(j[k])) >= least
+            yield i[keep], j[keep]
 
 
 def _compare(width: int, least: float):
-    """A function of batches of rows (COMPARED) sorted by task and group that gives links between rows of a task."""
-
-    def links(rows: list[tuple]):
-        names: dict[str, int] = {}
-        root = np.array([names.setdefault(r[2], len(names)) for r in rows])
-        first = next((i for i, r in enumerate(rows) if r[0] != rows[0][0]), None)
-        left, right = (0, len(rows)) if first is None else (0, first), (first or 0, len(rows))
-        for s in range(*left, BLOCK):
-            e = min(s + BLOCK, left[1])
-            x = np.zeros((width, e - s))  # columns are the block's vectors
-            for i in range(s, e):
-                x[rows[i][3], i - s] = rows[i][4]
-            for j in range(s if first is None else right[0], right[1]):
-                apart = root[s:e] != root[j]
-                if not apart.any():
-                    continue
-                for i in np.flatnonzero((rows[j][4] @ x[rows[j][3]] >= least) & apart):
-                    if root[s + i] != root[j]:
-                        root[root == root[s + i]] = root[j]
-        joined: dict[int, set[str]] = {}
-        for r, row in zip(root.tolist(), rows):
-            joined.setdefault(r, set()).add(row[2])
-        for labels in joined.values():  # short ways: each to the smallest
-            yield from ((least_, x) for least_ in [min(labels)] for x in labels if x != least_)
+    """A function of batches of rows (task, side, id, cols, ws) sorted by task and side that gives links between rows of a task."""
 
     def run(batches):
-        now, rows = None, []
-
-        def out():
-            found = list(links(rows)) if rows else []
-            return pa.RecordBatch.from_arrays([pa.array([str(p[k]) for p in found], pa.string()) for k in (0, 1)], names=["a", "b"])
-
-        for b in batches:
-            task, g, _, ids, label, cols, ws = (b.column(k) for k in range(7))
-            for i, (k, group, id_, name) in enumerate(zip(task.to_pylist(), g.to_pylist(), ids.to_pylist(), label.to_pylist())):
-                if k != now:
-                    yield out()
-                    now, rows = k, []
-                rows.append((group, id_, name, cols[i].values.to_numpy(), ws[i].values.to_numpy()))
-        yield out()
+        for t in grouped(batches):
+            first = int(np.searchsorted(t.column("side").to_numpy(), 1))
+            cols, ws, ids = (t.column(x).chunk(0) for x in ("cols", "ws", "id"))
+            same = first in (0, len(ids))
+            left = _Side(cols, ws) if same else _Side(cols.slice(0, first), ws.slice(0, first))
+            right, shift = (left, 0) if same else (_Side(cols.slice(first), ws.slice(first)), first)
+            root = np.arange(len(ids))
+            for i, j in _near(left, right, width, least, same):
+                j = j + shift
+                while True:
+                    apart = root[i] != root[j]
+                    if not apart.any():
+                        break
+                    i, j = i[apart], j[apart]
+                    np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
+                    while (root[root] != root).any():
+                        root = root[root]
+            other = np.flatnonzero(root != np.arange(len(ids)))  # short ways: each to the first
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(root[other])), ids.take(pa.array(other))], names=["a", "b"])
 
     return run
 
