@@ -63,7 +63,7 @@ def eps_forest(vectors: DataFrame, least: float) -> DataFrame:
     low, high = F.least("g", "h"), F.greatest("g", "h")
     tasks = dealt.select((high * (high + 1) / 2 + low).cast("int").alias("task"), (F.col("g") != low).cast("int").alias("side"), "id", "cols", "ws")
     dealt_out = tasks.repartitionById(groups * (groups + 1) // 2, "task").sortWithinPartitions("task", "side")
-    return dealt_out.mapInArrow(_compare(len(terms), least), "a string, b string")
+    return written(dealt_out.mapInArrow(_compare(len(terms), least), "a string, b string"), "eps-near")  # a later step reads it twice
 
 
 class _Side:

@@ -69,3 +69,10 @@ def test_only_vectors_that_share_a_term_cost_more_than_the_product(monkeypatch):
         x[i, 100 + 10 * i : 110 + 10 * i] = math.sqrt(0.1)
     links = [b.num_rows for b in discovery._compare(width, 0.5)(iter(task(x, n).to_batches()))]
     assert sum(links) == 0 and 10 * n <= sum(met) <= 2 * 10 * n
+
+
+def test_links_are_made_once(spark, tmp_path):
+    """Components read the links in both directions: what gives them is not run again."""
+    docs = spark.createDataFrame([(f"d{i}", f"word{i % 7} other{i % 7} third{i % 3}") for i in range(40)], "id string, text string")
+    links = discovery.eps_forest(discovery.tfidf(docs), 0.5)
+    assert "MapInArrow" not in links._jdf.queryExecution().toString() and links.count()
